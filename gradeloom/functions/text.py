@@ -109,8 +109,8 @@ def readable_url(c: Column) -> Column:
     Everything that must survive is escaped once more, so one decoding pass gives it back.
     """
     kept = "|".join(KEPT_ESCAPES)
-    s = F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25")
-    s = F.regexp_replace(s, rf"(?i)%({kept})", "%25$1")
+    s = F.regexp_replace(c, rf"(?i)%({kept})", "%25$1")
+    s = F.regexp_replace(s, r"%(?![0-9A-Fa-f]{2})", "%25")
     s = F.regexp_replace(s, r"\+", "%2B")
     return F.when(c.contains("http") & c.contains("%"), F.coalesce(F.try_url_decode(s), c)).otherwise(c)
 
