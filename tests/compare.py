@@ -70,7 +70,7 @@ def main(argv):
     sf = argv[0] if argv else "0.01"
     only = set(argv[1:])
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"
     con = duck(sf_dir)
