@@ -114,7 +114,7 @@ w AS (SELECT doc_id, 2 AS n, 0 AS chunk_no, length(l[2]) AS size FROM k2
   UNION ALL SELECT w.doc_id, n + 1, CASE WHEN size + length(l[n + 1]) > 700 THEN chunk_no + 1 ELSE chunk_no END,
    CASE WHEN size + length(l[n + 1]) > 700 THEN length(l[n + 1]) ELSE size + length(l[n + 1]) END FROM w JOIN k2 USING (doc_id) WHERE n < len(l))
 SELECT w.doc_id, CASE WHEN w.doc_id % 5 = 2 AND len(k.l) > 2 THEN 'step_text' ELSE 'plain_text' END AS trace_format, chunk_no,
- concat(CASE WHEN chunk_no = 0 THEN k2.l[1] ELSE '' END, array_to_string(list(k2.l[n] ORDER BY n), CASE WHEN w.doc_id % 5 = 2 AND len(k.l) > 2 THEN '' ELSE chr(10) || chr(10) END)) AS chunk
+ concat(CASE WHEN chunk_no = 0 THEN k2.l[1] ELSE '' END, CASE WHEN w.doc_id % 5 = 2 AND len(k.l) > 2 THEN string_agg(k2.l[n], '' ORDER BY n) ELSE string_agg(k2.l[n], chr(10) || chr(10) ORDER BY n) END) AS chunk
 FROM w JOIN k2 USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY w.doc_id, chunk_no, k.l, k2.l""")
 def _(d):
     return T.pack_chunks(d.v_trace.where("doc_id % 5 IN (2, 4)"), "doc_id", limit=700)
