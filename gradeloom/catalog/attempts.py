@@ -25,16 +25,16 @@ MATCH = """, n AS (SELECT *, coalesce(try_cast(translate(a, '$%,', '') AS double
        CASE WHEN try_cast(regexp_split_to_array(truth, '[,;]')[i] AS double) IS NOT NULL
          THEN coalesce(try_cast(translate(regexp_split_to_array(a, '[,;]')[i], '$%,', '') AS double), 'inf'::double) = try_cast(regexp_split_to_array(truth, '[,;]')[i] AS double)
          ELSE lower(regexp_replace(regexp_split_to_array(a, '[,;]')[i], '\\s', '', 'g')) = lower(regexp_replace(regexp_split_to_array(truth, '[,;]')[i], '\\s', '', 'g')) END))) = 0
-   ELSE lower(regexp_replace(a, '[\\s[:punct:]]', '', 'g')) = lower(regexp_replace(truth, '[\\s[:punct:]]', '', 'g')) END, false) AS is_match FROM n)
- SELECT task_id, truth, answer, is_match FROM m"""
+   ELSE lower(regexp_replace(a, '[\\s[:punct:]]', '', 'g')) = lower(regexp_replace(truth, '[\\s[:punct:]]', '', 'g')) END, false) AS is_match FROM n)"""
+MATCHED = MATCH + " SELECT task_id, truth, answer, is_match FROM m"
 
 
-@query("answer_match", "v_pair", MATCH.replace("{a}", "answer"))
+@query("answer_match", "v_pair", MATCHED.replace("{a}", "answer"))
 def _(d):
     return A.match_answers(d.v_pair)
 
 
-@query("answer_match_none", "v_pair", MATCH.replace("{a}", "coalesce(answer, 'None')"))
+@query("answer_match_none", "v_pair", MATCHED.replace("{a}", "coalesce(answer, 'None')"))
 def _(d):
     return A.match_answers(d.v_pair, missing="None")
 

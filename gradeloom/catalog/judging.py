@@ -1 +1,106 @@
-"""Stub."""
+"""Queries that call a scorer, and the streams. The scorers here are fixed rules on the prompt length,
+so that the checks can follow them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradeloom.catalog.registry import query, rounded
+from gradeloom.catalog.attempts import MATCH
+from gradeloom.catalog.traces import SEG
+from gradeloom.operators import judging as J
+from gradeloom.operators.generation import CHECK_TEMPLATE
+from gradeloom.plans import fact_check as FC, process, quality
+from gradeloom.session import fresh_path
+from gradeloom.streaming import progress as SP
+
+
+def word_judge(prompt: str) -> str:
+    if len(prompt) % 7 == 0:
+        raise RuntimeError("no reply")
+    return " Correct." if len(prompt) % 2 == 0 else "incorrect"
+
+
+@query("apply_judge", "v_pair", MATCH.replace("{a}", "answer") + """, g AS (SELECT *, length(concat('Q', task_id, ' ', truth)) AS len, task_id % 2 = 0 AS eq FROM m)
+SELECT task_id, CASE WHEN eq AND is_match THEN 'CORRECT' WHEN NOT eq THEN CASE WHEN answer IS NULL THEN 'INCORRECT' ELSE 'NOT_ATTEMPTED' END
+ WHEN len % 7 = 0 THEN 'NOT_ATTEMPTED' WHEN len % 2 = 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS verdict,
+ NOT ((eq AND is_match) OR (NOT eq AND answer IS NULL)) AS asked FROM g""")
+def _(d):
+    rows = d.v_pair.selectExpr("task_id", "truth", "answer", "CASE WHEN task_id % 2 = 0 THEN 'equivalence' ELSE 'conclusion_zh' END AS verifier",
+                               "concat('Q', task_id, ' ', truth) AS prompt")
+    return J.apply_judge(rows, word_judge, concurrency=8, tries=2).select("task_id", "verdict", "asked")
+
+
+def list_scorer(prompt: str) -> str:
+    import json
+
+    if len(prompt) % 5 == 0:
+        return "not json"
+    names = prompt.split("|")[1:]
+    return json.dumps([{"criterion": n, "score": len(prompt) % 11} for n in (names[:-1] if len(prompt) % 5 == 1 else names)])
+
+
+@query("score_with_retries", "v_criteria", """, p AS (SELECT query_id, dimension, list(criterion ORDER BY criterion) AS c,
+ concat('Score ', query_id, '|', string_agg(criterion, '|' ORDER BY criterion)) AS prompt FROM v_criteria GROUP BY query_id, dimension)
+SELECT query_id, dimension, length(prompt) % 5 > 1 AS ok, CASE WHEN length(prompt) % 5 > 1 THEN len(c) ELSE 0 END AS n_scores, CASE WHEN length(prompt) % 5 > 1 THEN 1 ELSE 3 END AS tries FROM p""")
+def _(d):
+    # three criteria at most per query and dimension
+    rows = d.v_criteria.groupBy("query_id", "dimension").agg(F.sort_array(F.collect_list("criterion")).alias("criteria"))
+    rows = rows.withColumn("model", F.lit("m")).withColumn("prompt", F.expr("concat('Score ', query_id, '|', array_join(criteria, '|'))"))
+    return J.score_with_retries(rows, list_scorer, concurrency=8).select("query_id", "dimension", "ok", F.size("scores").cast("bigint").alias("n_scores"), "tries")
+
+
+def part_checker(prompt: str) -> str:
+    n = len(prompt)
+    if n % 13 == 0:
+        return ""
+    word = ("Right", "Wrong", "Conflict", "Unknown")[n % 4]
+    if n % 11 == 0:
+        return f'{{"statement": "s", "verification": "{word}"'
+    return f'Here: {{"core_state": [{{"statement": "s", "verification": " {word} "}}, {{"statement": "t", "verification": "Right"}}]}}'
+
+
+FRAME = len(CHECK_TEMPLATE) - len("{query}{part}")
+
+
+@query("fact_check_chain", "v_report", SEG + f""", sg AS (SELECT doc_id, seg, length(string_agg(p, '' ORDER BY n)) + length('source of report') + {FRAME} AS n FROM rs GROUP BY ALL),
+v AS (SELECT doc_id, n, n % 13 = 0 OR n % 11 = 0 AS lost FROM sg)
+SELECT doc_id AS task_id, count(*) AS chunks, count(*) FILTER (lost) AS dropped_chunks, 2 * count(*) FILTER (NOT lost) AS total,
+ count(*) FILTER (NOT lost) + count(*) FILTER (NOT lost AND n % 4 = 0) AS "right", count(*) FILTER (NOT lost AND n % 4 = 1) AS wrong, count(*) FILTER (NOT lost AND n % 4 = 2) AS conflict,
+ count(*) FILTER (NOT lost AND n % 4 = 3) AS unknown FROM v GROUP BY doc_id""")
+def _(d):
+    reports = d.v_report.select(F.col("doc_id").alias("task_id"), F.lit("source of report").alias("user_query"), "report")
+    return FC.fact_check(reports, part_checker, concurrency=8, tries=2)
+
+
+@query("quality_board", "v_criteria v_reply_score")
+def _(d):
+    weights = d.v_criteria.groupBy("query_id", "dimension").agg(F.sum("weight").alias("raw_weight"))
+    return rounded(quality.quality_board(d.v_criteria, d.v_reply_score, weights), "average_total_score", "meta_avg")
+
+
+@query("process_board", "v_process_reply")
+def _(d):
+    replies = d.v_process_reply
+    aligned = replies.withColumn("reply", F.lit('{"findings_to_report": {"score": 7}, "report_to_process": {"score": 6}, "contradiction": {"score": 9}}'))
+    return rounded(process.process_board(replies, aligned), "intrinsic_avg", "alignment_avg", "overall_avg")
+
+
+@query("progress_stream", "v_chunk_log", "SELECT task_id, chunk, arg_max(status, seq) AS status, max(seq) AS seq FROM v_chunk_log GROUP BY ALL")
+def _(d):
+    spark = d.spark
+    log, out, state = fresh_path(spark, "log"), fresh_path(spark, "status"), fresh_path(spark, "state")
+    d.v_chunk_log.select("task_id", "chunk", "seq", "status").repartition(4, "seq").write.json(log)
+    SP.run(SP.status_updates(SP.read_log(spark, log, SP.STATUS_LOG, max_files=2)), out, state)
+    return SP.current(spark, out, ["task_id", "chunk"], "seq")
+
+
+@query("progress_stream_verdicts", "v_verdict", """SELECT model, task_id, count(*) AS total, count(*) FILTER (trim(verification) = 'Right') AS "right",
+ count(*) FILTER (trim(verification) = 'Wrong') AS wrong, count(*) FILTER (trim(verification) = 'Conflict') AS conflict,
+ count(*) FILTER (trim(verification) NOT IN ('Right', 'Wrong', 'Conflict')) AS unknown FROM v_verdict GROUP BY ALL""")
+def _(d):
+    spark = d.spark
+    log, out, state = fresh_path(spark, "log"), fresh_path(spark, "counts"), fresh_path(spark, "state")
+    d.v_verdict.select("model", "task_id", "verification").repartition(4).write.json(log)
+    SP.run(SP.verdict_updates(SP.read_log(spark, log, SP.STATEMENT_LOG, max_files=2)), out, state)
+    return SP.current(spark, out, ["model", "task_id"], "total")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradeloom.functions.jsontext import has_keys, strict_json
@@ -168,16 +169,18 @@ def _mend(text: str) -> str | None:
 
 def repair_json(df: DataFrame, text: str, out: str = "json") -> DataFrame:
     """Strict JSON passes through; the rest is mended in Arrow batches. `repaired` tells which."""
-    fields = [*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("repaired", T.BooleanType())]
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("repaired", T.BooleanType())])
     good = strict_json(F.col(text)).isNotNull()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fixed = batch[text].map(_mend, na_action="ignore")
-            yield batch.assign(**{out: fixed, "repaired": fixed.notna()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fixed = [_mend(t) if t else None for t in b.column(text).to_pylist()]
+            cols = [pa.array(fixed, pa.string()), pa.array([f is not None for f in fixed], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, out, "repaired"])
 
-    fine = df.where(good).withColumn(out, F.col(text)).withColumn("repaired", F.lit(False))
-    return fine.unionByName(df.where(~good | F.col(text).isNull()).mapInPandas(run, T.StructType(fields)))
+    marked = df.withColumn("__good", good)
+    fine = marked.where("__good").drop("__good").withColumn(out, F.col(text)).withColumn("repaired", F.lit(False))
+    return fine.unionByName(marked.where("NOT __good").drop("__good").mapInArrow(run, schema))
 
 
 VERDICT = "struct<statement:string,verification:string,evidence:array<struct<source:string,excerpt:string>>,reasoning:string>"
