@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gradeloom.functions.text import let
+
 _END = "\ue000"
 
 
@@ -15,7 +17,7 @@ def strict_json(c: Column) -> Column:
     """
     whole = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit(f',"{_END}":0}}')))
     members = F.try_variant_get(whole, "$", "map<string,variant>")
-    return F.when((F.size(members) == 2) & F.map_contains_key(members, _END), members["v"])
+    return let(members, lambda m: F.when((F.size(m) == 2) & F.map_contains_key(m, _END), m["v"]))
 
 
 def is_object(v: Column) -> Column:

@@ -20,18 +20,34 @@ def with_group_values(df: DataFrame, keys: list[str], **aggs: Column) -> DataFra
     return df.join(totals, keys, "left")
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First n rows per key. The rank limit runs before the exchange, so each map task sends at
-    most n rows per key; large n goes through salted sub-groups first."""
-    limit = 1000  # fixed value: default of spark.sql.optimizer.windowGroupLimitThreshold
-    if n > limit:
-        salted = df.withColumn("__salt", F.spark_partition_id() % 64)
-        w = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        df = salted.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__salt", "__rn")
+# Above this the sub-groups of one map task are merged in a step of their own.
+MANY = 100
+# Fixed value: default of spark.sql.optimizer.windowGroupLimitThreshold.
+PUSHED = 1000
+
+
+def _head(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
+def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """First n rows per key.
+
+    Spark applies the rank limit before the exchange too, so a map task sends at most n rows per key
+    and a hot key costs the last task only n rows per map task. For many rows per key these are
+    merged in 64 sub-groups first; beyond the number Spark pushes down, each input partition makes
+    its own cut before that.
+    """
+    if n <= MANY:
+        return _head(df, keys, order, n)
+    salted = df.withColumn("__part", F.spark_partition_id())
+    if n > PUSHED:
+        salted = _head(salted, [*keys, "__part"], order, n)
+    salted = _head(salted.withColumn("__salt", F.col("__part") % 64), [*keys, "__salt"], order, n)
+    return _head(salted.drop("__part", "__salt"), keys, order, n)
+
+
 def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """Consecutive numbers from 1 in the given order, over the whole table.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the 32 ASCII punctuation marks.
@@ -22,6 +24,12 @@ _FLOAT = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once per row, however often the body uses it. Inside
+    lambdas Spark shares no sub-expressions, so costly ones are bound this way."""
+    return F.transform(F.array(value), body)[0]
+
+
 def present(c: Column) -> Column:
     """The value, with the empty string read as absent."""
     return F.nullif(c, F.lit(""))
@@ -118,7 +126,7 @@ def readable_url(c: Column) -> Column:
 def cut_at_paragraph(c: Column, limit: int) -> Column:
     """First `limit` characters, back to the last blank line if that lies beyond 0.7 * limit."""
     head = F.substring(c, 1, limit)
-    # 0-based offset of the last blank line: the greedy prefix takes everything before it
+    # what stands before the last blank line; the greedy prefix takes as much as it can
     before = F.regexp_extract(head, r"(?s)^(.*)\n\n", 1)
     broken = head.contains("\n\n") & (F.length(before) > F.lit(limit * 0.7))
     return F.when(F.length(c) <= limit, c).otherwise(

@@ -205,12 +205,10 @@ def rollback_runs(turns: DataFrame, limit: int = 5) -> DataFrame:
     """
     marked = last_before(turns.select("conv_id", "turn", "rolled_back"), ["conv_id"], "turn",
                          F.when(~F.col("rolled_back"), F.col("turn")), "__reset")
-    first = turns.groupBy("conv_id").agg(F.min("turn").alias("__start"))
     return (
-        marked.where("rolled_back").join(first, "conv_id")
-        .withColumn("run_start", F.coalesce(F.col("__reset") + 1, F.col("__start")))
-        .groupBy("conv_id", "run_start").agg(F.count("*").alias("run_length"))
-        .withColumn("over_limit", F.col("run_length") > limit)
+        marked.where("rolled_back").groupBy("conv_id", "__reset")
+        .agg(F.min("turn").alias("run_start"), F.count("*").alias("run_length"))
+        .withColumn("over_limit", F.col("run_length") > limit).drop("__reset")
     )
 
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradeloom.functions.jsontext import has_keys, strict_json
@@ -167,35 +164,36 @@ def _mend(text: str) -> str | None:
     return None
 
 
-def repair_json(df: DataFrame, text: str, out: str = "json") -> DataFrame:
-    """Strict JSON passes through; the rest is mended in Arrow batches. `repaired` tells which."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("repaired", T.BooleanType())])
-    good = strict_json(F.col(text)).isNotNull()
+@F.pandas_udf(T.StringType())
+def _mended(texts: pd.Series) -> pd.Series:
+    return texts.map(_mend, na_action="ignore")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fixed = [_mend(t) if t else None for t in b.column(text).to_pylist()]
-            cols = [pa.array(fixed, pa.string()), pa.array([f is not None for f in fixed], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, out, "repaired"])
 
-    marked = df.withColumn("__good", good)
-    fine = marked.where("__good").drop("__good").withColumn(out, F.col(text)).withColumn("repaired", F.lit(False))
-    return fine.unionByName(marked.where("NOT __good").drop("__good").mapInArrow(run, schema))
+def repair_json(df: DataFrame, text: str, out: str = "json") -> DataFrame:
+    """Strict JSON passes through; only what is left reaches the Python function, the other rows hand
+    it a null. `repaired` tells which rows were mended."""
+    return (
+        df.withColumn("__good", F.coalesce(strict_json(F.col(text)).isNotNull(), F.lit(False)))
+        .withColumn("__fixed", _mended(F.when(~F.col("__good"), F.col(text))))
+        .withColumn(out, F.when(F.col("__good"), F.col(text)).otherwise(F.col("__fixed")))
+        .withColumn("repaired", ~F.col("__good") & F.col("__fixed").isNotNull())
+        .drop("__good", "__fixed")
+    )
 
 
+VERDICT_NAMES = ["statement", "verification", "evidence", "reasoning"]
+VERDICT_FIELDS = "statement string, verification string, evidence array<struct<source:string,excerpt:string>>, reasoning string"
 VERDICT = "struct<statement:string,verification:string,evidence:array<struct<source:string,excerpt:string>>,reasoning:string>"
 
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:
     """Statements of the readable chunks. A payload with a list `core_state` gives its items, any
     other object is one statement. Columns (chunk_idx, pos) carry the order."""
-    parsed = chunks.where("ok AND json IS NOT NULL").withColumn("__o", F.from_json("json", "map<string,string>"))
-    listed = F.from_json(F.element_at("__o", F.lit("core_state")), f"array<{VERDICT}>")
-    is_list = F.trim(F.element_at("__o", F.lit("core_state"))).startswith("[")
-    rows = F.when(is_list, listed).otherwise(F.array(F.from_json("json", VERDICT)))
+    readable = chunks.where(F.col("ok") & F.json_object_keys("json").isNotNull())
+    parsed = readable.withColumn("o", F.from_json("json", f"core_state array<{VERDICT}>, {VERDICT_FIELDS}"))
+    single = F.array(F.struct(*[F.col(f"o.{n}").alias(n) for n in VERDICT_NAMES]))
     return (
-        parsed.where("__o IS NOT NULL")
-        .select("task_id", "chunk_idx", F.posexplode(rows).alias("pos", "s"))
+        parsed.select("task_id", "chunk_idx", F.posexplode(F.coalesce("o.core_state", single)).alias("pos", "s"))
         .select("task_id", "chunk_idx", "pos", "s.*")
     )
 

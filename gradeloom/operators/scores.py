@@ -133,6 +133,19 @@ def join_criterion_scores(criteria: DataFrame, replies: DataFrame) -> DataFrame:
     return matched.join(complete, unit, "left_semi").select(*unit, "criterion", "weight", "score")
 
 
+def complete_dimension_score(criteria: DataFrame, replies: DataFrame) -> DataFrame:
+    """`join_criterion_scores` and `dimension_score` in one: only the sums per (query, model,
+    dimension) are kept, so completeness is a count in the same aggregation."""
+    unit = ["query_id", "model", "dimension"]
+    last = replies.groupBy(*unit, "criterion").agg(F.max_by("score", "pos").alias("score"))
+    wanted = with_group_values(criteria, ["query_id", "dimension"], n_criteria=F.count("*"))
+    sums = last.join(wanted, ["query_id", "dimension", "criterion"]).groupBy(*unit).agg(
+        F.count("score").alias("__n"), F.max("n_criteria").alias("__all"),
+        F.sum(F.col("score") * F.col("weight")).alias("__sw"), F.sum("weight").alias("__w"))
+    ratio = F.when((F.col("__n") == F.col("__all")) & (F.col("__w") > 0), F.col("__sw") / F.col("__w"))
+    return sums.select(*unit, ratio.alias("dimension_score"))
+
+
 # ---- quality scores ------------------------------------------------------------------------
 
 

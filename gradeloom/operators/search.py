@@ -38,11 +38,10 @@ def normalize_url(results: DataFrame, link: str = "link", out: str = "norm_url")
 
 def interleave_dedup(results: DataFrame) -> DataFrame:
     """Two engines merged by rank, first engine first, one result per query and normalised link.
-    Results without link all stay. The merged order is (rnk, engine)."""
-    named = normalize_url(results)
-    order = [F.col("rnk"), F.col("engine")]
-    return first_n(named.where("norm_url <> ''"), ["query_id", "norm_url"], order, 1).unionByName(
-        named.where("norm_url = ''"))
+    Results without link all stay. The merged order is (rnk, engine), unique per query."""
+    apart = F.when(F.col("norm_url") == "", F.struct("rnk", "engine"))
+    named = normalize_url(results).withColumn("__apart", apart)
+    return first_n(named, ["query_id", "norm_url", "__apart"], [F.col("rnk"), F.col("engine")], 1).drop("__apart")
 
 
 def host(link: Column) -> Column:

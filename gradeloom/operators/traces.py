@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.jsontext import is_array, is_object, member, strict_json, text_member
-from gradeloom.functions.text import cut_at_paragraph, present, trim_blank
+from gradeloom.functions.text import cut_at_paragraph, let, present, trim_blank
 
 # Private-use characters that mark piece borders inside a text.
 MARK, NAME_END, BODY_END = "\ue000", "\ue001", "\ue002"
@@ -91,23 +91,21 @@ def _search_body(step: Column) -> Column:
             one.isNotNull(), F.when(F.length(one) < 500, F.concat(_lit("Query: "), one)).otherwise(""))
         queries.append(shown)
     asked = present(F.coalesce(*queries))
-    sources = _sources(step)
-    hits = F.transform(F.slice(sources, 1, MAX_RESULTS), lambda s, i: F.concat(
+    shown_hits = lambda sources: F.transform(F.slice(sources, 1, MAX_RESULTS), lambda s, i: F.concat(
         _lit("  ["), (i + 1).cast("string"), _lit("] "), _or_empty(F.try_variant_get(s, "$.title", "string")), _lit(": "),
         F.substring(_or_empty(F.try_variant_get(s, "$.snippet", "string")), 1, MAX_SNIPPET)))
     name = present(F.try_variant_get(step, "$.name", "string"))
     output = present(text_member(step, "output"))
-    body = _lines(
+    body = let(_sources(step), lambda sources: _lines(
         F.when(name.isNotNull(), F.concat(_lit("Tool: "), name)), asked,
-        F.when(F.size(hits) > 0, F.array_join(hits, "\n")),
-        F.when(output.isNotNull() & (F.size(sources) == 0), F.concat(_lit("Output: "), F.substring(output, 1, MAX_OUTPUT))))
+        F.when(F.size(sources) > 0, F.array_join(shown_hits(sources), "\n")),
+        F.when(output.isNotNull() & (F.size(sources) == 0), F.concat(_lit("Output: "), F.substring(output, 1, MAX_OUTPUT)))))
     return F.coalesce(present(body), _lit("(search/tool step, details omitted)"))
 
 
 def _step_line(step: Column) -> Column:
     kind = F.coalesce(F.try_variant_get(step, "$.type", "string"), _lit("unknown"))
     head = F.concat(_lit("[Step "), F.coalesce(F.try_variant_get(step, "$.step", "string"), _lit("?")), _lit("] ["), kind, _lit("]"))
-    content = _content(step)
     stage = F.concat(head, _lit(" "), _or_empty(F.try_variant_get(step, "$.name", "string")), _lit(" ("),
                      _or_empty(F.try_variant_get(step, "$.status", "string")), _lit(", "),
                      _or_empty(F.try_variant_get(step, "$.duration", "string")), _lit("ms)"))
@@ -118,14 +116,14 @@ def _step_line(step: Column) -> Column:
         head, present(text_member(step, "thinking_text")),
         F.when(summary.isNotNull(), F.concat(_lit("Summary: "), summary)),
         F.when(F.size(plan_list) > 0, F.concat(_lit("Plan: "), F.array_join(plan_list, "; "))).otherwise(present(text_member(step, "plan_items"))))
-    full = F.when(content == "", F.when(kind == "stage", stage).otherwise(head)).when(kind == "thinking", thinking).otherwise(
-        F.concat(head, _lit("\n"), content))
-    other = F.when(content == "", head).otherwise(F.concat(head, _lit("\n"), F.substring(content, 1, MAX_BODY)))
-    return (
-        F.when(kind.isin(FULL_TYPES), full)
-        .when(kind.isin(SHORT_TYPES), F.concat(head, _lit("\n"), _search_body(step)))
-        .otherwise(other)
-    )
+
+    def spoken(content):
+        full = F.when(content == "", F.when(kind == "stage", stage).otherwise(head)).when(kind == "thinking", thinking).otherwise(
+            F.concat(head, _lit("\n"), content))
+        other = F.when(content == "", head).otherwise(F.concat(head, _lit("\n"), F.substring(content, 1, MAX_BODY)))
+        return F.when(kind.isin(FULL_TYPES), full).otherwise(other)
+
+    return F.when(kind.isin(SHORT_TYPES), F.concat(head, _lit("\n"), _search_body(step))).otherwise(let(_content(step), spoken))
 
 
 def step_lines(process: Column) -> Column:
@@ -221,23 +219,28 @@ def compress_lines(lines: Column, max_chars: int, head_chars: int, floor: int) -
     The first line of a piece is never cut and a body keeps at least `floor` characters, so the
     result may still be longer than `max_chars`.
     """
-    joined = F.array_join(lines, "\n\n")
     total = F.aggregate(lines, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x))
     budget = F.greatest(F.lit(max_chars) - F.size(lines) * head_chars, F.lit(max_chars // 2)).cast("double")
-    ratio = budget / F.nullif(total, F.lit(0))
 
-    def shorten(x):
+    def shorten(x, ratio):
         at = F.locate("\n", x)
         body = F.when(at > 0, F.substring(x, at + 1, F.length(x))).otherwise("")
-        allowed = F.greatest((F.length(body) * ratio).cast("int"), F.lit(floor))
-        kept = F.when(F.length(body) > allowed, F.concat(F.substring(body, F.lit(1), allowed), _lit("..."))).otherwise(body)
-        return F.when(body == "", F.substring_index(x, "\n", 1)).otherwise(F.concat(F.substring_index(x, "\n", 1), _lit("\n"), kept))
+        head = F.substring_index(x, "\n", 1)
 
-    return (
-        F.when(F.length(joined) <= max_chars, joined)
-        .when(ratio >= 1, joined)
-        .otherwise(F.array_join(F.transform(lines, shorten), "\n\n"))
-    )
+        def cut(t):
+            allowed = F.greatest((F.length(t) * ratio).cast("int"), F.lit(floor))
+            kept = F.when(F.length(t) > allowed, F.concat(F.substring(t, F.lit(1), allowed), _lit("..."))).otherwise(t)
+            return F.when(t == "", head).otherwise(F.concat(head, _lit("\n"), kept))
+
+        return let(body, cut)
+
+    def squeezed(ratio):
+        return F.when(ratio >= 1, F.array_join(lines, "\n\n")).otherwise(
+            F.array_join(F.transform(lines, lambda x: shorten(x, ratio)), "\n\n"))
+
+    whole = F.array_join(lines, "\n\n")
+    return let(whole, lambda j: F.when(F.length(j) <= max_chars, j).otherwise(
+        let(budget / F.nullif(total, F.lit(0)), squeezed)))
 
 
 def compress_trace(traces: DataFrame, max_chars: int = 30_000) -> DataFrame:

@@ -9,8 +9,7 @@ from gradeloom.operators import scores as S
 
 def quality_board(criteria: DataFrame, replies: DataFrame, raw_weights: DataFrame) -> DataFrame:
     """Leaderboard with mean total, entry count and mean of the query-specific dimensions."""
-    scored = S.join_criterion_scores(criteria, replies)
-    dims = S.dimension_score(scored)
+    dims = S.complete_dimension_score(criteria, replies)
     weights = S.normalize_weights(raw_weights, ["query_id"], "raw_weight", "weight")
     totals = S.total_score(dims, weights)
     board = S.leaderboard_quality(S.quality_means(totals))
