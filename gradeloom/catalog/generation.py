@@ -81,12 +81,12 @@ CHECK = "concat(chr(10), '[user_query start]>>>', chr(10), {q}, chr(10), '[user_
 
 @query("build_prompts", "v_report", f"SELECT doc_id, {CHECK.format(q='model', p='report')} AS prompt FROM v_report")
 def _(d):
-    return d.v_report.select("doc_id", G.check_prompt(F.col("model"), F.col("report")).alias("prompt"))
+    return d.wide("v_report").select("doc_id", G.check_prompt(F.col("model"), F.col("report")).alias("prompt"))
 
 
 @query("build_prompts_by_attachment", "v_report", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('Task {', model, '} facts: ', report) ELSE concat('Task ', model) END AS prompt FROM v_report""")
 def _(d):
-    return d.v_report.select("doc_id", G.choose_template(
+    return d.wide("v_report").select("doc_id", G.choose_template(
         F.col("doc_id") % 3 == 0, "Task {{{task}}} facts: {facts}", "Task {task}", task=F.col("model"), facts=F.col("report")).alias("prompt"))
 
 

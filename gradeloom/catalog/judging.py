@@ -69,7 +69,7 @@ SELECT doc_id AS task_id, count(*) AS chunks, count(*) FILTER (lost) AS dropped_
  count(*) FILTER (NOT lost) + count(*) FILTER (NOT lost AND n % 4 = 0) AS "right", count(*) FILTER (NOT lost AND n % 4 = 1) AS wrong, count(*) FILTER (NOT lost AND n % 4 = 2) AS conflict,
  count(*) FILTER (NOT lost AND n % 4 = 3) AS unknown FROM v GROUP BY doc_id""")
 def _(d):
-    reports = d.v_report.select(F.col("doc_id").alias("task_id"), F.lit("source of report").alias("user_query"), "report")
+    reports = d.wide("v_report").select(F.col("doc_id").alias("task_id"), F.lit("source of report").alias("user_query"), "report")
     return FC.fact_check(reports, part_checker, concurrency=8, tries=2)
 
 
@@ -81,7 +81,7 @@ def _(d):
 
 @query("process_board", "v_process_reply")
 def _(d):
-    replies = d.v_process_reply
+    replies = d.wide("v_process_reply")
     aligned = replies.withColumn("reply", F.lit('{"findings_to_report": {"score": 7}, "report_to_process": {"score": 6}, "contradiction": {"score": 9}}'))
     return rounded(process.process_board(replies, aligned), "intrinsic_avg", "alignment_avg", "overall_avg")
 

@@ -179,7 +179,7 @@ names AS (SELECT unnest(['search_breadth', 'analytical_depth', 'progressive_refi
 g AS (SELECT * FROM k WHERE (SELECT bool_and(coalesce(list_contains(json_keys(j, '$.' || dimension), 'score'), false)) FROM names))
 SELECT model, entry_id, dimension, (j -> dimension ->> 'score')::double AS score FROM g CROSS JOIN names""")
 def _(d):
-    return S.score_gate(d.v_process_reply, S.INTRINSIC_DIMENSIONS)
+    return S.score_gate(d.wide("v_process_reply"), S.INTRINSIC_DIMENSIONS)
 
 
 PS = """, dimsx AS (SELECT 'intrinsic' AS family, unnest(['search_breadth', 'analytical_depth', 'progressive_refinement', 'critical_thinking', 'efficiency']) AS dimension

@@ -57,7 +57,7 @@ def _(d):
 @query("decode_urls", "", """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'p%C3%A9' WHEN page_id % 4 = 1 THEN concat(url, '/café%2Fx~%20+%zz')
  WHEN page_id % 4 = 2 THEN concat(url, '/%5Ba%5d') ELSE url END AS link, concat(url, '|', url, '/é') AS links FROM pages""")
 def _(d):
-    rows = d.pages.selectExpr(
+    rows = d.wide("pages").selectExpr(
         "page_id",
         "CASE WHEN page_id % 4 = 0 THEN 'p%C3%A9' WHEN page_id % 4 = 1 THEN concat(url, '/caf%C3%A9%2Fx%7E%20+%zz')"
         " WHEN page_id % 4 = 2 THEN concat(url, '/%5Ba%5d') ELSE url END AS link",
@@ -69,7 +69,7 @@ def _(d):
 @query("trim_search_payload", "", """SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'no json' ELSE
 concat('{"organic":[{"link":"', url, '","position":', page_id, '}],"peopleAlsoAsk":[{"question":"q"}]}') END AS payload FROM pages""")
 def _(d):
-    made = d.pages.selectExpr("page_id", """CASE WHEN page_id % 5 = 4 THEN 'no json' ELSE
+    made = d.wide("pages").selectExpr("page_id", """CASE WHEN page_id % 5 = 4 THEN 'no json' ELSE
         concat('{"knowledgeGraph": {"a": 1}, "answerBox": {"b": [1]}, "organic": [{"link": "', url, '", "position": ', page_id,
         ', "snippet": "s"}], "peopleAlsoAsk": [{"question": "q", "snippet": "t"}]}') END AS payload""")
     return made.withColumn("payload", S.trim_search_payload(F.col("payload")))
@@ -121,12 +121,12 @@ def strip(c):
 @query("page_text", "", f"""SELECT page_id, {strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
 {strip("regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gsi'), '^.*?<body[^>]*>', '', 'si'), '</body>.*$', '', 'si')")} AS text FROM pages""")
 def _(d):
-    return S.page_text(d.pages)
+    return S.page_text(d.wide("pages"))
 
 
 @query("page_text_parsed")
 def _(d):
-    return S.page_text_parsed(d.pages)
+    return S.page_text_parsed(d.wide("pages"))
 
 
 @query("page_links", "", f"""SELECT page_id, pos - 1 AS pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(href, '^(?i)(https?|file):')
@@ -134,21 +134,21 @@ def _(d):
  FROM (SELECT page_id, generate_subscripts(t, 1) AS pos, unnest(t) AS tag, unnest(i) AS inner_html FROM
   (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 1) AS t, regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 2) AS i FROM pages))) WHERE text <> ''""")
 def _(d):
-    return S.page_links(d.pages).withColumn("pos", F.col("pos").cast("bigint"))
+    return S.page_links(d.wide("pages")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # the pages hold no images, so each gets two: one by address, one inline
 @query("page_images", "", """SELECT page_id, 0 AS pos, 'chart' AS alt, concat(url, '/i.png') AS src FROM pages
 UNION ALL SELECT page_id, 1, '', 'data:image/png;base64...' FROM pages""")
 def _(d):
-    made = d.pages.selectExpr("page_id", """concat(html, '<img alt="chart" src="', url, '/i.png">', '<IMG src=''data:image/png;base64,AAA,BB''>') AS html""")
+    made = d.wide("pages").selectExpr("page_id", """concat(html, '<img alt="chart" src="', url, '/i.png">', '<IMG src=''data:image/png;base64,AAA,BB''>') AS html""")
     return S.page_images(made)
 
 
 @query("strip_markdown_links", "", """SELECT doc_id, trim(regexp_replace(concat(replace(text, '. ', ' here <b> '), chr(10) || chr(10), 'http://x.org/a'),
  '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents""")
 def _(d):
-    made = d.documents.selectExpr("doc_id", """concat(replace(text, '. ', ' [here](http://x.org/a?b=c) ![pic](data:x)<b> '),
+    made = d.wide("documents").selectExpr("doc_id", """concat(replace(text, '. ', ' [here](http://x.org/a?b=c) ![pic](data:x)<b> '),
         chr(10), chr(10), chr(10), chr(10), '<http://x.org/a>') AS text""")
     return made.select("doc_id", S.strip_markdown_links(F.col("text")).alias("text"))
 
@@ -157,7 +157,7 @@ def _(d):
 length(t[:1500]) - length(replace(t[:1500], chr(10), '')) + 1 AS last_char_line, length(t) <= 1500 AS all_displayed
 FROM (SELECT page_id, replace(html, 'e', chr(10)) AS t FROM pages)""")
 def _(d):
-    made = d.pages.selectExpr("page_id", "replace(html, 'e', chr(10)) AS html")
+    made = d.wide("pages").selectExpr("page_id", "replace(html, 'e', chr(10)) AS html")
     return S.page_stats(made, "html", 1500).selectExpr(
         "page_id", "cast(char_count AS bigint) AS char_count", "cast(line_count AS bigint) AS line_count",
         "cast(last_char_line AS bigint) AS last_char_line", "all_displayed")

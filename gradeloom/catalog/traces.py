@@ -14,7 +14,7 @@ M = "chr(57344)"
 WHEN len(regexp_extract_all(process, '\\[(?:reasoning|web_search|scrape|run_python_code)\\]')) >= 2 THEN 'block_text'
 WHEN len(regexp_extract_all(process, '\\[Step [0-9]+\\]')) >= 2 THEN 'step_text' ELSE 'plain_text' END AS trace_format FROM v_trace""")
 def _(d):
-    return d.v_trace.select("doc_id", T.detect_trace_format(F.col("process")).alias("trace_format"))
+    return d.wide("v_trace").select("doc_id", T.detect_trace_format(F.col("process")).alias("trace_format"))
 
 
 STEPS = """, jl AS (SELECT doc_id, string_split(replace(replace(text, chr(92), ''), '"', ''''), chr(10)) AS l FROM documents WHERE doc_id % 5 = 0),
@@ -25,12 +25,12 @@ jline AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN concat('[Step 1] [think]',
 
 @query("trace_steps_json", "v_trace", STEPS + " SELECT doc_id, cast(pos AS int) AS pos, line FROM jline")
 def _(d):
-    return T.trace_steps_json(d.v_trace, "doc_id")
+    return T.trace_steps_json(d.wide("v_trace"), "doc_id")
 
 
 @query("unreadable_traces", "v_trace", "SELECT doc_id, length(process) + 1 AS n_chars FROM v_trace WHERE doc_id % 5 = 0")
 def _(d):
-    broken = d.v_trace.withColumn("process", F.when(F.col("doc_id") % 5 == 0, F.concat("process", F.lit("]"))).otherwise(F.lit("plain")))
+    broken = d.wide("v_trace").withColumn("process", F.when(F.col("doc_id") % 5 == 0, F.concat("process", F.lit("]"))).otherwise(F.lit("plain")))
     return T.unreadable_traces(broken, "doc_id").withColumn("n_chars", F.col("n_chars").cast("bigint"))
 
 
@@ -50,12 +50,12 @@ bn AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 A
 
 @query("trace_blocks", "v_trace", BLOCKS + " SELECT doc_id, cast(pos AS int) AS pos, type, content FROM b")
 def _(d):
-    return T.trace_blocks(d.v_trace, "doc_id")
+    return T.trace_blocks(d.wide("v_trace"), "doc_id")
 
 
 @query("format_blocks", "v_trace", BLOCKS + " SELECT doc_id, cast(pos AS int) AS pos, line FROM bn")
 def _(d):
-    return T.format_blocks(d.v_trace, "doc_id")
+    return T.format_blocks(d.wide("v_trace"), "doc_id")
 
 
 # text cut at `n` characters, back to the last blank line beyond 0.7 * n
@@ -75,7 +75,7 @@ sj AS (SELECT doc_id, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY n) FILT
 
 @query("trace_steps_text", "v_trace", STEPTEXT + f" SELECT doc_id, {cut('t', 900)} AS text FROM sj")
 def _(d):
-    return d.v_trace.select("doc_id", T.trace_steps_text(F.col("process"), 900).alias("text"))
+    return d.wide("v_trace").select("doc_id", T.trace_steps_text(F.col("process"), 900).alias("text"))
 
 
 PLAIN = """, pl AS (SELECT doc_id, regexp_replace(regexp_replace(process, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t\\r]+(\\n|$)', '\\1', 'g') AS t FROM v_trace)"""
@@ -83,7 +83,7 @@ PLAIN = """, pl AS (SELECT doc_id, regexp_replace(regexp_replace(process, '\\n{3
 
 @query("truncate_paragraph", "v_trace", PLAIN + f" SELECT doc_id, {cut('t', 400)} AS text FROM pl")
 def _(d):
-    return d.v_trace.select("doc_id", T.plain_trace(F.col("process"), 400).alias("text"))
+    return d.wide("v_trace").select("doc_id", T.plain_trace(F.col("process"), 400).alias("text"))
 
 
 def squeeze(src, n, head, floor):
@@ -104,7 +104,7 @@ cj AS {squeeze('jline', 1200, 60, 100)}, cb AS {squeeze('bn', 1200, 40, 80)}
 SELECT f.doc_id, f.trace_format, CASE trace_format WHEN 'json_array' THEN cj.text WHEN 'block_text' THEN cb.text WHEN 'step_text' THEN {cut('sj.t', 1200)} ELSE {cut('pl.t', 1200)} END AS compressed
 FROM f LEFT JOIN cj USING (doc_id) LEFT JOIN cb USING (doc_id) JOIN sj USING (doc_id) JOIN pl USING (doc_id)""")
 def _(d):
-    return T.compress_trace(d.v_trace, 1200).select("doc_id", "trace_format", "compressed")
+    return T.compress_trace(d.wide("v_trace"), 1200).select("doc_id", "trace_format", "compressed")
 
 
 @query("pack_chunks", "v_trace", f""", k AS (SELECT doc_id, process, string_split(regexp_replace(process, '(\\[Step [0-9]+\\])', {M} || '\\1', 'g'), {M}) AS l FROM v_trace WHERE doc_id % 5 = 2),
@@ -117,18 +117,18 @@ SELECT w.doc_id, CASE WHEN w.doc_id % 5 = 2 AND len(k.l) > 2 THEN 'step_text' EL
  concat(CASE WHEN chunk_no = 0 THEN k2.l[1] ELSE '' END, CASE WHEN w.doc_id % 5 = 2 AND len(k.l) > 2 THEN string_agg(k2.l[n], '' ORDER BY n) ELSE string_agg(k2.l[n], chr(10) || chr(10) ORDER BY n) END) AS chunk
 FROM w JOIN k2 USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY w.doc_id, chunk_no, k.l, k2.l""")
 def _(d):
-    return T.pack_chunks(d.v_trace.where("doc_id % 5 IN (2, 4)"), "doc_id", limit=700)
+    return T.pack_chunks(d.wide("v_trace").where("doc_id % 5 IN (2, 4)"), "doc_id", limit=700)
 
 
 @query("pack_chunks_tagged")
 def _(d):
-    return T.pack_chunks(d.v_trace.where("doc_id % 5 IN (0, 1, 3)"), "doc_id", limit=700)
+    return T.pack_chunks(d.wide("v_trace").where("doc_id % 5 IN (0, 1, 3)"), "doc_id", limit=700)
 
 
 @query("truncate_report", "v_report", """SELECT doc_id, CASE WHEN length(report) > 500 THEN concat(substr(report, 1, 500), chr(10), chr(10), '[... report truncated ...]')
 ELSE report END AS report FROM v_report""")
 def _(d):
-    return d.v_report.select("doc_id", R.truncate_report(F.col("report"), 500).alias("report"))
+    return d.wide("v_report").select("doc_id", R.truncate_report(F.col("report"), 500).alias("report"))
 
 
 SEG = f""", rp AS (SELECT doc_id, string_split(regexp_replace(report, '(\\n\\s*\\n)', '\\1' || {M}, 'g'), {M}) AS l FROM v_report),
@@ -139,12 +139,12 @@ rs AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(p, '^ {{0,3}}#{{1,6}} [^\
 
 @query("segment_reports", "v_report", SEG + " SELECT doc_id, cast(seg AS int) AS idx, string_agg(p, '' ORDER BY n) AS segment FROM rs GROUP BY ALL")
 def _(d):
-    return R.segment_reports(d.v_report, "doc_id")
+    return R.segment_reports(d.wide("v_report"), "doc_id")
 
 
 # replies that carry one object in the places a judge may put it
 def _replies(d):
-    return d.part.selectExpr("p_partkey AS id", r"""CASE p_partkey % 7
+    return d.wide("part").selectExpr("p_partkey AS id", r"""CASE p_partkey % 7
         WHEN 0 THEN concat(' {"a": ', p_size, ', "b": [1, 2]} ')
         WHEN 1 THEN concat('text\n```json\n{"a": ', p_size, ', "b": [1, 2]}\n```\nmore')
         WHEN 2 THEN concat('so <json_output> {"a": ', p_size, ', "b": [1, 2]} </json_output> end')
@@ -187,7 +187,7 @@ MERGE = """, p AS (SELECT concat('m', l_suppkey % 10, '/', l_partkey % 100) AS t
 
 
 def _chunks(d):
-    return d.v_chunk.withColumn("json", R.verdict_block(F.col("summary")))
+    return d.wide("v_chunk").withColumn("json", R.verdict_block(F.col("summary")))
 
 
 @query("merge_chunks", "v_chunk", MERGE + """ SELECT task_id, chunk_idx, 0 AS pos, concat(CASE n WHEN 5 THEN 's' ELSE 'a' END, l_partkey) AS statement, 'Right' AS verification FROM p WHERE n <= 5
@@ -203,7 +203,7 @@ def _(d):
 
 # structured traces made from the lines of the documents; some lack a key
 def _structured(d):
-    return d.documents.selectExpr("doc_id", "source AS model", """CASE WHEN doc_id % 9 = 4 THEN '{"steps": []}' WHEN doc_id % 9 = 5 THEN 'not json' WHEN doc_id % 9 = 6 THEN '{"steps": null, "global_findings": null}'
+    return d.wide("documents").selectExpr("doc_id", "source AS model", """CASE WHEN doc_id % 9 = 4 THEN '{"steps": []}' WHEN doc_id % 9 = 5 THEN 'not json' WHEN doc_id % 9 = 6 THEN '{"steps": null, "global_findings": null}'
         ELSE to_json(named_struct('steps', transform(split(text, '\\n'), (x, i) -> named_struct('step_id', i + 1, 'action_type',
           element_at(array('plan', 'search', 'read', 'analyze', 'synthesize', 'verify'), cast((i + doc_id) % 6 + 1 AS int)), 'summary', x, 'key_findings', array(x))),
         'global_findings', transform(slice(split(text, '\\n'), 1, 3), (x, i) -> named_struct('finding', x, 'first_found_at_step', i + 1, 'related_steps', array(i),

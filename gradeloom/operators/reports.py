@@ -22,7 +22,7 @@ def truncate_report(report: Column, max_chars: int = REPORT_CHARS) -> Column:
 def segments(report: Column) -> Column:
     """Logical parts of a report: one per paragraph, headings kept with the text after them. The parts
     put together are the report again."""
-    parts = F.split(F.regexp_replace(F.translate(report, _MARK, ""), r"(\n\s*\n)", f"$1{_MARK}"), _MARK)
+    parts = F.split(F.regexp_replace(F.replace(report, F.lit(_MARK), F.lit("")), r"(\n\s*\n)", f"$1{_MARK}"), _MARK)
     none = F.array().cast("array<string>")
 
     def add(s, x):
@@ -106,9 +106,9 @@ def extract_json(df: DataFrame, text: str, mode: str, out: str = "json") -> Data
 
 
 def verdict_block(text: Column) -> Column:
-    """Text from the first { to the last } after taking off an outer fence; null without braces."""
-    bare = F.regexp_replace(trim_blank(text), r"(?is)^```(?:json)?\s*|\s*```$", "")
-    return _between(bare, "{", "}")
+    """Text from the first { to the last }, which a code fence around it does not change; null without
+    braces."""
+    return _between(text, "{", "}")
 
 
 def _mend(text: str) -> str | None:

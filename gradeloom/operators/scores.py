@@ -229,16 +229,14 @@ def leaderboard_quality(means: DataFrame) -> DataFrame:
 def score_gate(replies: DataFrame, dimensions: list[str]) -> DataFrame:
     """Scores of one judge family. An entry counts only if every dimension is an object with a
     `score` key; the score itself may still be null."""
-    parsed = replies.withColumn("__m", F.from_json("reply", "map<string,string>"))
-    dims = F.array(*map(F.lit, dimensions))
-    has_score = lambda d: F.coalesce(
-        F.array_contains(F.json_object_keys(F.element_at("__m", d)), "score"), F.lit(False))
-    return (
-        parsed.where(F.forall(dims, has_score))
-        .withColumn("dimension", F.explode(dims))
-        .withColumn("score", F.get_json_object(F.element_at("__m", F.col("dimension")), "$.score").try_cast("double"))
-        .drop("__m", "reply")
-    )
+    parsed = replies.withColumn("__r", F.from_json("reply", ", ".join(f"{d} map<string,string>" for d in dimensions)))
+    complete = F.lit(True)
+    for d in dimensions:
+        complete = complete & F.coalesce(F.map_contains_key(F.col(f"__r.{d}"), "score"), F.lit(False))
+    rows = F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.col(f"__r.{d}")["score"].try_cast("double").alias("score")) for d in dimensions])
+    kept = [c for c in replies.columns if c != "reply"]
+    return parsed.where(complete).select(*kept, F.inline(rows))
 
 
 def process_summary(scores: DataFrame) -> DataFrame:

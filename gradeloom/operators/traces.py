@@ -42,7 +42,9 @@ def _lines(*parts: Column) -> Column:
 
 
 def _pieces(text: Column, pattern: str, replacement: str) -> Column:
-    clean = F.translate(text, MARK + NAME_END + BODY_END, "")
+    # texts that use the border characters themselves lose them; looking first is far cheaper
+    used = text.contains(MARK) | text.contains(NAME_END) | text.contains(BODY_END)
+    clean = F.when(used, F.translate(text, MARK + NAME_END + BODY_END, "")).otherwise(text)
     return F.split(F.regexp_replace(clean, pattern, replacement), MARK)
 
 
@@ -153,8 +155,8 @@ def blocks(process: Column) -> Column:
     marked = _pieces(process, rf"(?s)\[({BLOCK_TAGS})\]|<think>(.*?)</think>", f"{MARK}$1{NAME_END}$2{BODY_END}")
     named = F.transform(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), lambda p: F.struct(
         F.coalesce(present(F.substring_index(p, NAME_END, 1)), _lit("reasoning")).alias("type"),
-        trim_blank(F.when(p.startswith(NAME_END), F.regexp_extract(p, f"(?s){NAME_END}(.*?){BODY_END}", 1))
-                   .otherwise(F.regexp_extract(p, f"(?s){BODY_END}(.*)$", 1))).alias("content")))
+        trim_blank(F.when(p.startswith(NAME_END), F.substring_index(F.substring_index(p, BODY_END, 1), NAME_END, -1))
+                   .otherwise(F.substring_index(p, BODY_END, -1))).alias("content")))
     return F.filter(named, lambda b: b["content"] != "")
 
 

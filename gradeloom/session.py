@@ -53,3 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in reliable storage, so that what follows is never recomputed."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows out to all cores where the input comes in fewer pieces than there are cores, as
+    with one small file of long texts. Inputs with enough pieces stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
