@@ -40,8 +40,5 @@ def text_member(v: Column, key: str) -> Column:
 
 def has_keys(text: Column, *keys: str) -> Column:
     """Whether a JSON object has all keys; a key whose value is null counts."""
-    names = F.json_object_keys(text)
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.coalesce(F.array_contains(names, k), F.lit(False))
-    return out
+    return let(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")), lambda names: F.size(
+        F.array_intersect(names, F.array(*map(F.lit, keys)))) == len(keys))

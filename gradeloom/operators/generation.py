@@ -7,7 +7,7 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.numbering import first_n, number_rows
-from gradeloom.functions.text import trim_blank
+from gradeloom.functions.text import let, trim_blank
 
 # Canonical domains in the order they are tried, then keywords and their domain.
 DOMAINS = ["finance", "policy", "tech", "cybersecurity", "health", "science", "education", "legal", "energy", "trade", "crypto"]
@@ -35,9 +35,11 @@ MAX_TRENDS, TREND_CHARS, MAX_SEEDS, SEED_CHARS = 15, 150, 5, 300
 
 def needs_research(reply: Column, threshold: float = 0.7) -> Column:
     """Judge reply says deep research is needed, with enough confidence; missing confidence is 0."""
-    r = F.from_json(reply, "needs_deep_research boolean, confidence_score double")
-    sure = F.coalesce(r["confidence_score"], F.lit(0.0).cast("double")) >= threshold
-    return F.coalesce(r["needs_deep_research"], F.lit(False)) & sure
+    def verdict(r):
+        sure = F.coalesce(r["confidence_score"], F.lit(0.0).cast("double")) >= threshold
+        return F.coalesce(r["needs_deep_research"], F.lit(False)) & sure
+
+    return let(F.from_json(reply, "needs_deep_research boolean, confidence_score double"), verdict)
 
 
 def deep_research_filter(queries: DataFrame, reply: str = "dr_reply", threshold: float = 0.7) -> DataFrame:
@@ -47,12 +49,14 @@ def deep_research_filter(queries: DataFrame, reply: str = "dr_reply", threshold:
 def is_hard(reply: Column, threshold: float = 0.75) -> Column:
     """The answer without search was poor: low or medium quality, search required, score not above
     the threshold. Missing values read as high, false and 1."""
-    r = F.from_json(reply, "overall_quality string, quality_score double, requires_search boolean")
-    return (
-        F.coalesce(r["overall_quality"], F.lit("high")).isin("low", "medium")
-        & F.coalesce(r["requires_search"], F.lit(False))
-        & (F.coalesce(r["quality_score"], F.lit(1.0).cast("double")) <= threshold)
-    )
+    def verdict(r):
+        return (
+            F.coalesce(r["overall_quality"], F.lit("high")).isin("low", "medium")
+            & F.coalesce(r["requires_search"], F.lit(False))
+            & (F.coalesce(r["quality_score"], F.lit(1.0).cast("double")) <= threshold)
+        )
+
+    return let(F.from_json(reply, "overall_quality string, quality_score double, requires_search boolean"), verdict)
 
 
 def hard_query_filter(queries: DataFrame, reply: str = "quality_reply", threshold: float = 0.75) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom.functions.numbering import with_group_values
-from gradeloom.functions.text import snake_name, trim_blank
+from gradeloom.functions.text import let, snake_name, trim_blank
 
 # The dimensions every report is scored on, and those of a research trace.
 FIXED_DIMENSIONS = ["coverage", "insight", "instruction_following", "clarity"]
@@ -229,14 +229,18 @@ def leaderboard_quality(means: DataFrame) -> DataFrame:
 def score_gate(replies: DataFrame, dimensions: list[str]) -> DataFrame:
     """Scores of one judge family. An entry counts only if every dimension is an object with a
     `score` key; the score itself may still be null."""
-    parsed = replies.withColumn("__r", F.from_json("reply", ", ".join(f"{d} map<string,string>" for d in dimensions)))
-    complete = F.lit(True)
-    for d in dimensions:
-        complete = complete & F.coalesce(F.map_contains_key(F.col(f"__r.{d}"), "score"), F.lit(False))
-    rows = F.array(*[
-        F.struct(F.lit(d).alias("dimension"), F.col(f"__r.{d}")["score"].try_cast("double").alias("score")) for d in dimensions])
+    parsed = F.from_json("reply", ", ".join(f"{d} map<string,string>" for d in dimensions))
+
+    def scores(r):
+        complete = F.lit(True)
+        for d in dimensions:
+            complete = complete & F.coalesce(F.map_contains_key(r[d], "score"), F.lit(False))
+        return F.when(complete, F.array(*[
+            F.struct(F.lit(d).alias("dimension"), r[d]["score"].try_cast("double").alias("score")) for d in dimensions]))
+
     kept = [c for c in replies.columns if c != "reply"]
-    return parsed.where(complete).select(*kept, F.inline(rows))
+    # one parse per reply: a filter on the parsed columns would repeat it for every dimension
+    return replies.select(*kept, F.inline(let(parsed, scores)))
 
 
 def process_summary(scores: DataFrame) -> DataFrame:
