@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradeloom.functions.numbering import first_n
-from gradeloom.functions.text import canonical_url, first_present, readable_url, trim_blank, url_part
+from gradeloom.functions.text import canonical_url, first_present, let, readable_url, trim_blank, url_part
 
 # Link parts that are never used as a source.
 BLOCKED_LINKS = ["huggingface.co/datasets", "huggingface.co/spaces"]
@@ -220,13 +220,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     anchor = F.lit(r"(?is)<a\b([^>]*)>(.*?)</a>")
     found = F.arrays_zip(
         F.regexp_extract_all("html", anchor, 1).alias("tag"), F.regexp_extract_all("html", anchor, 2).alias("inner"))
-    scheme = F.lower(url_part(F.col("href"), 1))
-    return (
-        pages.select("page_id", F.posexplode(found).alias("pos", "a"))
-        .select("page_id", "pos", _attribute(F.col("a.tag"), "href").alias("href"), plain_markup(F.col("a.inner")).alias("text"))
-        .where("text <> ''")
-        .withColumn("href", F.when(scheme.isin("", "http", "https", "file"), F.col("href")).otherwise(""))
-    )
+
+    def link(a, pos):
+        return let(_attribute(a["tag"], "href"), lambda href: F.struct(
+            pos.alias("pos"),
+            F.when(F.lower(url_part(href, 1)).isin("", "http", "https", "file"), href).otherwise("").alias("href"),
+            plain_markup(a["inner"]).alias("text")))
+
+    return pages.select("page_id", F.inline(F.filter(F.transform(found, link), lambda x: x["text"] != "")))
 
 
 def page_images(pages: DataFrame) -> DataFrame:

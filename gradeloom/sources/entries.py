@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.jsontext import strict_json
-from gradeloom.functions.text import first_present, present
+from gradeloom.functions.text import first_present, let, present
 
 # Default patterns: file name without extension, and the folder it lies in.
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
@@ -91,24 +91,24 @@ def load_tasks_dir(spark: SparkSession, path: str | list[str], folder: str = FOL
     """Tasks from one-object files below model folders. Three shapes, by the keys present: a filled
     list `entries`, else query + response, else user_query + response; items without either text are
     left out."""
-    raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-        .select(from_path(folder).alias("model"), from_path(stem).alias("stem"), F.from_json("value", "map<string,string>").alias("m"))
-        .withColumn("e", F.from_json(F.col("m")["entries"], "array<struct<query:string,response:string>>"))
-    )
-    m, has = F.col("m"), lambda k: F.map_contains_key("m", k)
-    nested, flat = F.size("e") > 0, has("query") & has("response")
-    named = has("user_query") & has("response")
-    question = F.when(nested, F.try_element_at("e", F.lit(1))["query"]).when(flat, m["query"]).when(named, m["user_query"])
-    answer = F.when(nested, F.try_element_at("e", F.lit(1))["response"]).when(flat | named, m["response"])
-    extra = lambda k: F.when(nested, m[k]).alias(k)
-    return (
-        raw.select(
-            F.concat_ws("/", present(F.col("model")), "stem").alias("task_id"), answer.alias("task_question"), question.alias("user_query"),
-            "model", first_present(m["file_path"], m["file_paths"], m["attachments"]).alias("file_path"),
-            extra("query_id"), extra("topic"), extra("language"))
-        .where((F.coalesce("user_query", F.lit("")) != "") & (F.coalesce("task_question", F.lit("")) != ""))
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        from_path(folder).alias("model"), from_path(stem).alias("stem"), F.from_json("value", "map<string,string>").alias("m"))
+
+    def task(m, entry):
+        has = lambda *keys: F.map_contains_key(m, keys[0]) & F.map_contains_key(m, keys[1])
+        extra = lambda k: F.when(entry.isNotNull(), m[k]).alias(k)
+        flat, named = has("query", "response"), has("user_query", "response")
+        question = F.when(entry.isNotNull(), entry["query"]).when(flat, m["query"]).when(named, m["user_query"])
+        answer = F.when(entry.isNotNull(), entry["response"]).when(flat | named, m["response"])
+        row = F.struct(
+            answer.alias("task_question"), question.alias("user_query"),
+            first_present(m["file_path"], m["file_paths"], m["attachments"]).alias("file_path"), *map(extra, ("query_id", "topic", "language")))
+        return F.when((F.coalesce(question, F.lit("")) != "") & (F.coalesce(answer, F.lit("")) != ""), F.array(row))
+
+    # no row or one per file, decided where the text is parsed
+    first = lambda m: F.try_element_at(F.from_json(m["entries"], "array<struct<query:string,response:string>>"), F.lit(1))
+    rows = let(F.col("m"), lambda m: let(first(m), lambda e: task(m, e)))
+    return files.select(F.concat_ws("/", present(F.col("model")), "stem").alias("task_id"), "model", F.inline(rows))
 
 
 def choose_files(spark: SparkSession, path: str, models: list[str], kind: str, stem: str = STEM) -> DataFrame:
@@ -137,10 +137,12 @@ def load_results_glob(spark: SparkSession, path: str, models: list[str], kind: s
     return rows.withColumn("model", model_of[bare])
 
 
-def explode_cells(maps: DataFrame, cell: str) -> DataFrame:
-    """(task, model, scores) rows of nested task -> model -> scores maps; null cells were not evaluated."""
+def explode_cells(lines: DataFrame, scores: str) -> DataFrame:
+    """(task, model, scores) rows of texts `value` that hold nested task -> model -> scores maps; null
+    cells were not evaluated. The parse stands inside the explode, which evaluates it once."""
+    tasks = F.from_json("value", f"map<string,map<string,struct<{scores}>>>")
     return (
-        maps.select(F.explode("m").alias("task_id", "by_model"))
+        lines.select(F.explode(tasks).alias("task_id", "by_model"))
         .select("task_id", F.explode("by_model").alias("model", "cell"))
         .where("cell IS NOT NULL")
         .select("task_id", "model", "cell.*")
@@ -158,9 +160,7 @@ CELL_FIELDS = {
 def load_score_cells(spark: SparkSession, path: str | list[str], kind: str = "factuality", whole_files: bool = True) -> DataFrame:
     """Score cells of JSON files; with whole_files=False each line is a map of its own, which lets
     large files split."""
-    cell = CELL_FIELDS[kind]
-    text = spark.read.option("wholetext", whole_files).option("recursiveFileLookup", True).text(path)
-    return explode_cells(text.select(F.from_json("value", f"map<string,map<string,struct<{cell}>>>").alias("m")), cell)
+    return explode_cells(spark.read.text(path, wholetext=whole_files, recursiveFileLookup=True), CELL_FIELDS[kind])
 
 
 def ground_truth_coalesce(reference: Column, truth: Column) -> Column:
