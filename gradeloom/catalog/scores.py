@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.catalog.registry import query, rounded
 from gradeloom.operators import scores as S
+from gradeloom.session import cut
 
 
 COUNTS = """, c AS (SELECT model, task_id, count(*) AS total,
@@ -123,11 +124,14 @@ def _dims(d):
 
 
 def _weights(d):
-    return S.normalize_weights(d.v_dim_weight, ["query_id"], "raw_weight", "weight")
+    # totals and weighted means divide by the sum of the weights used, so raw ones serve
+    return d.v_dim_weight.withColumnRenamed("raw_weight", "weight")
 
 
-def _totals(d):
-    return S.total_score(_dims(d), _weights(d))
+def _scored(d):
+    """Totals and dimension scores for queries that read both more than once: kept, not recomputed."""
+    dims = cut(_dims(d))
+    return cut(S.total_score(dims, _weights(d))), dims
 
 
 @query("dimension_score", "v_criterion", DIM + " SELECT query_id, model, dimension, round(dimension_score, 9) AS dimension_score FROM dim")
@@ -137,7 +141,7 @@ def _(d):
 
 @query("total_score", QV, TOT + " SELECT query_id, model, round(total_score, 9) AS total_score FROM tot")
 def _(d):
-    return rounded(_totals(d), "total_score")
+    return rounded(S.total_score(_dims(d), _weights(d)), "total_score")
 
 
 MEANS = TOT + """, qm AS (SELECT model, coalesce(avg(total_score) FILTER (total_score > 0), 0.0::double) AS average_total_score,
@@ -149,7 +153,7 @@ dm AS (SELECT model, dimension, coalesce(avg(dimension_score), 0.0::double) AS d
 @query("quality_summary", QV, MEANS + """ SELECT model, round(average_total_score, 9) AS average_total_score, total_queries, dimension,
 round(dimension_average, 9) AS dimension_average FROM qm LEFT JOIN dm USING (model)""")
 def _(d):
-    return rounded(S.quality_summary(_totals(d), _dims(d)), "average_total_score", "dimension_average")
+    return rounded(S.quality_summary(*_scored(d)), "average_total_score", "dimension_average")
 
 
 FIX = "('coverage', 'insight', 'instruction_following', 'clarity')"
@@ -165,13 +169,13 @@ def _(d):
 @query("meta_average", QV, MEANS + f""" SELECT model, round(coalesce(avg(dimension_average) FILTER (dimension NOT IN {FIX}), 0), 9) AS meta_avg
 FROM dm GROUP BY model""")
 def _(d):
-    return rounded(S.meta_average(S.dimension_means(_totals(d), _dims(d))), "meta_avg")
+    return rounded(S.meta_average(S.dimension_means(*_scored(d))), "meta_avg")
 
 
 @query("leaderboard_quality", QV, MEANS + """ SELECT model, round(average_total_score, 9) AS average_total_score, total_queries,
 row_number() OVER (ORDER BY average_total_score DESC, model) AS rank FROM qm""")
 def _(d):
-    return rounded(S.leaderboard_quality(S.quality_means(_totals(d))), "average_total_score")
+    return rounded(S.leaderboard_quality(S.quality_means(S.total_score(_dims(d), _weights(d)))), "average_total_score")
 
 
 @query("score_gate", "v_process_reply", """, k AS (SELECT *, reply::json AS j FROM v_process_reply),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.numbering import first_n, number_rows
 from gradeloom.functions.text import let, trim_blank
+from gradeloom.session import cut
 
 # Canonical domains in the order they are tried, then keywords and their domain.
 DOMAINS = ["finance", "policy", "tech", "cybersecurity", "health", "science", "education", "legal", "energy", "trade", "crypto"]
@@ -136,11 +137,9 @@ def match_seeds(topics: DataFrame, seeds: DataFrame, n: int = 5) -> DataFrame:
     own = seeds.where(F.length("query") > 20).withColumn("prefix", F.substring("query", 1, 100))
     starts = own.groupBy("topic").agg(F.min("pos").alias("topic_pos"), F.count("*").alias("n_own"))
     at = [F.col("topic_pos"), F.col("pos")]
-
-    placed = own.join(starts.drop("n_own"), "topic")
-    unique = first_n(placed, ["topic", "prefix"], at, 1)
-    heads = first_n(unique, ["topic"], at, 2 * n)
-    raw_heads = first_n(placed, ["topic"], at, n + 2)
+    # at most 2n rows per topic; everything below reads these, so they are kept
+    heads = cut(first_n(first_n(own, ["topic", "prefix"], [F.col("pos")], 1), ["topic"], [F.col("pos")], 2 * n).join(starts, "topic"))
+    known = heads.select("topic", "topic_pos", "n_own").distinct()
 
     def words(c):
         return F.array_distinct(F.transform(F.filter(F.split(trim_blank(c), r"(?U)\s+"), lambda w: F.length(w) > 3), F.lower))
@@ -149,21 +148,21 @@ def match_seeds(topics: DataFrame, seeds: DataFrame, n: int = 5) -> DataFrame:
         return df.withColumn("word", F.explode(words(F.col("topic")))).withColumnRenamed("topic", "seed_topic")
 
     word_heads = first_n(first_n(by_word(heads), ["word", "prefix"], at, 1), ["word"], at, 2 * n)
-    word_raw = first_n(by_word(raw_heads), ["word"], at, 2 * n + 2)
+    # three topics per word tell whether at least two others share it
+    word_topics = first_n(by_word(known), ["word"], [F.col("topic_pos")], 3)
 
     cols = ["topic", "tier", "topic_pos", "pos", "query", "prefix"]
-    wanted = topics.select("topic").distinct().join(starts.select("topic", "n_own"), "topic", "left").fillna(0, ["n_own"])
-    first = topics.select("topic").distinct().join(heads, "topic").withColumn("tier", F.lit(1)).select(cols)
+    names = topics.select("topic").distinct()
+    wanted = names.join(known.select("topic", "n_own"), "topic", "left").fillna(0, ["n_own"])
+    first = names.join(heads, "topic").withColumn("tier", F.lit(1)).select(cols)
 
     short = wanted.where(F.col("n_own") < n)
-    short_words = short.withColumn("word", F.explode(words(F.col("topic"))))
-    second = (
-        short_words.join(word_heads, "word").where("seed_topic <> topic")
-        .withColumn("tier", F.lit(2)).select(cols)
-    )
+    short_words = short.select("topic", F.explode(words(F.col("topic"))).alias("word"))
+    second = short_words.join(word_heads, "word").where("seed_topic <> topic").withColumn("tier", F.lit(2)).select(cols)
     n_shared = (
-        short_words.join(word_raw, "word").where("seed_topic <> topic")
-        .groupBy("topic").agg(F.count_distinct("topic_pos", "pos").alias("n_shared"))
+        short_words.join(word_topics, "word").where("seed_topic <> topic")
+        .select("topic", "seed_topic", "n_own").distinct()
+        .groupBy("topic").agg(F.sum("n_own").alias("n_shared"))
     )
     bare = (
         short.join(n_shared, "topic", "left").fillna(0, ["n_shared"]).where("n_own + n_shared < 2").select("topic")

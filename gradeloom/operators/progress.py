@@ -72,12 +72,13 @@ def eta(chunk_times: DataFrame, summary: DataFrame) -> DataFrame:
 
     `summary` is the one row of `progress_summary`.
     """
-    span = chunk_times.agg(F.min(iso_time(F.col("start_time"))).alias("a"), F.max(iso_time(F.col("end_time"))).alias("b"))
-    minutes = F.timestamp_diff("MICROSECOND", F.col("a"), F.col("b")) / F.lit(60_000_000).cast("double")
-    one = summary.join(span)  # one row each
+    # the two ends of the run as one scalar value
+    ends = chunk_times.agg(F.struct(
+        F.min(iso_time(F.col("start_time"))).alias("a"), F.max(iso_time(F.col("end_time"))).alias("b"))).scalar()
+    minutes = F.timestamp_diff("MICROSECOND", F.col("__t.a"), F.col("__t.b")) / F.lit(60_000_000).cast("double")
     per_task = F.col("elapsed_minutes") / F.nullif("completed", F.lit(0))
     return (
-        one.withColumn("elapsed_minutes", minutes)
+        summary.withColumn("__t", ends).withColumn("elapsed_minutes", minutes)
         .withColumn("minutes_per_task", per_task)
         .withColumn("minutes_left", (F.col("not_started") + F.col("in_progress")) * F.col("minutes_per_task"))
         .select("completed", "in_progress", "not_started", "elapsed_minutes", "minutes_per_task", "minutes_left")

@@ -245,13 +245,13 @@ def score_gate(replies: DataFrame, dimensions: list[str]) -> DataFrame:
 
 def process_summary(scores: DataFrame) -> DataFrame:
     """Mean and count per model for all eight dimensions, with zero counts where nothing was scored."""
-    family = F.array(*[F.struct(F.lit("intrinsic").alias("family"), F.lit(d).alias("dimension")) for d in INTRINSIC_DIMENSIONS],
-                     *[F.struct(F.lit("alignment").alias("family"), F.lit(d).alias("dimension")) for d in ALIGNMENT_DIMENSIONS])
-    grouped = scores.groupBy("model", "dimension").agg(
-        F.avg("score").alias("avg"), F.count("score").alias("count"))
-    full = grouped.select("model").distinct().select("model", F.inline(family))
-    return full.join(grouped, ["model", "dimension"], "left").select(
-        "model", "family", "dimension", "avg", F.coalesce("count", F.lit(0)).alias("count"))
+    pairs = [("intrinsic", d) for d in INTRINSIC_DIMENSIONS] + [("alignment", d) for d in ALIGNMENT_DIMENSIONS]
+    of = lambda d: F.when(F.col("dimension") == d, F.col("score"))
+    wide = scores.groupBy("model").agg(
+        *[F.avg(of(d)).alias(f"avg_{d}") for _, d in pairs], *[F.count(of(d)).alias(f"n_{d}") for _, d in pairs])
+    return wide.select("model", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("family"), F.lit(d).alias("dimension"), F.col(f"avg_{d}").alias("avg"), F.col(f"n_{d}").alias("count"))
+        for f, d in pairs])))
 
 
 def process_overall(summary: DataFrame) -> DataFrame:
