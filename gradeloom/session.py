@@ -19,6 +19,10 @@ def build_session(app: str = "gradeloom", master: str | None = None, **conf: str
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # long texts: small batches keep a Python worker's share of memory low
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
