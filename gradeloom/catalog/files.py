@@ -183,7 +183,7 @@ def _(d):
 @query("pending_tasks", "", "SELECT o_orderkey AS task_id, o_totalprice FROM orders WHERE o_orderkey % 4 <> 0")
 def _(d):
     tasks = d.orders.selectExpr("o_orderkey AS task_id", "o_totalprice")
-    outputs = d.orders.selectExpr("o_orderkey AS task_id", "CASE o_orderkey % 4 WHEN 0 THEN '[]' WHEN 1 THEN '[{]' WHEN 2 THEN '[1] x' END AS content")
+    outputs = d.wide("orders").selectExpr("o_orderkey AS task_id", "CASE o_orderkey % 4 WHEN 0 THEN '[]' WHEN 1 THEN '[{]' WHEN 2 THEN '[1] x' END AS content")
     return L.pending_tasks(tasks, outputs)
 
 

@@ -49,7 +49,8 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Consecutive numbers from 1 in the given order, over the whole table.
+    """Consecutive numbers from 1 in the given order, over the whole table. The order should be unique
+    per row, so that ranges can split anywhere.
 
     Range-partitions and sorts once, keeps the result, counts rows per partition (one row per
     partition, so the running offset is bounded by the partition count), and adds the offset.

@@ -134,7 +134,8 @@ def match_seeds(topics: DataFrame, seeds: DataFrame, n: int = 5) -> DataFrame:
     uses the third has at most one match, so n + 2 entries of the whole list are. No join pairs a
     group with itself.
     """
-    own = seeds.where(F.length("query") > 20).withColumn("prefix", F.substring("query", 1, 100))
+    named = seeds.withColumn("topic", F.coalesce("topic", F.lit("Other")))
+    own = named.where(F.length("query") > 20).withColumn("prefix", F.substring("query", 1, 100))
     starts = own.groupBy("topic").agg(F.min("pos").alias("topic_pos"), F.count("*").alias("n_own"))
     at = [F.col("topic_pos"), F.col("pos")]
     # at most 2n rows per topic; everything below reads these, so they are kept

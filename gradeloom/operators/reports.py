@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradeloom.functions.jsontext import has_keys, strict_json
-from gradeloom.functions.text import present, trim_blank
+from gradeloom.functions.text import let, trim_blank
 
 _MARK = "\ue000"
 
@@ -49,8 +49,11 @@ def _first_valid(*candidates: Column) -> Column:
 
 
 def _between(text: Column, opened: str, closed: str) -> Column:
-    """From the first opening to the last closing character."""
-    return present(F.regexp_extract(text, rf"(?s)\{opened}.*\{closed}", 0))
+    """From the first opening to the last closing character, null without both in that order."""
+    start = F.locate(opened, text)
+    end = F.length(text) - F.length(F.substring_index(text, closed, -1))
+    found = text.contains(opened) & text.contains(closed) & (end >= start)
+    return F.when(found, F.substring(text, start, end - start + 1))
 
 
 @F.pandas_udf(T.StringType())
@@ -189,11 +192,15 @@ VERDICT = "struct<statement:string,verification:string,evidence:array<struct<sou
 def merge_chunks(chunks: DataFrame) -> DataFrame:
     """Statements of the readable chunks. A payload with a list `core_state` gives its items, any
     other object is one statement. Columns (chunk_idx, pos) carry the order."""
-    readable = chunks.where(F.col("ok") & F.json_object_keys("json").isNotNull())
-    parsed = readable.withColumn("o", F.from_json("json", f"core_state array<{VERDICT}>, {VERDICT_FIELDS}"))
-    single = F.array(F.struct(*[F.col(f"o.{n}").alias(n) for n in VERDICT_NAMES]))
+    def statements(j):
+        parsed = F.from_json(j, f"core_state array<{VERDICT}>, {VERDICT_FIELDS}")
+        listed = let(parsed, lambda o: F.coalesce(o["core_state"], F.array(F.struct(*[o[n].alias(n) for n in VERDICT_NAMES]))))
+        return F.when(F.json_object_keys(j).isNotNull(), listed)
+
+    # unreadable payloads give no rows inside the explode: as a filter the parse would run twice
     return (
-        parsed.select("task_id", "chunk_idx", F.posexplode(F.coalesce("o.core_state", single)).alias("pos", "s"))
+        chunks.where("ok")
+        .select("task_id", "chunk_idx", F.posexplode(let(F.col("json"), statements)).alias("pos", "s"))
         .select("task_id", "chunk_idx", "pos", "s.*")
     )
 

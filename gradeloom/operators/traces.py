@@ -304,5 +304,8 @@ def pack_chunks(traces: DataFrame, *keys: str, limit: int = CHUNK_CHARS) -> Data
         .when(kind == "step_text", at_markers(r"\[Step [0-9]+\]"))
         .otherwise(pack(F.split(p, r"(?U)\n\s*\n"), limit, "\n\n"))
     )
-    return traces.withColumn("trace_format", detect_trace_format(p)).select(
+    # any filled JSON list is packed by its items, whether or not they are steps
+    listed = F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")) > 0, F.lit(False))
+    layout = F.when(p.contains("[") & listed, "json_array").otherwise(detect_trace_format(p))
+    return traces.withColumn("trace_format", layout).select(
         *keys, "trace_format", F.posexplode(chunks).alias("chunk_no", "chunk"))

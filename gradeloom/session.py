@@ -61,6 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows out to all cores where the input comes in fewer pieces than there are cores, as
-    with one small file of long texts. Inputs with enough pieces stay as they are."""
+    with one small file of long texts. Inputs with enough pieces stay as they are. For scans and
+    row-wise views only: counting the pieces of a plan with a shuffle would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
