@@ -117,5 +117,5 @@ def _(d):
     m = d.conversations
     calls = m.where("role = 'assistant'").selectExpr(
         "conv_id", "turn", "CASE WHEN conv_id % 9 = 0 THEN 0 ELSE length(text) * (turn + 1) END AS prompt_tokens",
-        "length(text) % 50 AS completion_tokens")
+        "cast(length(text) % 50 AS bigint) AS completion_tokens")
     return C.context_budget(calls, m, "Summarise what was found so far for me.", 512, 4000)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.catalog.registry import query, rounded
 from gradeloom.catalog.attempts import MATCH
+from gradeloom.catalog.scores import D2, FIX, GATE
 from gradeloom.catalog.traces import SEG
 from gradeloom.operators import judging as J
 from gradeloom.operators.generation import CHECK_TEMPLATE
@@ -73,13 +74,22 @@ def _(d):
     return FC.fact_check(reports, part_checker, concurrency=8, tries=2)
 
 
-@query("quality_board", "v_criteria v_reply_score")
+@query("quality_board", "v_criteria v_reply_score", D2 + f""", dim AS (SELECT query_id, model, dimension, sum(score * weight) / sum(weight) AS s FROM m WHERE hit = n GROUP BY ALL),
+w AS (SELECT query_id, dimension, sum(weight) AS w FROM v_criteria GROUP BY ALL),
+tot AS (SELECT query_id, model, sum(s * w) / sum(w) AS t FROM dim JOIN w USING (query_id, dimension) GROUP BY ALL),
+qm AS (SELECT model, avg(t) FILTER (t > 0) AS a, count(*) FILTER (t > 0) AS k FROM tot GROUP BY model),
+dm AS (SELECT model, dimension, avg(s) AS s FROM dim JOIN tot USING (query_id, model) WHERE t > 0 GROUP BY ALL)
+SELECT model, round(a, 9) AS average_total_score, k AS total_queries, row_number() OVER (ORDER BY a DESC, model) AS rank,
+ round((SELECT avg(s) FROM dm WHERE dm.model = qm.model AND dimension NOT IN {FIX}), 9) AS meta_avg FROM qm""")
 def _(d):
     weights = d.v_criteria.groupBy("query_id", "dimension").agg(F.sum("weight").alias("raw_weight"))
     return rounded(quality.quality_board(d.v_criteria, d.v_reply_score, weights), "average_total_score", "meta_avg")
 
 
-@query("process_board", "v_process_reply")
+@query("process_board", "v_process_reply", GATE + """, d AS (SELECT model, dimension, avg(score) AS a FROM gs GROUP BY ALL),
+b AS (SELECT model, (SELECT avg(a) FROM d WHERE d.model = r.model) AS i, 22::double / 3 AS al FROM (SELECT DISTINCT model FROM v_process_reply) r)
+SELECT model, round(i, 9) AS intrinsic_avg, round(al, 9) AS alignment_avg, round(coalesce((i + al) / 2, al), 9) AS overall_avg,
+ row_number() OVER (ORDER BY coalesce((i + al) / 2, al) DESC, model) AS rank FROM b""")
 def _(d):
     replies = d.wide("v_process_reply")
     aligned = replies.withColumn("reply", F.lit('{"findings_to_report": {"score": 7}, "report_to_process": {"score": 6}, "contradiction": {"score": 9}}'))

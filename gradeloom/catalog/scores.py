@@ -178,10 +178,13 @@ def _(d):
     return rounded(S.leaderboard_quality(S.quality_means(S.total_score(_dims(d), _weights(d)))), "average_total_score")
 
 
-@query("score_gate", "v_process_reply", """, k AS (SELECT *, reply::json AS j FROM v_process_reply),
+GATE = """, k AS (SELECT *, reply::json AS j FROM v_process_reply),
 names AS (SELECT unnest(['search_breadth', 'analytical_depth', 'progressive_refinement', 'critical_thinking', 'efficiency']) AS dimension),
-g AS (SELECT * FROM k WHERE (SELECT bool_and(coalesce(list_contains(json_keys(j, '$.' || dimension), 'score'), false)) FROM names))
-SELECT model, entry_id, dimension, (j -> dimension ->> 'score')::double AS score FROM g CROSS JOIN names""")
+g AS (SELECT * FROM k WHERE (SELECT bool_and(coalesce(list_contains(json_keys(j, '$.' || dimension), 'score'), false)) FROM names)),
+gs AS (SELECT model, entry_id, dimension, (j -> dimension ->> 'score')::double AS score FROM g CROSS JOIN names)"""
+
+
+@query("score_gate", "v_process_reply", GATE + " SELECT * FROM gs")
 def _(d):
     return S.score_gate(d.wide("v_process_reply"), S.INTRINSIC_DIMENSIONS)
 
@@ -221,10 +224,10 @@ def _(d):
 STRATEGIES = ["rule", "small", "large"]
 
 
-@query("compare_strategies", "v_strategy", """SELECT model, entry_id, dimension, max(score) FILTER (strategy = 'rule') AS rule,
-max(score) FILTER (strategy = 'small') AS small, max(score) FILTER (strategy = 'large') AS large FROM v_strategy GROUP BY ALL""")
+@query("compare_strategies", "v_strategy", """SELECT model, entry_id, dimension, max(score::double) FILTER (strategy = 'rule') AS rule,
+max(score::double) FILTER (strategy = 'small') AS small, max(score::double) FILTER (strategy = 'large') AS large FROM v_strategy GROUP BY ALL""")
 def _(d):
-    return S.compare_strategies(d.v_strategy, STRATEGIES)
+    return S.compare_strategies(d.v_strategy.withColumn("score", F.col("score").cast("double")), STRATEGIES)
 
 
 @query("strategy_means", "v_strategy", """, p AS (SELECT strategy, dimension, avg(score) AS a, count(score) AS n FROM v_strategy GROUP BY ALL)

@@ -174,13 +174,14 @@ def _(d):
     return R.extract_json(_replies(d), "reply", "quality").select("id", "json")
 
 
-@query("repair_json")
+@query("repair_json", "", """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 3 THEN concat('{"a": "', p_name, ' ', chr(92), '"quoted', chr(92), '" x", "b": [1, 2]}')
+WHEN 5 THEN NULL ELSE concat('{"a": "', p_name, '"}') END AS json, p_partkey % 6 BETWEEN 1 AND 4 AS repaired FROM part""")
 def _(d):
     broken = d.part.selectExpr("p_partkey AS id", r"""CASE p_partkey % 6
         WHEN 0 THEN concat('{"a": "', p_name, '"}') WHEN 1 THEN concat('{"a": "', p_name, '"} tail') WHEN 2 THEN concat('{"a": "', p_name)
         WHEN 3 THEN concat('{"a": "', p_name, ' "quoted" x", "b": [1, 2,],}') WHEN 4 THEN concat('{"a": "', p_name, '}')
         ELSE 'no json' END AS payload""")
-    return R.repair_json(broken, "payload")
+    return R.repair_json(broken, "payload").drop("payload")
 
 
 MERGE = """, p AS (SELECT concat('m', l_suppkey % 10, '/', l_partkey % 100) AS task_id, l_orderkey * 10 + l_linenumber AS chunk_idx, l_linenumber AS n, l_partkey, l_suppkey FROM lineitem)"""
@@ -218,7 +219,8 @@ def _(d):
 @query("finding_counts", "", """SELECT doc_id, CASE WHEN doc_id % 9 = 6 THEN 0 ELSE len(string_split(text, chr(10))) END AS num_steps,
 CASE WHEN doc_id % 9 = 6 THEN 0 ELSE least(3, len(string_split(text, chr(10)))) END AS num_global_findings FROM documents WHERE doc_id % 9 NOT IN (4, 5)""")
 def _(d):
-    return R.finding_counts(R.structure_gate(_structured(d)), "doc_id")
+    counts = R.finding_counts(R.structure_gate(_structured(d)), "doc_id")
+    return counts.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("num_steps", "num_global_findings")])
 
 
 @query("action_counts", "", """WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 9 NOT IN (4, 5, 6))

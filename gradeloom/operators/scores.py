@@ -216,7 +216,7 @@ def meta_average(means: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, score: Column, tie: str = "model") -> DataFrame:
     """Rank of a leaderboard: its rows are one per model, so the unpartitioned window stays tiny."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(score.desc(), F.col(tie))))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(score.desc(), F.col(tie))).cast("bigint"))
 
 
 def leaderboard_quality(means: DataFrame) -> DataFrame:
