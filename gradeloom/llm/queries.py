@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact, packing
+from gradeloom.llm import exact, fingerprints, language, lines, packing, toxicity, urls
 from gradeloom.llm.common import table
 
 
@@ -13,15 +13,43 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(packing.with_digest(pieces))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = urls.rule_table(spark, urls.SITE_RULES + urls.WORD_RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_site_lines(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_pattern_packing": op1_pattern_packing,
+    "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
+    "op4_fingerprints": op4_fingerprints,
+    "op7_site_lines": op7_site_lines,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op3_url_filter": urls.oracle(),
+    "op7_site_lines": lines.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
 }
