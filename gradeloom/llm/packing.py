@@ -58,20 +58,16 @@ def _ids_of_words(path: str, texts: list[str]) -> list[bytes]:
     def encode(parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    out: list[bytes] = []
-    for text in texts:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f") or any(s in text for s in special):
-            out += encode([text])
-            continue
-        words = text.split()
-        new = list(set(words).difference(known))
-        fresh = dict(zip(new, encode(new))) if new else {}
-        if len(known) + len(fresh) <= CACHED_WORDS:
-            known.update((w, b) for w, b in fresh.items() if len(w) <= CACHED_LENGTH)
-        if fresh:
-            out.append(b"".join([known[w] if w in known else fresh[w] for w in words]))
-        else:
-            out.append(b"".join(map(known.__getitem__, words)))
+    plain = [not any(c in text for c in "\x1c\x1d\x1e\x1f") and not any(s in text for s in special) for text in texts]
+    split = [text.split() if p else [] for text, p in zip(texts, plain)]
+    # words that are new to this batch join the table at least until its end
+    new = list(set().union(*split).difference(known))
+    known.update(zip(new, encode(new)) if new else ())
+    out = [b"".join(map(known.__getitem__, words)) if p else encode([text])[0]
+           for text, words, p in zip(texts, split, plain)]
+    for word in new:
+        if len(word) > CACHED_LENGTH or len(known) > CACHED_WORDS:
+            del known[word]
     return out
 
 

@@ -4,6 +4,11 @@ A word is the mean of the vectors of its character n-grams and itself, a text th
 a linear softmax over that mean gives the score. Vectors and softmax are trained jointly in numpy on a
 bounded sample, so a misspelling that was never seen shares the n-gram vectors of the word it bends.
 
+Repetition counts by its square root, and a text of fewer than FLOOR words is averaged as if it had
+FLOOR, so one word said a hundred times, or a text of three words, is no more certain than it should be.
+N-grams whose share does not differ between the labels by more than chance are left out before training:
+they could only memorise single texts.
+
 Because everything after training is linear, a text's score needs one number per n-gram bucket. Applying
 it is one pass over the texts without a shuffle.
 """
@@ -11,21 +16,26 @@ it is one pass over the texts without a shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gradeloom.functions.numbering import first_n
 from gradeloom.llm.common import held_out
 
 BUCKETS = 1 << 17
-SIZES = (3, 4, 5)
-WIDTH = 6
-ROUNDS = 60
-PER_LABEL = 1200   # bound of the training sample
+SIZES = (4, 5, 6)
+WIDTH = 4
+ROUNDS = 120
+FLOOR = 30         # least number of words that a text is averaged over
+LEAST_TEXTS = 5    # an n-gram must occur in so many texts of the sample
+LEAST_T = 4.5      # and its mean share must differ by so many standard errors,
+LEAST_BUCKETS = 200  # but so many of those that differ most take part in any case
+PER_LABEL = {0: 3000, 1: 1500}   # bound of the training sample, by label
 
 _WORD = re.compile(r"\w+")
 
@@ -68,29 +78,11 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids)[order].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
-class _Sparse:
-    """Rows of weighted column numbers, with products from both sides."""
-
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
-        self.shape, self.sides = shape, []
-        for key, other in ((rows, cols), (cols, rows)):
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-            self.sides.append((other[order], values[order].astype(np.float32)[:, None], first, k[first]))
-
-    def _times(self, side: int, dense: np.ndarray) -> np.ndarray:
-        other, values, first, keys = self.sides[side]
-        out = np.zeros((self.shape[side], dense.shape[1]), np.float32)
-        if len(first):
-            out[keys] = np.add.reduceat(dense[other] * values, first, axis=0)
-        return out
-
-    def dot(self, dense: np.ndarray) -> np.ndarray:
-        return self._times(0, dense)
-
-    def transposed_dot(self, dense: np.ndarray) -> np.ndarray:
-        return self._times(1, dense)
+def shares(words: list[str]) -> dict[str, float]:
+    """Part of each word in the mean of its text."""
+    found = Counter(words)
+    whole = max(sum(n ** 0.5 for n in found.values()), FLOOR)
+    return {w: n ** 0.5 / whole for w, n in found.items()}
 
 
 @dataclass
@@ -100,10 +92,10 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of label 1. The words of a batch are looked at once each."""
-        lists = [words_of(t) for t in texts]
-        distinct = list({w for ws in lists for w in ws})
+        bags = [shares(words_of(t)) for t in texts]
+        distinct = list({w for bag in bags for w in bag})
         value = dict(zip(distinct, self.word_logits(distinct).tolist()))
-        z = np.array([sum(map(value.__getitem__, ws)) / len(ws) if ws else 0.0 for ws in lists]) + self.constant
+        z = np.array([sum(value[w] * p for w, p in bag.items()) for bag in bags]) + self.constant
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def word_logits(self, words: list[str]) -> np.ndarray:
@@ -113,53 +105,87 @@ class Model:
         return np.add.reduceat(self.bucket_logit[ids], np.concatenate([[0], np.cumsum(n)[:-1]])) / n
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 1) -> Model:
-    """Vectors and softmax by full-batch Adam; both labels weigh the same in the loss."""
-    lists = [words_of(t) for t in texts]
-    names = sorted({w for ws in lists for w in ws})
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, weight) of all texts: the share of a word, divided among its n-grams."""
+    bags = [shares(words_of(t)) for t in texts]
+    names = sorted({w for bag in bags for w in bag})
     number = {w: i for i, w in enumerate(names)}
     ids, n = subwords(names)
-    used, ids = np.unique(ids, return_inverse=True)
-    bag = _Sparse(np.repeat(np.arange(len(names)), n), ids, np.repeat(1 / np.maximum(n, 1), n), (len(names), len(used)))
-    doc, word, share = [], [], []
-    for i, ws in enumerate(lists):
-        found, c = np.unique([number[w] for w in ws], return_counts=True) if ws else (np.zeros(0, int), np.zeros(0))
-        doc.append(np.full(len(found), i))
-        word.append(found)
-        share.append(c / max(len(ws), 1))
-    doc, word, share = np.concatenate(doc).astype(int), np.concatenate(word).astype(int), np.concatenate(share)
-    mean = _Sparse(doc, word, share, (len(texts), len(names)))
+    start = np.concatenate([[0], np.cumsum(n)])[:-1]
+    text = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+    word = np.array([number[w] for bag in bags for w in bag], dtype=np.int64)
+    share = np.array([p for bag in bags for p in bag.values()])
+    repeats = n[word]
+    inside = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+    bucket = ids[np.repeat(start[word], repeats) + inside]
+    key = np.repeat(text, repeats).astype(np.int64) * BUCKETS + bucket
+    key, place = np.unique(key, return_inverse=True)
+    weight = np.bincount(place, weights=np.repeat(share / np.maximum(repeats, 1), repeats), minlength=len(key))
+    return key // BUCKETS, key % BUCKETS, weight
+
+
+def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 1) -> Model:
+    """Vectors and softmax, jointly, by gradient descent with momentum on all examples."""
+    text, bucket, weight = _bags(texts)
+    total = len(texts)
+
+    # how far apart the mean shares of the two labels lie
+    error, apart = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for label, sign in ((1, 1), (0, -1)):
+        own = labels[text] == label
+        n = max(int((labels == label).sum()), 1)
+        mean = np.bincount(bucket[own], weights=weight[own], minlength=BUCKETS) / n
+        square = np.bincount(bucket[own], weights=weight[own] ** 2, minlength=BUCKETS) / n
+        apart += sign * mean
+        error += np.maximum(square - mean ** 2, 0) / n
+    texts_with = np.bincount(bucket, minlength=BUCKETS)
+    mean = np.bincount(bucket, weights=weight, minlength=BUCKETS) / total
+    spread = np.sqrt(np.maximum(np.bincount(bucket, weights=weight ** 2, minlength=BUCKETS) / total - mean ** 2, 0))
+    common = texts_with >= LEAST_TEXTS
+    usual = float(np.median(spread[common])) if common.any() else 1.0
+    t = np.where(common, np.abs(apart) / np.sqrt(error + usual ** 2 / total), 0)
+    used = np.flatnonzero(common & (t >= min(LEAST_T, np.sort(t)[-LEAST_BUCKETS])))
+    n = np.maximum(np.bincount(labels, minlength=2), 0.5)
+    if not len(used):
+        return Model(np.zeros(BUCKETS), float(np.log(n[1] / n[0])))
+
+    # every n-gram on the scale of its own spread, so that rare ones can count
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
+    kept = place[bucket] >= 0
+    x = np.zeros((total, len(used)), np.float32)
+    x[text[kept], place[bucket[kept]]] = weight[kept]
+    scale = (1 / (spread[used] + usual) / np.sqrt(len(used))).astype(np.float32)
+    centre = mean[used].astype(np.float32)
+    x = (x - centre) * scale
 
     rng = np.random.default_rng(seed)
     target = np.eye(2, dtype=np.float32)[labels]
-    weight = (len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1)))[labels][:, None].astype(np.float32)
+    each = np.sqrt(total / (2 * np.maximum(np.bincount(labels, minlength=2), 1)))[labels][:, None].astype(np.float32)
     values = {
-        "vectors": rng.normal(0, 0.5, (len(used), WIDTH)).astype(np.float32),
-        "softmax": rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32),
-        "constant": np.zeros((1, 2), np.float32)}
-    rate = {"vectors": 0.5, "softmax": 0.2, "constant": 0.1}
-    slow = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in values.items()}
-    for step in range(1, rounds + 1):
-        meant = mean.dot(bag.dot(values["vectors"]))
+        "vectors": rng.normal(0, 0.01, (len(used), WIDTH)).astype(np.float32),
+        "softmax": rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), "constant": np.zeros((1, 2), np.float32)}
+    speed = {k: np.zeros_like(v) for k, v in values.items()}
+    for _ in range(rounds):
+        meant = x @ values["vectors"]
         z = meant @ values["softmax"] + values["constant"]
         e = np.exp(z - z.max(1, keepdims=True))
-        off = weight * (e / e.sum(1, keepdims=True) - target) / len(labels)
-        grads = {
-            "vectors": bag.transposed_dot(mean.transposed_dot(off @ values["softmax"].T)),
-            "softmax": meant.T @ off, "constant": off.sum(0, keepdims=True)}
-        for k, g in grads.items():
-            first, second = slow[k]
-            first += 0.1 * (g - first)
-            second += 0.02 * (g * g - second)
-            values[k] -= rate[k] * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.98 ** step)) + 1e-7)
-    logit = np.zeros(BUCKETS)
+        off = each * (e / e.sum(1, keepdims=True) - target) / total
+        slope = {
+            "vectors": x.T @ (off @ values["softmax"].T) + 1e-3 * values["vectors"],
+            "softmax": meant.T @ off + 1e-3 * values["softmax"], "constant": off.sum(0, keepdims=True)}
+        for k, g in slope.items():
+            speed[k] = 0.9 * speed[k] - 3 * g
+            values[k] = values[k] + speed[k]
     difference = values["softmax"][:, 1] - values["softmax"][:, 0]
-    logit[used] = values["vectors"] @ difference
-    return Model(logit, float(values["constant"][0, 1] - values["constant"][0, 0]))
+    logit = np.zeros(BUCKETS)
+    logit[used] = (values["vectors"] @ difference) * scale
+    constant = float(values["constant"][0, 1] - values["constant"][0, 0]) - float(logit[used] @ centre)
+    return Model(logit, constant)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model | None:
-    """Trains on at most `per_label` documents of each label, chosen by a hash of their id from rows that
+def fit(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] = PER_LABEL) -> Model | None:
+    """Trains on at most so many documents of each label as `per_label` says, chosen by a hash of their id from rows that
     are not held out. A document labelled both ways, or by null, is no example; a null text is the empty
     text. None where one label has no example."""
     marked = (
@@ -167,10 +193,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
         .where(F.col("toxic") == F.col("most")).drop("most")
     )
-    chosen = first_n(marked, ["toxic"], [F.xxhash64("doc_id"), F.col("doc_id")], per_label)
-    # at most 2 * per_label rows: small enough for every task
+    chosen = first_n(marked, ["toxic"], [F.xxhash64("doc_id"), F.col("doc_id")], max(per_label.values()))
+    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = chosen.withColumn("n", order).where(
+        F.col("n") <= F.when(F.col("toxic") == 1, per_label[1]).otherwise(per_label[0])).drop("n")
+    # a bounded number of ids: small enough for every task
     got = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(
-        F.broadcast(chosen), "doc_id").limit(4 * per_label).toPandas().sort_values(["doc_id", "text"])
+        F.broadcast(chosen), "doc_id").limit(4 * sum(per_label.values())).toPandas().sort_values(["doc_id", "text"])
     if got["toxic"].nunique() < 2:
         return None
     return train(got["text"].tolist(), got["toxic"].to_numpy().astype(int))
