@@ -59,6 +59,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that exact_groups keeps: one of each group."""
+    stays = exact_groups(docs, id_col, text_col).where("kept").select(
+        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha_kept"))
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    found = docs.withColumn("__sha", sha).join(
+        stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sha_kept")), "left_semi")
+    # rows that repeat id and text are one
+    return found.dropDuplicates([id_col, "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256

@@ -240,3 +240,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, without those whose group has a smaller id. Rows with a null id
+    stay."""
+    dropped = near_groups(docs, words, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(cut(dropped), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

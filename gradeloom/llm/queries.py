@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact, fingerprints, language, lines, minhash, packing, toxicity, urls
+from gradeloom.llm import exact, fingerprints, language, lines, minhash, packing, suffixes, toxicity, urls
 from gradeloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passage_report(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), words=4)
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_fingerprints": op4_fingerprints,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_minhash_join": op6_minhash_join,
     "op7_site_lines": op7_site_lines,
     "op8_toxicity": op8_toxicity,
