@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact, fingerprints, language, lines, minhash, packing, suffixes, toxicity, urls
+from gradeloom.llm import exact, fingerprints, language, lines, minhash, packing, pieces, suffixes, toxicity, urls
 from gradeloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(table(spark, sf_dir, "documents"), pieces.default_model())
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_minhash_join": op6_minhash_join,
     "op7_site_lines": op7_site_lines,
     "op8_toxicity": op8_toxicity,
+    "op9_piece_viterbi": op9_piece_viterbi,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
