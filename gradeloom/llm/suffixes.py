@@ -276,7 +276,7 @@ def drop_passages(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Data
     left becomes empty."""
     keyed = docs.withColumn("__row", _row_key())
     found = cut(repeated_spans(keyed.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text")),
-                               width, lead)).withColumnRenamed("row", "__row")
+                               width, lead)).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for texts, spans in batches:
@@ -287,9 +287,9 @@ def drop_passages(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Data
                 for text, marks in zip(texts, spans)], dtype=object)
 
     udf = F.pandas_udf(run, "string")
-    out = keyed.join(found, "__row", "left").withColumn("text", udf("text", "spans"))
+    out = keyed.join(found, "__row", "left").withColumn("text", udf("text", "__spans"))
     if "n_chars" in docs.columns:
-        changed = F.col("spans").isNotNull()
+        changed = F.col("__spans").isNotNull()
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
