@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gradeloom.functions.jsontext import has_keys, strict_json
 from gradeloom.functions.text import let, trim_blank
 
-_MARK = "\ue000"
-
 # Report budget and the note that replaces the rest.
 REPORT_CHARS = 30_000
 REPORT_CUT = "\n\n[... report truncated ...]"
@@ -21,20 +19,28 @@ def truncate_report(report: Column, max_chars: int = REPORT_CHARS) -> Column:
 
 def segments(report: Column) -> Column:
     """Logical parts of a report: one per paragraph, headings kept with the text after them. The parts
-    put together are the report again."""
-    parts = F.split(F.regexp_replace(F.replace(report, F.lit(_MARK), F.lit("")), r"(\n\s*\n)", f"$1{_MARK}"), _MARK)
-    none = F.array().cast("array<string>")
-
-    def add(s, x):
-        heading = x.rlike(r"^ {0,3}#{1,6} [^\n]*\s*$")
-        text = F.concat(s["held"], x)
-        return F.struct(
-            F.when(heading, s["done"]).otherwise(F.array_append(s["done"], text)).alias("done"),
-            F.when(heading, text).otherwise("").alias("held"))
-
-    folded = F.aggregate(F.filter(parts, lambda x: x != ""), F.struct(none.alias("done"), F.lit("").alias("held")), add, lambda s: F.when(
-        s["held"] != "", F.array_append(s["done"], s["held"])).otherwise(s["done"]))
-    return folded
+    put together are the report again.
+
+    Paragraphs are matched with the border that ends them. A part ends at each paragraph that is no
+    heading, so it is the slice between two such places, and the work is linear in the report.
+    """
+    paragraphs = F.regexp_extract_all(report, F.lit(r"(?s).*?\n\s*\n|.+"), 0)
+
+    def parts(p: Column, ends: Column) -> Column:
+        def upto(end: Column, k: Column) -> Column:
+            start = F.when(k > 0, F.get(ends, k - 1) + 1).otherwise(0)
+            return F.array_join(F.slice(p, start + 1, end - start + 1), "")
+
+        last = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(-1))
+        closed = F.transform(ends, upto)
+        rest = F.array_join(F.slice(p, last + 2, F.size(p)), "")
+        return F.when(last + 1 < F.size(p), F.array_append(closed, rest)).otherwise(closed)
+
+    def place(x: Column, i: Column) -> Column:
+        return F.when(~x.rlike(r"^ {0,3}#{1,6} [^\n]*\s*$"), i)
+
+    return let(paragraphs, lambda p: let(
+        F.filter(F.transform(p, place), lambda i: i.isNotNull()), lambda ends: parts(p, ends)))
 
 
 def segment_reports(reports: DataFrame, *keys: str) -> DataFrame:

@@ -6,14 +6,13 @@ higher-order functions, so nothing here shuffles, however long or lopsided the t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.jsontext import is_array, is_object, member, strict_json, text_member
 from gradeloom.functions.text import cut_at_paragraph, let, present, trim_blank
 
-# Private-use characters that mark piece borders inside a text.
-MARK, NAME_END, BODY_END = "\ue000", "\ue001", "\ue002"
-
 # Names of block tags, and how step types are shortened.
 BLOCK_TAGS = "reasoning|web_search|scrape|run_python_code"
 FULL_TYPES = [
@@ -41,11 +40,9 @@ def _lines(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), "\n")
 
 
-def _pieces(text: Column, pattern: str, replacement: str) -> Column:
-    # texts that use the border characters themselves lose them; looking first is far cheaper
-    used = text.contains(MARK) | text.contains(NAME_END) | text.contains(BODY_END)
-    clean = F.when(used, F.translate(text, MARK + NAME_END + BODY_END, "")).otherwise(text)
-    return F.split(F.regexp_replace(clean, pattern, replacement), MARK)
+def _pieces(text: Column, opening: str) -> Column:
+    """Array of pieces, each from an opening to the next one or the end; text before the first is left out."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?:{opening}).*?(?={opening}|\z)"), 0)
 
 
 # ---- layout --------------------------------------------------------------------------------
@@ -152,11 +149,17 @@ def unreadable_traces(traces: DataFrame, *keys: str) -> DataFrame:
 def blocks(process: Column) -> Column:
     """Array of (type, content). A block runs from its tag to the next tag or think block; a think
     block is reasoning, and the text between its end and the next tag is dropped."""
-    marked = _pieces(process, rf"(?s)\[({BLOCK_TAGS})\]|<think>(.*?)</think>", f"{MARK}$1{NAME_END}$2{BODY_END}")
-    named = F.transform(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), lambda p: F.struct(
-        F.coalesce(present(F.substring_index(p, NAME_END, 1)), _lit("reasoning")).alias("type"),
-        trim_blank(F.when(p.startswith(NAME_END), F.substring_index(F.substring_index(p, BODY_END, 1), NAME_END, -1))
-                   .otherwise(F.substring_index(p, BODY_END, -1))).alias("content")))
+    found = _pieces(process, rf"\[(?:{BLOCK_TAGS})\]|<think>.*?</think>")
+
+    def block(p: Column) -> Column:
+        name = F.regexp_extract(p, rf"^\[({BLOCK_TAGS})\]", 1)
+        tagged = F.substring(p, F.length(name) + 3, F.length(p))
+        return F.struct(
+            F.when(name != "", name).otherwise("reasoning").alias("type"),
+            trim_blank(F.when(name != "", tagged).otherwise(
+                F.regexp_extract(p, "(?s)^<think>(.*?)</think>", 1))).alias("content"))
+
+    named = F.transform(found, block)
     return F.filter(named, lambda b: b["content"] != "")
 
 
@@ -195,10 +198,14 @@ def format_blocks(traces: DataFrame, *keys: str) -> DataFrame:
 
 def step_texts(process: Column) -> Column:
     """Array of '[Step N] text' pieces, the text before the first marker as its own piece."""
-    marked = _pieces(process, r"(\[Step [0-9]+\])", f"{MARK}$1{NAME_END}")
-    return F.filter(F.transform(marked, lambda p: F.when(p.contains(NAME_END), F.concat(
-        F.substring_index(p, NAME_END, 1), _lit(" "), trim_blank(F.substring_index(p, NAME_END, -1)))).otherwise(trim_blank(p))),
-        lambda x: x != "")
+    marked = F.regexp_extract_all(process, F.lit(r"(?s)(?:\[Step [0-9]+\])?.*?(?=\[Step [0-9]+\]|\z)"), 0)
+
+    def step(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^\[Step [0-9]+\]", 0)
+        rest = trim_blank(F.substring(p, F.length(name) + 1, F.length(p)))
+        return F.when(name != "", F.concat(name, _lit(" "), rest)).otherwise(rest)
+
+    return F.filter(F.transform(marked, step), lambda x: x != "")
 
 
 def trace_steps_text(process: Column, max_chars: int = 30_000) -> Column:
@@ -268,21 +275,30 @@ def compress_trace(traces: DataFrame, max_chars: int = 30_000) -> DataFrame:
 # ---- packing -------------------------------------------------------------------------------
 
 
-def pack(pieces: Column, limit: int, sep: str) -> Column:
+def pack(pieces: Column, limit: int, sep: str, lengths: Callable[[Column], Column] = F.length) -> Column:
     """Greedy in-order packing: a piece that would take the chunk over `limit` starts the next one; a
-    piece longer than `limit` stands alone. Separators do not count."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("size"))
+    piece longer than `limit` stands alone. Separators do not count. `lengths` gives a piece's length.
+
+    The fold carries numbers only (where chunks start); texts are joined once, at the end.
+    """
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("size"), F.lit(0).alias("at"))
 
-    def add(s, x):
-        full = (s["size"] + F.length(x) > limit) & (F.size(s["open"]) > 0)
+    def add(s, n):
+        full = (s["at"] == 0) | (s["size"] + n > limit)
         return F.struct(
-            F.when(full, F.array_append(s["done"], F.array_join(s["open"], sep))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array(x)).otherwise(F.array_append(s["open"], x)).alias("open"),
-            F.when(full, F.length(x)).otherwise(s["size"] + F.length(x)).alias("size"))
+            F.when(full, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts"),
+            F.when(full, n).otherwise(s["size"] + n).alias("size"),
+            (s["at"] + 1).alias("at"))
 
-    return F.aggregate(pieces, start, add, lambda s: F.when(
-        F.size(s["open"]) > 0, F.array_append(s["done"], F.array_join(s["open"], sep))).otherwise(s["done"]))
+    def chunks(p: Column, starts: Column) -> Column:
+        def joined(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(p))
+            return F.array_join(F.slice(p, start + 1, end - start), sep)
+
+        return F.transform(starts, joined)
+
+    return let(pieces, lambda p: let(
+        F.aggregate(F.transform(p, lengths), zero, add, lambda s: s["starts"]), lambda starts: chunks(p, starts)))
 
 
 def pack_chunks(traces: DataFrame, *keys: str, limit: int = CHUNK_CHARS) -> DataFrame:
@@ -290,10 +306,13 @@ def pack_chunks(traces: DataFrame, *keys: str, limit: int = CHUNK_CHARS) -> Data
     p, kind = F.col("process"), F.col("trace_format")
 
     def at_markers(pattern):
-        marked = _pieces(p, rf"({pattern})", f"{MARK}$1")
-        chunks = pack(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), limit, "")
-        # the text before the first marker goes with the first chunk, uncounted
-        return F.transform(chunks, lambda c, i: F.when(i == 0, F.concat(marked[0], c)).otherwise(c))
+        def with_lead(found):
+            # the text before the first marker goes with the first chunk, uncounted
+            told = F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x))
+            lead = F.substring(p, 1, F.length(p) - told)
+            return F.transform(pack(found, limit, ""), lambda c, i: F.when(i == 0, F.concat(lead, c)).otherwise(c))
+
+        return let(_pieces(p, pattern), with_lead)
 
     v = strict_json(trim_blank(p))
     steps = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda s: F.to_json(s))
