@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 from gradeloom.functions.text import let
 
 _END = "\ue000"
+# A shorter text always fits a variant.
+VARIANT_BYTES = 1 << 24
 
 
 def strict_json(c: Column) -> Column:
@@ -20,12 +22,21 @@ def strict_json(c: Column) -> Column:
     return let(members, lambda m: F.when((F.size(m) == 2) & F.map_contains_key(m, _END), m["v"]))
 
 
+def is_json(c: Column) -> Column:
+    """Whether all of the text is one JSON value, of any size: texts beyond what a variant holds are only
+    walked through, for the names of the wrapper's members."""
+    names = F.json_object_keys(F.concat(F.lit('{"v":'), c, F.lit(f',"{_END}":0}}')))
+    large = (F.octet_length(c) > VARIANT_BYTES) & F.coalesce(
+        (F.size(names) == 2) & (F.get(names, F.lit(1)) == _END), F.lit(False))
+    return strict_json(c).isNotNull() | F.coalesce(large, F.lit(False))
+
+
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def member(v: Column, key: str) -> Column:

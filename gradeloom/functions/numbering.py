@@ -20,10 +20,8 @@ def with_group_values(df: DataFrame, keys: list[str], **aggs: Column) -> DataFra
     return df.join(totals, keys, "left")
 
 
-# Above this the sub-groups of one map task are merged in a step of their own.
-MANY = 100
-# Fixed value: default of spark.sql.optimizer.windowGroupLimitThreshold.
-PUSHED = 1000
+# Sub-groups that the rows of one key are merged in before they meet.
+GROUPS = 64
 
 
 def _head(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -34,18 +32,12 @@ def _head(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First n rows per key.
 
-    Spark applies the rank limit before the exchange too, so a map task sends at most n rows per key
-    and a hot key costs the last task only n rows per map task. For many rows per key these are
-    merged in 64 sub-groups first; beyond the number Spark pushes down, each input partition makes
-    its own cut before that.
+    Two steps for every n: the rows of a key are cut to n in sub-groups of input partitions first, so the
+    last task of a hot key gets at most n rows from each sub-group. Spark applies the limit of each step
+    before its exchange as well where n is small.
     """
-    if n <= MANY:
-        return _head(df, keys, order, n)
-    salted = df.withColumn("__part", F.spark_partition_id())
-    if n > PUSHED:
-        salted = _head(salted, [*keys, "__part"], order, n)
-    salted = _head(salted.withColumn("__salt", F.col("__part") % 64), [*keys, "__salt"], order, n)
-    return _head(salted.drop("__part", "__salt"), keys, order, n)
+    salted = df.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    return _head(_head(salted, [*keys, "__salt"], order, n).drop("__salt"), keys, order, n)
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:

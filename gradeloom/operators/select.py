@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.functions.jsontext import strict_json
+from gradeloom.functions.jsontext import is_json
 from gradeloom.functions.numbering import first_n
 from gradeloom.session import cut
 
@@ -33,7 +33,7 @@ def sample_queries(queries: DataFrame, n: int, seed: int = 42, key: str = "id")
 
 def pending_tasks(tasks: DataFrame, outputs: DataFrame) -> DataFrame:
     """Tasks without a readable output; an output that is no JSON is written again."""
-    done = outputs.where(strict_json(F.col("content")).isNotNull()).select("task_id")
+    done = outputs.where(is_json(F.col("content"))).select("task_id")
     return tasks.join(done, "task_id", "left_anti")
 
 
