@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.catalog.registry import query, rounded
 from gradeloom.operators import answers as A, attempts as T
 
-K, RETRY = 3, 5
+K = 3
 
 
 @query("valid_answer", "v_answer", """SELECT task_id, coalesce(answer, '') <> '' AND NOT regexp_matches(coalesce(answer, ''),
@@ -71,20 +71,20 @@ pk AS (SELECT task_id, bool_or(won) AS pass_at_k_success, count(*) FILTER (won_a
 
 @query("pass_at_k", "v_attempt", PASS + " SELECT * FROM pk")
 def _(d):
-    return T.pass_at_k(d.v_attempt, K, RETRY)
+    return T.pass_at_k(d.v_attempt, K)
 
 
 @query("accuracy", "v_attempt", PASS + """ SELECT task_id % 7 AS benchmark, count(*) AS tasks, count(*) FILTER (pass_at_k_success) AS passed,
 round(avg(pass_at_k_success::int), 9) AS accuracy FROM pk GROUP BY 1""")
 def _(d):
-    passed = T.pass_at_k(d.v_attempt, K, RETRY).withColumn("benchmark", F.col("task_id") % 7)
+    passed = T.pass_at_k(d.v_attempt, K).withColumn("benchmark", F.col("task_id") % 7)
     return rounded(T.accuracy(passed, "benchmark"), "accuracy")
 
 
 @query("run_statistics", "v_attempt", PASS + """, r AS (SELECT task_id % 13 AS run, round(avg(pass_at_k_success::int) * 100, 2) AS s FROM pk GROUP BY 1)
 SELECT run % 2 AS bench, count(*) AS num_runs, round(avg(s), 9) AS average_score, round(coalesce(stddev_samp(s), 0), 9) AS std_dev, min(s) AS min_score, max(s) AS max_score FROM r GROUP BY 1""")
 def _(d):
-    passed = T.pass_at_k(d.v_attempt, K, RETRY).withColumn("run", F.col("task_id") % 13)
+    passed = T.pass_at_k(d.v_attempt, K).withColumn("run", F.col("task_id") % 13)
     runs = T.accuracy(passed, "run").select(
         (F.col("run") % 2).alias("bench"),
         F.concat(F.round(F.col("accuracy") * 100, 2).cast("string"), F.lit("%")).alias("score"))
@@ -106,4 +106,4 @@ def _(d):
    SELECT failure, row_number() OVER (ORDER BY retry_id) AS rn FROM v_attempt b WHERE b.task_id = a.task_id AND b.attempt_id = a.attempt_id
      AND b.retry_id < a.retry_id AND b.failure <> '') x), '') AS prior_text FROM v_attempt a""")
 def _(d):
-    return T.prior_summaries(d.v_attempt, RETRY).select("task_id", "attempt_id", "retry_id", "n_prior", "prior_text")
+    return T.prior_summaries(d.v_attempt).select("task_id", "attempt_id", "retry_id", "n_prior", "prior_text")

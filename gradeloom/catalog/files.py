@@ -17,8 +17,16 @@ from gradeloom.sources.benchmarks import standardize_benchmark
 FILE = r"/file=([^/]+)/"
 
 
+def _array_files(rows, path):
+    """JSON-array files, one per value of `file`, for the loaders to read: at most a thousand rows each."""
+    body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("file", "pos")]))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("pos", body.alias("j")))), lambda x: x["j"])
+    rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(items, ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
 def _entries(d):
-    """Entries of fifty to a file; some without response, some with both question fields."""
+    """Entries of up to a thousand ids to a file; some without response, some with both question fields."""
     return d.documents.selectExpr(
         "concat(source, '_text_', (doc_id - doc_id % 1000) div 1000) AS file", "doc_id AS pos", "doc_id AS id",
         "CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN concat('rw ', doc_id) END AS rewritten_query", "concat('q ', doc_id) AS query",
@@ -31,7 +39,7 @@ def _entries(d):
 CASE WHEN doc_id % 3 = 1 THEN concat('rw ', doc_id) ELSE concat('q ', doc_id) END AS user_query, concat(source, '_text_', doc_id // 1000) AS model,
 CASE WHEN doc_id % 2 = 0 THEN concat('d/', doc_id) ELSE 'none' END AS file, lang AS category FROM documents WHERE doc_id % 7 > 1""")
 def _(d):
-    path = sinks.write_json_array(_entries(d), "file", "pos", fresh_path(d.spark, "entries"))
+    path = _array_files(_entries(d), fresh_path(d.spark, "entries"))
     return E.load_entries_array(d.spark, path, FILE).select(
         "task_id", "task_question", "user_query", "model", F.coalesce(F.col("files")[0]["dir"], F.lit("none")).alias("file"), "annotation.category")
 
@@ -87,8 +95,8 @@ def _(d):
     rows = d.documents.selectExpr(
         "concat('m', doc_id % 4, CASE WHEN doc_id % 4 = 3 OR doc_id % 8 < 4 THEN '_multimodal_' ELSE '_text_' END, 1000 + doc_id div 200) AS file",
         "doc_id AS pos", "doc_id AS id", "text AS response")
-    path = sinks.write_json_array(rows, "file", "pos", fresh_path(d.spark, "results"))
-    return E.load_results_glob(d.spark, path, ["m0", "m1", "m2", "m3", "m9"], "text", FILE).select("model", "id", "response")
+    path = _array_files(rows, fresh_path(d.spark, "results"))
+    return E.load_results_glob(d.spark, path, ["m0", "m1", "m2", "m3", "m9"], "text", FILE, "*.txt").select("model", "id", "response")
 
 
 CELLS = """, c AS (SELECT model, task_id, count(*) AS total, count(*) FILTER (trim(verification) = 'Right') AS r, count(*) FILTER (trim(verification) = 'Wrong') AS w,

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.catalog.views import load, with_views
-from gradeloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,9 +23,8 @@ class Data:
         return load(self.spark, self.sf_dir, name)
 
     def wide(self, name: str) -> DataFrame:
-        """The same for row-wise work that costs far more than the scan: small tables in one file are
-        dealt out to all cores, large ones already come in many pieces."""
-        return spread(load(self.spark, self.sf_dir, name))
+        """The same for row-wise work that costs far more than the scan."""
+        return load(self.spark, self.sf_dir, name)
 
 
 def query(name: str, views: str = "", sql: str | None = None):

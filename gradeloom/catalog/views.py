@@ -104,7 +104,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "v_answer": (["part"], """
         SELECT p_partkey AS task_id,
                CASE p_partkey % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN concat('Nonetheless ', p_name)
-                    WHEN 3 THEN concat('no', 'ne of ', p_name) WHEN 4 THEN concat(p_name, ' N/A')
+                    WHEN 3 THEN concat('none of ', p_name) WHEN 4 THEN concat(p_name, ' N/A')
                     WHEN 5 THEN concat('No ', chr(92), 'boxed{} content found.') ELSE p_name END AS answer
         FROM part"""),
     # two engines, ten ranks each per query
@@ -203,7 +203,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM part"""),
     # generated task queries with the replies of the three stages
     "v_generated": (["documents"], """
-        SELECT doc_id AS qid, substr(text, 1, 40) AS query, lang AS topic, source AS persona,
+        SELECT doc_id AS qid, text AS query, lang AS topic, source AS persona,
                CASE doc_id % 14 WHEN 0 THEN 'FinTech' WHEN 1 THEN ' Crypto policy' WHEN 2 THEN 'banking' WHEN 3 THEN 'data governance' WHEN 4 THEN 'LLM systems'
                     WHEN 5 THEN 'clinical trials' WHEN 6 THEN 'Supply Chain' WHEN 7 THEN 'hiring' WHEN 8 THEN 'carbon markets' WHEN 9 THEN 'quantum'
                     WHEN 10 THEN 'geopolitics' WHEN 11 THEN 'sports' WHEN 12 THEN 'Health finance' ELSE 'economics of energy' END AS domain,

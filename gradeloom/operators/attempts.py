@@ -1,7 +1,6 @@
 """Benchmark runs: attempts and retries per task, pass@k, accuracy, run statistics.
 
-A run makes at most k attempts of at most `max_retry` retries. Both limits are filters here, so the
-small sets gathered per (task, attempt) and per task are bounded by them.
+A task's list of attempts is bounded by k; retries are counted, never gathered.
 """
 
 from __future__ import annotations
@@ -9,19 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def pass_at_k(attempts: DataFrame, k: int, max_retry: int) -> DataFrame:
+def pass_at_k(attempts: DataFrame, k: int) -> DataFrame:
     """Success per task within k attempts. An attempt ends at its first valid answer and succeeds
-    if that answer is correct; the task ends at its first success. Counts run up to the stop."""
-    within = attempts.where((F.col("attempt_id") <= k) & (F.col("retry_id") < max_retry))
-    valid_at = F.when(F.col("is_valid_box"), F.col("retry_id"))
-    per_attempt = within.groupBy("task_id", "attempt_id").agg(
-        F.min(valid_at).alias("stop"),
-        F.min_by("is_correct", valid_at).alias("correct"),
-        F.collect_set("retry_id").alias("tried"),
-    )
-    retries = F.size(F.filter("tried", lambda r: F.col("stop").isNull() | (r <= F.col("stop"))))
-    step = per_attempt.select(
-        "task_id", "attempt_id", F.coalesce("correct", F.lit(False)).alias("won"), retries.alias("retries"))
+    if that answer is correct; the task ends at its first success. Counts run up to the stop, and rows
+    that repeat a retry count once."""
+    within = attempts.where(F.col("attempt_id") <= k).groupBy("task_id", "attempt_id", "retry_id").agg(
+        F.min(F.when(F.col("is_valid_box"), F.struct("is_correct"))).alias("valid"))
+    valid_at = F.when(F.col("valid").isNotNull(), F.col("retry_id"))
+    ends = within.groupBy("task_id", "attempt_id").agg(
+        F.min(valid_at).alias("stop"), F.min_by("valid.is_correct", valid_at).alias("correct"))
+    step = within.join(ends, ["task_id", "attempt_id"]).groupBy("task_id", "attempt_id").agg(
+        F.first(F.coalesce("correct", F.lit(False))).alias("won"),
+        F.count_if(F.col("stop").isNull() | (F.col("retry_id") <= F.col("stop"))).alias("retries"))
     per_task = step.groupBy("task_id").agg(
         F.min(F.when(F.col("won"), F.col("attempt_id"))).alias("won_at"),
         F.collect_list(F.struct("attempt_id", "retries")).alias("steps"),
@@ -31,7 +29,7 @@ def pass_at_k(attempts: DataFrame, k: int, max_retry: int) -> DataFrame:
         "task_id",
         F.col("won_at").isNotNull().alias("pass_at_k_success"),
         F.size(ran).cast("bigint").alias("total_attempts"),
-        F.aggregate(ran, F.lit(0), lambda acc, s: acc + s["retries"]).cast("bigint").alias("total_retries"),
+        F.aggregate(ran, F.lit(0).cast("bigint"), lambda acc, s: acc + s["retries"]).alias("total_retries"),
     )
 
 
@@ -73,10 +71,10 @@ def run_statistics(runs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def prior_summaries(attempts: DataFrame, max_retry: int) -> DataFrame:
+def prior_summaries(attempts: DataFrame) -> DataFrame:
     """Each retry with the failure summaries of the attempt's earlier retries, numbered from 1.
 
-    The window holds one attempt, at most `max_retry` rows.
+    The window holds one attempt: as many rows as it took retries. No row is left out.
     """
     w = (Window.partitionBy("task_id", "attempt_id").orderBy("retry_id")
          .rowsBetween(Window.unboundedPreceding, -1))
@@ -84,6 +82,6 @@ def prior_summaries(attempts: DataFrame, max_retry: int) -> DataFrame:
     text = F.array_join(F.transform("__e", lambda s, i: F.concat(
         F.lit("[Attempt "), (i + 1).cast("string"), F.lit("]\n"), s, F.lit("\n"))), "")
     return (
-        attempts.where(F.col("retry_id") < max_retry).withColumn("__e", earlier)
+        attempts.withColumn("__e", earlier)
         .withColumn("n_prior", F.size("__e")).withColumn("prior_text", text).drop("__e")
     )

@@ -36,11 +36,14 @@ def build_session(app: str = "gradeloom", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (local runs, tests) a new temporary folder is made.
+    Only a local session (all of Spark in one process) may go without the setting: it gets a new temporary
+    folder. On a cluster its absence is an error, as executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="gradeloom-")
         sc.setCheckpointDir(configured)
     elif not sc.getCheckpointDir():
@@ -57,11 +60,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in reliable storage, so that what follows is never recomputed."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows out to all cores where the input comes in fewer pieces than there are cores, as
-    with one small file of long texts. Inputs with enough pieces stay as they are. For scans and
-    row-wise views only: counting the pieces of a plan with a shuffle would run it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeloom.functions.jsontext import strict_json
+from gradeloom.functions.jsontext import is_json
 from gradeloom.functions.text import first_present, let, present
 
 # Default patterns: file name without extension, and the folder it lies in.
@@ -62,7 +62,7 @@ def unreadable_files(spark: SparkSession, path: str | list[str], stem: str = STE
 
 def _task_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).text(path).where(F.trim("value") != "")
-    return lines.withColumn("__ok", strict_json(F.col("value")).isNotNull()).withColumn("t", F.from_json("value", TASK))
+    return lines.withColumn("__ok", is_json(F.col("value"))).withColumn("t", F.from_json("value", TASK))
 
 
 def load_tasks_jsonl(spark: SparkSession, path: str | list[str], on_bad: str = "skip") -> DataFrame:
@@ -111,30 +111,30 @@ def load_tasks_dir(spark: SparkSession, path: str | list[str], folder: str = FOL
     return files.select(F.concat_ws("/", present(F.col("model")), "stem").alias("task_id"), "model", F.inline(rows))
 
 
-def choose_files(spark: SparkSession, path: str, models: list[str], kind: str, stem: str = STEM) -> DataFrame:
-    """The result file of each model: first by name among those named '{model}_{kind}...', else among
-    '{model}_...'. Only names are read (the content column is pruned)."""
+def choose_files(spark: SparkSession, path: str, models: list[str], kind: str, stem: str = STEM, glob: str = "*.json") -> DataFrame:
+    """One result file per model: the first by name among those named '{model}_{kind}...', else among
+    '{model}_...'; of equal names in several folders the first path. Only files that `glob` fits count, and
+    only names are read (the content column is pruned)."""
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select("path", F.regexp_extract("path", stem, 1).alias("stem"))
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+        .select(F.col("_metadata.file_path").alias("file_path"), "path", F.regexp_extract("path", stem, 1).alias("stem"))
     )
     fits = F.filter(F.array(*map(F.lit, models)), lambda m: F.col("stem").startswith(F.concat(m, F.lit("_"))))
     ranked = files.withColumn("model", F.explode(fits)).withColumn(
         "prio", F.when(F.col("stem").startswith(F.concat("model", F.lit(f"_{kind}"))), 0).otherwise(1))
-    best = ranked.groupBy("model").agg(F.min(F.struct("prio", "stem")).alias("b")).select("model", "b.stem")
-    return ranked.join(best, ["model", "stem"]).select("model", "stem", "path")
-
-
-def load_results_glob(spark: SparkSession, path: str, models: list[str], kind: str = "text", stem: str = STEM) -> DataFrame:
-    """Entries of the chosen file of each model. One path per model is looked up first, so that only
-    those files are scanned."""
-    chosen = choose_files(spark, path, models, kind, stem).select("model", "path").collect()
-    if not chosen:
-        return read_entries(spark, path, stem).where("false").withColumn("model", F.col("stem"))
-    model_of = F.create_map(*[F.lit(x) for r in chosen for x in (r["path"].split(":", 1)[-1].lstrip("/"), r["model"])])
-    rows = read_entries(spark, [r["path"] for r in chosen], stem)
-    bare = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/*", "")
-    return rows.withColumn("model", model_of[bare])
+    best = ranked.groupBy("model").agg(F.min(F.struct("prio", "stem", "path", "file_path")).alias("b"))
+    return best.select("model", "b.stem", "b.path", "b.file_path")
+
+
+def load_results_glob(spark: SparkSession, path: str, models: list[str], kind: str = "text", stem: str = STEM, glob: str = "*.json") -> DataFrame:
+    """Entries of the chosen file of each model, joined by the file's path as the scan names it."""
+    chosen = choose_files(spark, path, models, kind, stem, glob).select("model", "file_path")
+    rows = (
+        spark.read.schema(ENTRY).option("multiLine", True).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob).json(path)
+        .withColumn("stem", from_path(stem)).withColumn("file_path", F.col("_metadata.file_path"))
+    )
+    return rows.join(chosen, "file_path").drop("file_path")
 
 
 def explode_cells(lines: DataFrame, scores: str) -> DataFrame:

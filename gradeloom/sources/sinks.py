@@ -30,12 +30,3 @@ def write_items(entries: DataFrame, path: str, name: str = "item") -> str:
     task first, so each folder gets one file."""
     entries.repartition(name).write.partitionBy(name).json(path)
     return path
-
-
-def write_json_array(df: DataFrame, file_key: str, order: str, path: str) -> str:
-    """JSON-array files, one per value of `file_key`. The caller keeps a file's rows few."""
-    body = [c for c in df.columns if c not in (file_key, order)]
-    rows = df.select(F.col(file_key).alias("file"), F.struct(order, F.to_json(F.struct(*body)).alias("j")).alias("r"))
-    text = F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["j"]), ",\n"), F.lit("]"))
-    rows.groupBy("file").agg(text.alias("value")).write.partitionBy("file").text(path)
-    return path

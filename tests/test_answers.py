@@ -81,7 +81,7 @@ def test_pass_at_k_follows_the_loop(spark):
         want[task] = run_loop(rows, 3, 3)
         data += [(task, *x) for x in rows]
     df = spark.createDataFrame(data, "task_id int, attempt_id int, retry_id int, is_valid_box boolean, is_correct boolean")
-    got = {r.task_id: (r.pass_at_k_success, r.total_attempts, r.total_retries) for r in T.pass_at_k(df, 3, 3).collect()}
+    got = {r.task_id: (r.pass_at_k_success, r.total_attempts, r.total_retries) for r in T.pass_at_k(df, 3).collect()}
     assert got == want
 
 
