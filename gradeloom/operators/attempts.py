@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def pass_at_k(attempts: DataFrame, k: int) -> DataFrame:
+def pass_at_k(attempts: DataFrame, k: int, max_retry: int | None = None) -> DataFrame:
     """Success per task within k attempts. An attempt ends at its first valid answer and succeeds
     if that answer is correct; the task ends at its first success. Counts run up to the stop, and rows
-    that repeat a retry count once."""
-    within = attempts.where(F.col("attempt_id") <= k).groupBy("task_id", "attempt_id", "retry_id").agg(
+    that repeat a retry count once. With `max_retry` an attempt is read as a run with that many retries."""
+    read = F.col("attempt_id") <= k
+    if max_retry is not None:
+        read &= F.col("retry_id") < max_retry
+    within = attempts.where(read).groupBy("task_id", "attempt_id", "retry_id").agg(
         F.min(F.when(F.col("is_valid_box"), F.struct("is_correct"))).alias("valid"))
     valid_at = F.when(F.col("valid").isNotNull(), F.col("retry_id"))
     ends = within.groupBy("task_id", "attempt_id").agg(
