@@ -32,10 +32,11 @@ SIZES = (4, 5, 6)
 WIDTH = 4
 ROUNDS = 120
 FLOOR = 30         # least number of words that a text is averaged over
+SLICE = 50         # texts whose n-grams are listed at a time
 LEAST_TEXTS = 5    # an n-gram must occur in so many texts of the sample
 LEAST_T = 4.5      # and its mean share must differ by so many standard errors,
 LEAST_BUCKETS = 200  # but so many of those that differ most take part in any case
-PER_LABEL = {0: 3000, 1: 1500}   # bound of the training sample, by label
+PER_LABEL = {0: 2000, 1: 1000}   # bound of the training sample, by label
 
 _WORD = re.compile(r"\w+")
 
@@ -121,13 +122,18 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.repeat(text, repeats).astype(np.int64) * BUCKETS + bucket
     key, place = np.unique(key, return_inverse=True)
     weight = np.bincount(place, weights=np.repeat(share / np.maximum(repeats, 1), repeats), minlength=len(key))
-    return key // BUCKETS, key % BUCKETS, weight
+    return (key // BUCKETS).astype(np.int32), (key % BUCKETS).astype(np.int32), weight.astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 1) -> Model:
     """Vectors and softmax, jointly, by gradient descent with momentum on all examples."""
-    text, bucket, weight = _bags(texts)
     total = len(texts)
+    # in slices, and in narrow types: the n-grams of a few texts at a time are what memory holds
+    parts = [_bags(texts[at:at + SLICE]) for at in range(0, total, SLICE)]
+    text = np.concatenate([t + np.int32(i * SLICE) for i, (t, _, _) in enumerate(parts)])
+    bucket = np.concatenate([b for _, b, _ in parts])
+    weight = np.concatenate([w for _, _, w in parts])
+    del parts
 
     # how far apart the mean shares of the two labels lie
     error, apart = np.zeros(BUCKETS), np.zeros(BUCKETS)
