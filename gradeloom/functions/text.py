@@ -108,7 +108,9 @@ def canonical_url(c: Column) -> Column:
 
 
 # Escapes that stay encoded (URL delimiters, the percent sign and the space).
-KEPT_ESCAPES = "2f 3f 23 26 3d 40 3a 5b 5d 21 24 27 28 29 2a 2b 2c 3b 25 20".split()
+KEPT_ESCAPES = [
+    "2f", "3f", "23", "26", "3d", "40", "3a", "5b", "5d", "21", "24", "27", "28", "29", "2a", "2b", "2c", "3b", "25", "20",
+]
 
 
 def readable_url(c: Column) -> Column:
