@@ -6,8 +6,6 @@ higher-order functions, so nothing here shuffles, however long or lopsided the t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.jsontext import is_array, is_object, member, strict_json, text_member
@@ -275,9 +273,9 @@ def compress_trace(traces: DataFrame, max_chars: int = 30_000) -> DataFrame:
 # ---- packing -------------------------------------------------------------------------------
 
 
-def pack(pieces: Column, limit: int, sep: str, lengths: Callable[[Column], Column] = F.length) -> Column:
+def pack(pieces: Column, limit: int, sep: str, lengths: Column | None = None) -> Column:
     """Greedy in-order packing: a piece that would take the chunk over `limit` starts the next one; a
-    piece longer than `limit` stands alone. Separators do not count. `lengths` gives a piece's length.
+    piece longer than `limit` stands alone. Separators do not count. `lengths` are other lengths to go by.
 
     The fold carries numbers only (where chunks start); texts are joined once, at the end.
     """
@@ -298,7 +296,16 @@ def pack(pieces: Column, limit: int, sep: str, lengths: Callable[[Column], Colum
         return F.transform(starts, joined)
 
     return let(pieces, lambda p: let(
-        F.aggregate(F.transform(p, lengths), zero, add, lambda s: s["starts"]), lambda starts: chunks(p, starts)))
+        F.aggregate(F.transform(p, F.length) if lengths is None else lengths, zero, add, lambda s: s["starts"]), lambda starts: chunks(p, starts)))
+
+
+def standard_length(value: Column) -> Column:
+    """Length of a variant as JSON text in the usual form, with a blank after each comma and colon."""
+    def told(text: Column) -> Column:
+        bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+        return F.length(text) + F.length(F.regexp_replace(bare, "[^,:]", ""))
+
+    return let(F.coalesce(F.to_json(value), _lit("null")), told)
 
 
 def pack_chunks(traces: DataFrame, *keys: str, limit: int = CHUNK_CHARS) -> DataFrame:
@@ -315,8 +322,11 @@ def pack_chunks(traces: DataFrame, *keys: str, limit: int = CHUNK_CHARS) -> Data
         return let(_pieces(p, pattern), with_lead)
 
     v = strict_json(trim_blank(p))
-    steps = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda s: F.to_json(s))
-    as_array = F.transform(pack(steps, limit, ","), lambda c: F.concat(_lit("["), c, _lit("]")))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    # the text of each step, keys in their order; strings get their quotes back
+    steps = F.zip_with(F.from_json(p, "array<string>"), items, lambda text, item: F.when(
+        F.coalesce(F.schema_of_variant(item) == "STRING", F.lit(True)), F.coalesce(F.to_json(item), _lit("null"))).otherwise(text))
+    as_array = F.transform(pack(steps, limit, ",", F.transform(items, standard_length)), lambda c: F.concat(_lit("["), c, _lit("]")))
     chunks = (
         F.when(kind == "json_array", as_array)
         .when(kind == "block_text", at_markers(rf"\[(?:{BLOCK_TAGS})\]"))

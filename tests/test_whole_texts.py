@@ -73,3 +73,25 @@ def test_late_retries_stay(spark):
     got = attempts.pass_at_k(df, 1).first()
     assert (got.pass_at_k_success, got.total_attempts, got.total_retries) == (True, 1, 10)
     assert attempts.prior_summaries(df).agg(F.max("n_prior")).first()[0] == 9
+
+
+def test_steps_pack_by_their_standard_length(spark):
+    import random
+
+    rng = random.Random(4)
+    equal = [{"type": "think", "content": "x" * 50, "step": 1}] * 24
+    mixed = [rng.choice([{"b": "é, \"q\": \\", "a": [1, 2.50, None]}, {"step": 1, "n": {"k": "v,:" * rng.randint(0, 9)}}, "text, s: t", 12, []])
+             for _ in range(60)]
+    for steps, limit in ((equal, 345), (mixed, 120), (mixed, 10)):
+        want, open_, size = [], [], 0
+        for step in steps:
+            n = len(json.dumps(step, ensure_ascii=False))
+            if size + n > limit and open_:
+                want.append(open_)
+                open_, size = [], 0
+            open_, size = [*open_, step], size + n
+        want.append(open_)
+        df = spark.createDataFrame([(1, json.dumps(steps, ensure_ascii=False))], "i int, process string")
+        got = [r.chunk for r in T.pack_chunks(df, "i", limit=limit).orderBy("chunk_no").collect()]
+        assert [json.loads(c) for c in got] == want
+        assert all(list(g) == list(s) for c, part in zip(got, want) for g, s in zip(json.loads(c), part) if isinstance(s, dict))
