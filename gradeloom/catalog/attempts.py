@@ -102,7 +102,10 @@ def _(d):
 
 @query("prior_summaries", "v_attempt", """SELECT a.task_id, a.attempt_id, a.retry_id,
  (SELECT cast(count(*) AS int) FROM v_attempt b WHERE b.task_id = a.task_id AND b.attempt_id = a.attempt_id AND b.retry_id < a.retry_id AND b.failure <> '') AS n_prior,
- coalesce((SELECT string_agg('[Attempt ' || rn || ']' || chr(10) || failure || chr(10), '' ORDER BY rn) FROM (
+ coalesce((SELECT '=== Previous Attempts Analysis ===' || chr(10) || 'The following summarizes what was tried before and why it did not work.' || chr(10)
+   || 'Use this to guide a NEW approach. Avoid repeating the same mistakes.' || chr(10) || chr(10)
+   || string_agg('[Attempt ' || rn || ']' || chr(10) || failure || chr(10), '' ORDER BY rn)
+   || chr(10) || '=== End of Previous Attempts ===' || chr(10) || 'Based on the above analysis, try a different approach.' || chr(10) FROM (
    SELECT failure, row_number() OVER (ORDER BY retry_id) AS rn FROM v_attempt b WHERE b.task_id = a.task_id AND b.attempt_id = a.attempt_id
      AND b.retry_id < a.retry_id AND b.failure <> '') x), '') AS prior_text FROM v_attempt a""")
 def _(d):

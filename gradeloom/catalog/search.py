@@ -124,11 +124,6 @@ def _(d):
     return S.page_text(d.wide("pages"))
 
 
-@query("page_text_parsed")
-def _(d):
-    return S.page_text_parsed(d.wide("pages"))
-
-
 @query("page_links", "", f"""SELECT page_id, pos - 1 AS pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(href, '^(?i)(https?|file):')
  THEN '' ELSE href END AS href, text FROM (SELECT page_id, pos, coalesce(regexp_extract(tag, 'href="([^"]*)"', 1), '') AS href, {strip("inner_html")} AS text
  FROM (SELECT page_id, generate_subscripts(t, 1) AS pos, unnest(t) AS tag, unnest(i) AS inner_html FROM

@@ -74,8 +74,18 @@ def run_statistics(runs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+# What stands before and after the summaries of earlier retries.
+SUMMARIES_HEAD = (
+    "=== Previous Attempts Analysis ===\n"
+    "The following summarizes what was tried before and why it did not work.\n"
+    "Use this to guide a NEW approach. Avoid repeating the same mistakes.\n"
+)
+SUMMARIES_FOOT = "=== End of Previous Attempts ===\nBased on the above analysis, try a different approach.\n"
+
+
 def prior_summaries(attempts: DataFrame) -> DataFrame:
-    """Each retry with the failure summaries of the attempt's earlier retries, numbered from 1.
+    """Each retry with the failure summaries of the attempt's earlier retries, numbered from 1, between a
+    head and a foot; '' where there are none.
 
     The window holds one attempt: as many rows as it took retries. No row is left out.
     """
@@ -86,5 +96,8 @@ def prior_summaries(attempts: DataFrame) -> DataFrame:
         F.lit("[Attempt "), (i + 1).cast("string"), F.lit("]\n"), s, F.lit("\n"))), "")
     return (
         attempts.withColumn("__e", earlier)
-        .withColumn("n_prior", F.size("__e")).withColumn("prior_text", text).drop("__e")
+        .withColumn("n_prior", F.size("__e"))
+        .withColumn("prior_text", F.when(F.size("__e") > 0, F.concat_ws(
+            "\n", F.lit(SUMMARIES_HEAD), text, F.lit(SUMMARIES_FOOT))).otherwise(""))
+        .drop("__e")
     )

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradeloom.functions.numbering import first_n
@@ -167,49 +164,6 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.withColumn("__h", bare).select("page_id", title.alias("title"), plain_markup(body).alias("text"))
 
 
-def page_text_parsed(pages: DataFrame) -> DataFrame:
-    """The same through an HTML parser, for markup that patterns misread (Arrow batches, no shuffle)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from html.parser import HTMLParser
-
-        class Reader(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.hidden, self.in_title, self.has_body = 0, False, False
-                self.title, self.all, self.body = [], [], []
-
-            def handle_starttag(self, tag, attrs):
-                self.hidden += tag in ("script", "style")
-                self.in_title = tag == "title" or self.in_title
-                self.has_body = tag == "body" or self.has_body
-
-            def handle_endtag(self, tag):
-                self.hidden -= tag in ("script", "style") and self.hidden > 0
-                self.in_title = self.in_title and tag != "title"
-
-            def handle_data(self, data):
-                if self.in_title:
-                    self.title.append(data)
-                if not self.hidden:
-                    self.all.append(data)
-                    if self.has_body:
-                        self.body.append(data)
-
-        def read(html):
-            r = Reader()
-            r.feed(html or "")
-            r.close()
-            text = r.body if r.has_body else r.all
-            return " ".join("".join(r.title).split()), " ".join(" ".join(text).split())
-
-        for batch in batches:
-            got = [read(h) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "title": [g[0] for g in got], "text": [g[1] for g in got]})
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, title string, text string")
-
-
 def _attribute(tag: Column, name: str) -> Column:
     pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     return F.coalesce(first_present(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)]), F.lit(""))
