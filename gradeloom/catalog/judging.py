@@ -29,7 +29,7 @@ SELECT task_id, CASE WHEN eq AND is_match THEN 'CORRECT' WHEN NOT eq THEN CASE W
 def _(d):
     rows = d.v_pair.selectExpr("task_id", "truth", "answer", "CASE WHEN task_id % 2 = 0 THEN 'equivalence' ELSE 'conclusion_zh' END AS verifier",
                                "concat('Q', task_id, ' ', truth) AS prompt")
-    return J.apply_judge(rows, word_judge, concurrency=8, tries=2).select("task_id", "verdict", "asked")
+    return J.apply_judge(rows, word_judge, tries=2).select("task_id", "verdict", "asked")
 
 
 def list_scorer(prompt: str) -> str:
@@ -48,7 +48,7 @@ def _(d):
     # three criteria at most per query and dimension
     rows = d.v_criteria.groupBy("query_id", "dimension").agg(F.sort_array(F.collect_list("criterion")).alias("criteria"))
     rows = rows.withColumn("model", F.lit("m")).withColumn("prompt", F.expr("concat('Score ', query_id, '|', array_join(criteria, '|'))"))
-    return J.score_with_retries(rows, list_scorer, concurrency=8).select("query_id", "dimension", "ok", F.size("scores").cast("bigint").alias("n_scores"), "tries")
+    return J.score_with_retries(rows, list_scorer).select("query_id", "dimension", "ok", F.size("scores").cast("bigint").alias("n_scores"), "tries")
 
 
 def part_checker(prompt: str) -> str:
@@ -71,7 +71,7 @@ SELECT doc_id AS task_id, count(*) AS chunks, count(*) FILTER (lost) AS dropped_
  count(*) FILTER (NOT lost AND n % 4 = 3) AS unknown FROM v GROUP BY doc_id""")
 def _(d):
     reports = d.wide("v_report").select(F.col("doc_id").alias("task_id"), F.lit("source of report").alias("user_query"), "report")
-    return FC.fact_check(reports, part_checker, concurrency=8, tries=2)
+    return FC.fact_check(reports, part_checker, tries=2)
 
 
 @query("quality_board", "v_criteria v_reply_score", D2 + f""", dim AS (SELECT query_id, model, dimension, sum(score * weight) / sum(weight) AS s FROM m WHERE hit = n GROUP BY ALL),

@@ -1,13 +1,17 @@
 """Calls to a scorer the caller supplies: a function from prompt text to reply text.
 
-The call is the costly part, so rows that need none are settled before it, the number of partitions
-is the number of calls in flight, and a scorer's failure becomes a value in the row instead of a
+The call is the costly part, so rows that need none are settled before it, and a scorer's failure becomes a value in the row instead of a
 failed job. Replies are kept in reliable storage before anything reads them twice: a lost executor
 repeats the calls of its unfinished tasks only.
+
+Rows are dealt out by key into as many partitions as the session's shuffles have, small ones merged by
+size, so partitions follow the data. Each core makes one call at a time; `per_second` slows the calls of
+a core down for a service that allows fewer.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,7 +27,7 @@ EXACT_FIRST = ["equivalence", "choice_abc"]
 
 
 def call_scorer(df: DataFrame, prompt: str, scorer: Scorer, tries: int = 3, check: Callable[[str, dict], str | None] | None = None,
-                context: list[str] | None = None) -> DataFrame:
+                context: list[str] | None = None, per_second: float | None = None) -> DataFrame:
     """Adds reply, error and tries. A reply that is empty, raises, or that `check` objects to is asked
     for again, `tries` times in all; then reply is null and error says why. `check` gets the reply and
     the row's `context` columns."""
@@ -34,6 +38,8 @@ def call_scorer(df: DataFrame, prompt: str, scorer: Scorer, tries: int = 3, chec
         error = None
         for n in range(1, tries + 1):
             try:
+                if per_second:
+                    time.sleep(1 / per_second)
                 reply = scorer(text)
                 error = "empty reply" if not reply else check(reply, row) if check else None
                 if error is None:
@@ -53,11 +59,10 @@ def call_scorer(df: DataFrame, prompt: str, scorer: Scorer, tries: int = 3, chec
     return df.mapInArrow(run, schema)
 
 
-def apply_judge(answers: DataFrame, scorer: Scorer, concurrency: int = 200, tries: int = 5) -> DataFrame:
+def apply_judge(answers: DataFrame, scorer: Scorer, tries: int = 5, per_second: float | None = None) -> DataFrame:
     """Verdict per answer. `answers` has task_id, verifier, truth, answer and prompt.
 
-    Exact matches are settled at once; the rest is spread over `concurrency` partitions by task and
-    put to the scorer. No readable reply after all tries: NOT_ATTEMPTED.
+    Exact matches are settled at once; the rest is dealt out by task and put to the scorer. No readable reply after all tries: NOT_ATTEMPTED.
     """
     settled = (
         F.when(F.col("verifier").isin(EXACT_FIRST) & answer_match(F.col("truth"), F.col("answer")), CORRECT)
@@ -65,9 +70,9 @@ def apply_judge(answers: DataFrame, scorer: Scorer, concurrency: int = 200, trie
     )
     marked = answers.withColumn("verdict", settled)
     free = marked.where("verdict IS NOT NULL").withColumn("asked", F.lit(False))
-    open_ = marked.where("verdict IS NULL").drop("verdict").repartition(concurrency, "task_id")
+    open_ = marked.where("verdict IS NULL").drop("verdict").repartition("task_id")
     asked = (
-        cut(call_scorer(open_, "prompt", scorer, tries))
+        cut(call_scorer(open_, "prompt", scorer, tries, per_second=per_second))
         .withColumn("verdict", F.coalesce(parse_judgement(F.col("verifier"), F.col("reply")), F.lit(NOT_ATTEMPTED)))
         .withColumn("asked", F.lit(True)).drop("reply", "error", "tries")
     )
@@ -83,12 +88,12 @@ def _scores_missing(reply: str, row: dict) -> str | None:
     return f"no score for {lost[0]}" if lost else None
 
 
-def score_with_retries(dimensions: DataFrame, scorer: Scorer, concurrency: int = 200, tries: int = 3) -> DataFrame:
+def score_with_retries(dimensions: DataFrame, scorer: Scorer, tries: int = 3, per_second: float | None = None) -> DataFrame:
     """Criterion scores per dimension: (…, ok, scores, error, tries). `dimensions` has query_id, model,
     dimension, prompt and the array criteria. A dimension that fails all tries is empty and not ok, so
     it is neither cached nor counted."""
-    spread = dimensions.repartition(concurrency, "query_id", "model", "dimension")
-    asked = cut(call_scorer(spread, "prompt", scorer, tries, _scores_missing, ["criteria"]))
+    dealt = dimensions.repartition("query_id", "model", "dimension")
+    asked = cut(call_scorer(dealt, "prompt", scorer, tries, _scores_missing, ["criteria"], per_second))
     scores = F.from_json("reply", "array<struct<criterion:string,score:double>>")
     return asked.withColumn("ok", F.col("reply").isNotNull()).withColumn(
         "scores", F.when(F.col("ok"), scores).otherwise(F.array().cast("array<struct<criterion:string,score:double>>")))

@@ -11,7 +11,7 @@ from gradeloom.operators.scores import right_ratio_macro, right_ratio_micro, ver
 from gradeloom.session import cut
 
 
-def check_chunks(reports: DataFrame, scorer: Scorer, concurrency: int = 200, tries: int = 5) -> DataFrame:
+def check_chunks(reports: DataFrame, scorer: Scorer, tries: int = 5, per_second: float | None = None) -> DataFrame:
     """One row per report part with the scorer's payload. `reports` has task_id, user_query and report.
 
     The parts of one report go to different partitions, so a long report does not wait in one task.
@@ -19,14 +19,14 @@ def check_chunks(reports: DataFrame, scorer: Scorer, concurrency: int = 200, tri
     """
     parts = segment_reports(reports, "task_id", "user_query").withColumnRenamed("idx", "chunk_idx")
     prompts = parts.select("task_id", "chunk_idx", check_prompt(F.col("user_query"), F.col("segment")).alias("prompt"))
-    asked = cut(call_scorer(prompts.repartition(concurrency, "task_id", "chunk_idx"), "prompt", scorer, tries).drop("prompt"))
+    asked = cut(call_scorer(prompts.repartition("task_id", "chunk_idx"), "prompt", scorer, tries, per_second=per_second).drop("prompt"))
     payload = asked.select("task_id", "chunk_idx", F.col("reply").isNotNull().alias("ok"), verdict_block(F.col("reply")).alias("payload"))
     return repair_json(payload, "payload")
 
 
-def fact_check(reports: DataFrame, scorer: Scorer, concurrency: int = 200, tries: int = 5) -> DataFrame:
+def fact_check(reports: DataFrame, scorer: Scorer, tries: int = 5, per_second: float | None = None) -> DataFrame:
     """Verdict counts per report, with the number of parts that were lost on the way."""
-    chunks = check_chunks(reports, scorer, concurrency, tries)
+    chunks = check_chunks(reports, scorer, tries, per_second)
     counts = verdict_counts(merge_chunks(chunks), "task_id")
     return dropped_chunks(chunks).join(counts, "task_id", "left").fillna(0)
 

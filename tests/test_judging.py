@@ -26,7 +26,7 @@ def test_exact_matches_cost_no_call(spark):
 
     rows = [(1, "equivalence", "5", "$5", "p1"), (2, "equivalence", "x", "y", "p2"), (3, "yes_no", "x", "x", "p3"), (4, "conclusion_zh", "x", None, "p4")]
     df = spark.createDataFrame(rows, "task_id int, verifier string, truth string, answer string, prompt string")
-    out = J.apply_judge(df, judge, concurrency=2, tries=1)
+    out = J.apply_judge(df, judge, tries=1)
     got = {r.task_id: r.verdict for r in out.collect()}
     assert got == {1: "CORRECT", 2: "INCORRECT", 3: "NOT_ATTEMPTED", 4: "INCORRECT"} and calls.value == 2
 
