@@ -11,9 +11,10 @@ third document fills long lists, but they rank last and stay unposted.
 
 Skip: lists of true near copies may be as long as the group. Their members are first compared with one
 pivot per list, which is linear; members found in one component need no further comparison. What is left
-(members of different components in one list) is merged in blocks of bounded size, each pair in the first
-list that it shares: first each member with its few best partners, then, after components are joined
-again, with all that are left. No pair is capped away; what is skipped is known to be connected.
+(members of different components in one list) is merged in blocks of bounded size, lists with the same
+members once, each pair in the first list that it shares. A block holds the sets of its members, so pairs
+are confirmed where they are found and only links that join components leave the task. No pair is capped
+away; what is skipped is known to be connected.
 
 Copies with one set are one node throughout. The sets of candidates alone are kept for confirmation.
 """
@@ -34,7 +35,6 @@ SIZE = 64
 MATCHES = 36
 POSTED = SIZE - MATCHES + 1
 BLOCK = 1024      # members of a list that meet in one task
-FIRST_PARTNERS = 3
 
 _rng = np.random.default_rng(20240229)
 _BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -130,54 +130,98 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _merge(postings: DataFrame, labels: DataFrame, nodes: DataFrame, partners: int | None) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of different components that share a list and agree in MATCHES
-    coordinates; of each member only the `partners` that agree most, if given."""
-    marked = _labelled(postings, labels)
+def _distinct_lists(postings: DataFrame) -> DataFrame:
+    """Of lists with the same members one is enough. Members are compared by two hashes of the whole list,
+    which aggregate before the shuffle."""
+    prints = postings.groupBy("token").agg(
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.count("*").alias("members"))
+    lists = cut(prints.groupBy("x", "y", "members").agg(F.min("token").alias("token")).select("token"))
+    kept = postings.select("node", "token").join(lists, "token")
+    return kept.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens")).select(
+        "node", "tokens", F.explode("tokens").alias("token"))
+
+
+def _link_block(node: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray,
+                sets: list[np.ndarray], shared_before, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join components, between the members in `left` and in `right`."""
+    _, number = np.unique(label, return_inverse=True)
+    root = list(range(number.max() + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    marked = np.zeros(ids.max() + 1, np.int64)
+    links = []
+    for i in np.flatnonzero(left):
+        js = np.flatnonzero(right & (label != label[i]) & (node > node[i] if left is right else True))
+        js = js[(sig[js] == sig[i]).sum(1) >= MATCHES]
+        js = np.array([j for j in js if find(number[j]) != find(number[i]) and not shared_before(i, j)], np.int64)
+        if not len(js):
+            continue
+        own = ids[start[i]:start[i] + size[i]]
+        marked[own] = 1
+        common = np.array([marked[ids[start[j]:start[j] + size[j]]].sum() for j in js])
+        marked[own] = 0
+        for j in js[common * 100 >= (size[i] + size[js] - common) * percent]:
+            x, y = find(number[i]), find(number[j])
+            if x != y:
+                root[x] = y
+                links.append((int(node[i]), int(node[j])))
+    return links
+
+
+def _merge(postings: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components met in one list.
+
+    Members of a list meet in blocks; each candidate pair is looked at in the first list it shares, and
+    only if nothing in the task has joined its components yet.
+    """
+    marked = cut(_labelled(postings, labels))
     split = cut(marked.groupBy("token").agg(
         F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members")
     ).where("least <> most").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # a member of block i meets all blocks: it goes to every unordered pair of blocks that holds i
     rows = (
-        marked.join(split, "token").join(nodes.select("node", "signature"), "node")
-        .withColumn("own", own)
+        marked.join(split, "token").withColumn("own", own)
+        .join(nodes.select("node", "signature"), "node").join(sets, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                "own", "node", "label", "tokens", "signature")
+                "own", "node", "label", "tokens", "signature", "shingles")
     )
+    keys = ["token", "low", "high"]
+
+    def link(group: pd.DataFrame) -> list[tuple[int, int]]:
+        token, low, high = (int(group[k].iloc[0]) for k in keys)
+        own = group["own"].to_numpy()
+        earlier = [{int(t) for t in ts if t < token} for ts in group["tokens"]]
+        left = own == low
+        return _link_block(
+            group["node"].to_numpy(), group["label"].to_numpy(), left, left if low == high else own == high,
+            np.stack(group["signature"].to_list()), group["shingles"].to_list(),
+            lambda i, j: not earlier[i].isdisjoint(earlier[j]), percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            k = batch[keys].to_numpy()
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist()]
+            links = [x for a, b in zip(cuts, cuts[1:]) for x in link(batch.iloc[a:b])]
+            yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+            held = batch.iloc[cuts[-1]:]
+        if held is not None and len(held):
+            yield pd.DataFrame(link(held), columns=["a", "b"], dtype=np.int64)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        token, low, high = int(group["token"].iloc[0]), int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        node, label, own = (group[c].to_numpy() for c in ("node", "label", "own"))
-        sig = np.stack(group["signature"].to_list())
-        # lists shared before this one: the pair belongs to the first of them
-        earlier = [frozenset(int(t) for t in ts if t < token) for ts in group["tokens"]]
-        found_a, found_b = [], []
-        for i in range(len(node)):
-            if own[i] != low:
-                continue
-            fits = (label != label[i]) & (own == high)
-            if low == high:
-                fits[:i + 1] = False
-            js = np.flatnonzero(fits)
-            if not len(js):
-                continue
-            agree = (sig[js] == sig[i]).sum(1)
-            js, agree = js[agree >= MATCHES], agree[agree >= MATCHES]
-            js, agree = js[np.argsort(-agree, kind="stable")], None
-            taken = 0
-            for j in js:
-                if not earlier[i].isdisjoint(earlier[j]):
-                    continue
-                found_a.append(min(node[i], node[j]))
-                found_b.append(max(node[i], node[j]))
-                taken += 1
-                if taken == partners:
-                    break
-        return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
-
-    return rows.groupBy("token", "low", "high").applyInPandas(run, "a long, b long").distinct()
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return placed.mapInPandas(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -199,7 +243,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     pivots = cut(postings.groupBy("token").agg(F.min("node").alias("pivot"), F.count("*").alias("members"))
                  .where("members > 1").drop("members"))
     listed = postings.join(pivots, "token")
-    postings = cut(listed.drop("pivot"))
     first = listed.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("ga"), F.col("n").alias("na"))
     two = nodes.select(F.col("node").alias("b"), F.col("signature").alias("gb"), F.col("n").alias("nb"))
@@ -207,6 +250,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_matching("ga", "gb") >= MATCHES)
     ).select("a", "b"))
 
+    postings = cut(_distinct_lists(listed.select("node", "token")))
+
     # the sets of all that are in some list, computed again from their texts
     wanted = postings.select("node").distinct()
     holders = sketch.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -224,14 +269,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     links = cut(_confirm(first, sets, percent))
     labels = components(links)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for partners in (FIRST_PARTNERS, None):
-        more = cut(_merge(postings, labels, nodes, partners).join(tried, ["a", "b"], "left_anti"))
-        found = cut(_confirm(more, sets, percent))
-        tried = tried.unionByName(more)
-        if found.head(1):
-            links = links.unionByName(found)
-            labels = components(links)
+    more = cut(_merge(postings, labels, nodes, sets, percent))
+    if more.head(1):
+        labels = components(links.unionByName(more))
 
     named = _labelled(nodes.select("node", "least"), labels)
     least = cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
