@@ -133,7 +133,8 @@ def _sort_chunk(rows: list[tuple], width: int, outer: set) -> Iterator[tuple]:
     """Repeats among the stretches (anchor, cover, bytes) of a chunk, sorted by anchor.
 
     Yields (anchor, cover, first, last, None) for starts found repeated, and (anchor, cover, start, start,
-    hash) for those of `outer` anchors, which other buckets may hold too.
+    hash) for `outer` anchors, which other buckets may hold too: all starts that are alone here, and of
+    those that repeat here one of each kind, marked by a start of -1, to answer for the rest.
     """
     size = np.array([len(b) - width + 1 for _, _, b in rows])
     owner = np.repeat(np.arange(len(rows)), size)
@@ -145,9 +146,11 @@ def _sort_chunk(rows: list[tuple], width: int, outer: set) -> Iterator[tuple]:
     block = -(-width // -(-width // BLOCK))
     columns = [anchor[owner]]
     columns += [_hashes(sums, start + at, min(block, width - at)).view(np.int64) for at in range(0, width, block)]
-    repeated, _ = multikey_sort(columns)
+    repeated, kind = multikey_sort(columns)
     found = np.zeros(len(start), bool)
     found[repeated] = True
+    answers = found.copy()
+    answers[repeated[np.concatenate([[True], kind[1:] != kind[:-1]])] if len(kind) else repeated] = False
     edges = np.concatenate([[0], np.cumsum(size)])
     for i, (a, c, _) in enumerate(rows):
         own = found[edges[i]:edges[i + 1]]
@@ -155,8 +158,9 @@ def _sort_chunk(rows: list[tuple], width: int, outer: set) -> Iterator[tuple]:
             yield a, c, first, last, None
         if a in outer:
             whole = _hashes(sums, start[edges[i]:edges[i + 1]], width).view(np.int64)
-            for k in range(len(own)):
-                yield a, c, k, k, int(whole[k])
+            for k in np.flatnonzero(~answers[edges[i]:edges[i + 1]]).tolist():
+                at = -1 if own[k] else k
+                yield a, c, at, at, int(whole[k])
 
 
 def _repeats(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -241,7 +245,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Dat
     inner = sorted_.where(F.col("whole").isNull()).select("anchor", "cover", "first", "last")
     across = sorted_.where(F.col("whole").isNotNull())
     twice = cut(across.groupBy("anchor", "whole").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "whole"))
-    outer = across.join(twice, ["anchor", "whole"]).select("anchor", "cover", "first", "last")
+    outer = across.where("first >= 0").join(twice, ["anchor", "whole"]).select("anchor", "cover", "first", "last")
 
     # stretches that repeat as a whole, then parts of the others
     full = kinds.where("n > 1").select("anchor", "cover", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
