@@ -13,6 +13,7 @@ placing a document is one look-up of its number.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from gradeloom.session import cut
 CAPACITY = 4096
 END_ID = 1
 GRID = 256          # length classes of the pattern fit
-CACHED_WORDS = 500_000
+CACHED_WORDS = 900_000
 CACHED_LENGTH = 40  # longer words are encoded anew each time
 
 _tokenizers: dict[str, tuple] = {}
@@ -56,18 +57,30 @@ def _ids_of_words(path: str, texts: list[str]) -> list[bytes]:
     tok, special, known = _tokenizers[path]
 
     def encode(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn(words: list[str]) -> list[str]:
+        """Adds words to the table. One full stop or comma after a letter or digit is a token run of its own,
+        and case makes no difference to ASCII words, so most new words are known ones in another guise."""
+        guises = []
+        for w in words:
+            base = w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalnum() else w
+            guises.append(base.lower() if base.isascii() else base)
+        bases = list({".", ",", *guises}.difference(known))
+        known.update(zip(bases, encode(bases)) if bases else ())
+        for w, base in zip(words, guises):
+            known[w] = known[base] if len(w) == len(base) else known[base] + known[w[-1]]
+        return bases + words
 
     plain = [not any(c in text for c in "\x1c\x1d\x1e\x1f") and not any(s in text for s in special) for text in texts]
     split = [text.split() if p else [] for text, p in zip(texts, plain)]
     # words that are new to this batch join the table at least until its end
-    new = list(set().union(*split).difference(known))
-    known.update(zip(new, encode(new)) if new else ())
+    new = learn(list(set().union(*split).difference(known)))
     out = [b"".join(map(known.__getitem__, words)) if p else encode([text])[0]
            for text, words, p in zip(texts, split, plain)]
     for word in new:
         if len(word) > CACHED_LENGTH or len(known) > CACHED_WORDS:
-            del known[word]
+            known.pop(word, None)
     return out
 
 
