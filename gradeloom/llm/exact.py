@@ -50,8 +50,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns, whatever their names, are ignored.
     """
     rows = cut(sorted_runs(docs, id_col, text_col, salts))
-    groups = rows.groupBy("text_sha256").agg(
-        F.max("run_head").alias("keep_id"), F.count("*").alias("group_size"))
+    # written out, so that both sides of the join are exchanged and a hot group can be split
+    groups = cut(rows.groupBy("text_sha256").agg(
+        F.max("run_head").alias("keep_id"), F.count("*").alias("group_size")))
     return rows.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("run_pos") == 1)).alias("kept"),
