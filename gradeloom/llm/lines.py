@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeloom.llm.urls import host_of
 
 RATIO = 0.3       # more than this share of the host's pages
+SALTS = 32        # tasks that share the pages of a host
 MIN_PAGES = 3     # and at least this many pages, so that a host's only page is not its own boilerplate
 
 _BREAK = r"(?i)</?(p|div|br|li|ul|ol|nav|tr|table|h1|h2|h3|h4|h5|h6|article|section|header|footer|title|head|body|html|main|aside|blockquote|pre)\b[^>]*>"
@@ -51,7 +52,10 @@ def drop_site_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN
         .groupBy("host").agg(F.collect_list("line").alias("common"))
     )
     none = F.array().cast("array<string>")
-    found = paged.join(common, "host", "left").withColumn("common", F.coalesce("common", none))
+    # the list of a host goes to SALTS tasks, and its pages are dealt out among them
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = paged.withColumn("salt", F.pmod(F.xxhash64("page_id", "lines"), F.lit(SALTS)).cast("int"))
+    found = salted.join(common, ["host", "salt"], "left").withColumn("common", F.coalesce("common", none))
     kept = found.withColumn("kept", F.filter("lines", lambda s: ~F.array_contains(F.col("common"), s)))
     return kept.select(
         "page_id", "host", F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_dropped"),
