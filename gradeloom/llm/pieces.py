@@ -17,6 +17,7 @@ states of the prefix that it shares with the word before and computes the rest.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,11 @@ class Pieces:
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         if any(MARK in t.lstrip(MARK) for t in self.id):
             raise ValueError("a piece holds a word sign behind another character")
-        self.longest = max(map(len, self.id))
+        # by its last three characters, how long a piece can be
+        self.reach: dict[str, int] = {}
+        for t in self.id:
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
         self.raw = {i: bytes([b]) for b, i in self.byte.items()} | {i: self.text[i].encode() for i in plain}
         self.hidden = {i for i in range(len(self.text)) if model.is_control(i)}
         self.unknown = model.unk_id()
@@ -98,7 +103,7 @@ class Pieces:
         """Pieces of each word; the words are distinct and sorted."""
         last: list[str] = [""]   # last piece of each prefix of the word at hand
         before = ""
-        score, longest, whole, compatible = self.score, self.longest, self.whole, self.compatible
+        score, reach, whole, compatible = self.score, self.reach, self.whole, self.compatible
         for word in words:
             shared = 0
             top = min(len(before), len(word))
@@ -107,6 +112,7 @@ class Pieces:
             del last[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
                 found = word[end - 1]   # a single character always can stand
+                longest = reach.get(word[end - 3:end], 2) if end > 2 else 2
                 for start in range(max(0, end - longest), end - 1):
                     piece = word[start:end]
                     if piece in score and whole(piece) and (not start or compatible(last[start], piece)):
@@ -140,7 +146,7 @@ class Pieces:
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = sorted(set().union(*split).difference(self.known))
         for word, parts in zip(new, self.encode_sorted(new)):
-            self.known[word] = np.array(self.ids(parts), "<u4").tobytes()
+            self.known[word] = array("I", self.ids(parts)).tobytes()
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > CACHED_LENGTH or len(self.known) > CACHED_WORDS:
