@@ -58,7 +58,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(c))
     ids, owner = [], []
     h = np.zeros(len(c), np.uint64)
-    for n in range(1, max(SIZES) + 1):
+    for n in range(1, min(max(SIZES), len(c)) + 1):
         shifted = np.zeros(len(c), np.uint64)
         shifted[:len(c) - n + 1] = c[n - 1:]
         h = (h ^ shifted) * np.uint64(0x9E3779B97F4A7C15)
