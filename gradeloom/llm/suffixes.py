@@ -167,8 +167,10 @@ def _repeats(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFra
     """Chunks of one bucket, which arrives sorted by anchor. A chunk ends between anchors where it can."""
     def flush(rows: list[tuple]) -> pd.DataFrame:
         outer = {rows[0][0], rows[-1][0]}
-        out = pd.DataFrame(list(_sort_chunk(rows, width, outer)), columns=["anchor", "cover", "first", "last", "whole"])
-        return out.astype({"anchor": "int64", "cover": "int64", "first": "int64", "last": "int64", "whole": "Int64"})
+        found = list(zip(*_sort_chunk(rows, width, outer))) or [()] * 5
+        names = ["anchor", "cover", "first", "last", "whole"]
+        # nullable from the start: a detour over floating point would round the hashes
+        return pd.DataFrame({name: pd.array(list(values), dtype="Int64") for name, values in zip(names, found)})
 
     rows, starts = [], 0
     for batch in batches:
