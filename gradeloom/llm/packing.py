@@ -61,10 +61,13 @@ def _ids_of_words(path: str, texts: list[str]) -> list[bytes]:
 
     def learn(words: list[str]) -> list[str]:
         """Adds words to the table. One full stop or comma after a letter or digit is a token run of its own,
-        and case makes no difference to ASCII words, so most new words are known ones in another guise."""
+        and case makes no difference to ASCII words, so most new words are known ones in another guise.
+
+        That holds after letters and digits of Latin-1, which stay one letter or digit when the tokenizer
+        normalises. Others may end in a combining mark then, which joins the full stop or comma."""
         guises = []
         for w in words:
-            base = w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalnum() else w
+            base = w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2] < "\u0100" and w[-2].isalnum() else w
             guises.append(base.lower() if base.isascii() else base)
         bases = list({".", ",", *guises}.difference(known))
         known.update(zip(bases, encode(bases)) if bases else ())

@@ -82,6 +82,18 @@ def test_words_encode_as_the_whole_text():
         np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
 
 
+@pytest.mark.parametrize("mark", [",", "."])
+def test_words_before_a_mark_encode_as_the_whole_text(mark):
+    """Letters that the tokenizer turns into a letter and a combining mark, then every letter of one unit."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    odd = ["\u09b9\u09df", "I\u0130", "\u0958", "\ufb2a", "caf\u00e9", "stra\u00dfe", "A\u03a3", "x\u00b2", "\u00c9T\u00c9"]
+    words = [w + mark for w in odd] + ["a" + chr(c) + mark for c in range(0x10000) if chr(c).isalnum()]
+    assert packing._ids_of_words(packing.default_tokenizer(), words) == [
+        np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+
+
 # --- language and toxicity
 
 def test_language_of_held_out_rows(spark):
