@@ -1,7 +1,8 @@
 """URL filtering by pattern rules, indexed by their rarest literal token.
 
-A rule is a regular expression with the literal tokens that every URL it matches must hold. The rule is
-filed under that one of its tokens which the fewest URLs of the table hold. The tokens of a URL fetch
+A rule is a regular expression with the literal tokens that every URL it matches must hold, or with
+several lists of tokens, one of which every such URL holds in full. The rule is filed, once per list,
+under that one of its tokens which the fewest URLs of the table hold. The tokens of a URL fetch
 the rules filed under them by an equi-join, and only these candidates run their expression.
 
 Two kinds of rules exist: site rules (host and path, fitting the host and all its subdomains; the longest
@@ -28,6 +29,7 @@ class Rule:
     pattern: str    # over host + path + rest, host lower-cased
     tokens: tuple[str, ...]
     site: bool
+    others: tuple[tuple[str, ...], ...] = ()   # tokens of other forms, such as one without an optional hyphen
 
 
 def site_rule(verdict: str, host: str, path: str) -> Rule:
@@ -42,8 +44,9 @@ def site_rule(verdict: str, host: str, path: str) -> Rule:
                 tuple(re.findall(TOKEN, host.lower())) + tuple(whole), True)
 
 
-def word_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
-    return Rule(pattern, verdict, pattern, tokens, False)
+def word_rule(verdict: str, pattern: str, *tokens: str, others: tuple[tuple[str, ...], ...] = ()) -> Rule:
+    """A rule for any expression. Tokens count only where the expression closes them at both ends."""
+    return Rule(pattern, verdict, pattern, tokens, False, others)
 
 
 # The site rules asked for.
@@ -56,7 +59,7 @@ SITE_RULES = [
 
 # Word rules for hosts and paths that training text should not come from.
 WORD_RULES = [
-    word_rule("block", r"(^|[.-])spam-?farm[.-]", "spam", "farm"),
+    word_rule("block", r"(^|[.-])spam-?farm[.-]", "spam", "farm", others=(("spamfarm",),)),
     word_rule("block", r"(^|[./-])link-farm([./-]|$)", "link", "farm"),
     word_rule("block", r"(^|[./-])casino([./-]|$)", "casino"),
     word_rule("block", r"(^|[./-])poker([./-]|$)", "poker"),
@@ -67,8 +70,8 @@ WORD_RULES = [
     word_rule("block", r"^ads?[.-]", "ad"),
     word_rule("block", r"^ads?[.-]", "ads"),
     word_rule("block", r"/ads/", "ads"),
-    word_rule("block", r"/click-?track/", "click", "track"),
-    word_rule("block", r"/wp-login\.php", "wp", "login", "php"),
+    word_rule("block", r"/click-?track/", "click", "track", others=(("clicktrack",),)),
+    word_rule("block", r"/wp-login\.php", "wp", "login"),
 ]
 
 
@@ -84,7 +87,9 @@ def path_of(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    rows = [(i, r.name, r.verdict, r.pattern, list(r.tokens), r.site) for i, r in enumerate(rules)]
+    """One row per rule and list of tokens; rule_id is in the order of the rules."""
+    forms = [(r, tokens) for r in rules for tokens in (r.tokens, *r.others)]
+    rows = [(i, r.name, r.verdict, r.pattern, list(tokens), r.site) for i, (r, tokens) in enumerate(forms)]
     return spark.createDataFrame(
         rows, "rule_id int, name string, verdict string, pattern string, tokens array<string>, site boolean")
 

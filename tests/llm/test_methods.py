@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -158,6 +159,21 @@ def test_rules_by_hand(spark):
     assert got == cases
 
 
+def test_word_rules_against_their_expressions(spark):
+    """Every form of every rule, also where another of its words is the rarest token of the table."""
+    hosts = ["spamfarm", "spam-farm", "spam--farm", "a.spamfarm", "x-spam-farm", "myspamfarm", "spamfarms", "link-farm",
+             "linkfarm", "casino", "poker", "porn", "xxx", "adult-content", "malware", "ad", "ads", "adsx", "x"]
+    paths = ["", "/", "/clicktrack/", "/click-track/", "/clicktracks/", "/wp-login.php", "/wp-login.php5?x", "/wp-login.phpx",
+             "/wp-login.ph", "/a/ads/", "/ads", "/link-farm", "/casino"]
+    made = [f"http://{h}.example.com{p}" for h in hosts for p in paths]
+    many = [f"http://x.example.com/{w}/{i}" for w in ("spam", "farm", "click", "track", "wp", "login") for i in range(30)]
+    all_ = [*made, *many]
+    pages = spark.createDataFrame(list(enumerate(all_)), "page_id long, url string")
+    got = {r.page_id: r.matched for r in urls.judge(pages, urls.rule_table(spark, urls.WORD_RULES)).collect()}
+    expected = [next((r.pattern for r in urls.WORD_RULES if re.search(r.pattern, u.split("://", 1)[1])), None) for u in all_]
+    assert {all_[i]: m for i, m in got.items()} == dict(zip(all_, expected))
+
+
 # --- fingerprints
 
 def test_fingerprints_of_the_table(spark, texts):
