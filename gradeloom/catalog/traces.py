@@ -125,6 +125,12 @@ def _(d):
     return T.pack_chunks(d.wide("v_trace").where("doc_id % 5 IN (0, 1, 3)"), "doc_id", limit=700)
 
 
+# the whole view; the check is the plain version in tests/test_whole_tables.py
+@query("pack_chunks_all")
+def _(d):
+    return T.pack_chunks(d.wide("v_trace"), "doc_id", limit=700)
+
+
 @query("truncate_report", "v_report", """SELECT doc_id, CASE WHEN length(report) > 500 THEN concat(substr(report, 1, 500), chr(10), chr(10), '[... report truncated ...]')
 ELSE report END AS report FROM v_report""")
 def _(d):
