@@ -135,6 +135,15 @@ def test_toxicity_reaches_misspellings():
     assert model.score([clean])[0] < 0.5 < model.score([clean + " wworthless stupidesst disgustingg"])[0]
 
 
+def test_toxicity_sample_of_many_labelled_rows(spark, monkeypatch):
+    docs = spark.range(8000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(8000).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append(np.bincount(toxic).tolist()))
+    toxicity.fit(docs, labels)
+    assert seen == [[3000, 1500]]
+
+
 def test_subwords_do_not_depend_on_neighbours():
     ids, n = toxicity.subwords(["idiot", "ab", "worthless"])
     parts = np.split(ids, np.cumsum(n)[:-1])
