@@ -3,7 +3,7 @@
 Every distinct set of word shingles gets a MinHash signature. It is posted under its coordinate-value
 pairs; two sets that agree in at least MATCHES of SIZE coordinates are candidates, and a candidate pair
 becomes a link if the full sets are similar enough. At MATCHES of SIZE, a pair at the similarity of 0.8
-is missed about once in a million.
+is missed about four times in a million.
 
 Prefix: with the pairs of a set ordered from rare to frequent, sets that agree in MATCHES coordinates
 share one of their SIZE - MATCHES + 1 rarest, so only these are posted. A passage that occurs in every
