@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact, fingerprints, language, lines, minhash, packing, pieces, suffixes, toxicity, urls
+from gradeloom.llm import (
+    divergence, exact, fingerprints, language, lines, minhash, mixing, packing, pieces, repetitions, suffixes, toxicity, urls)
 from gradeloom.llm.common import table
 
 
@@ -50,6 +51,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitions.run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pattern_packing": op1_pattern_packing,
     "op2_language_id": op2_language_id,
@@ -61,10 +74,15 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_piece_viterbi": op9_piece_viterbi,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_source_audit": op11_source_audit,
+    "op12_word_runs": op12_word_runs,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLES = {
     "op3_url_filter": urls.oracle(),
     "op7_site_lines": lines.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
+    "op11_source_audit": divergence.ORACLE,
+    "op13_source_mix": mixing.ORACLE,
 }
