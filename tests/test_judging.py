@@ -1,3 +1,7 @@
+import time
+
+from pyspark.sql import functions as F
+
 from gradeloom.operators import judging as J, progress as P
 from gradeloom.plans.fact_check import fact_check, ratios
 from gradeloom.streaming import progress as SP
@@ -13,7 +17,7 @@ def test_failures_are_values(spark):
         return "Correct" if prompt != "mute" else ""
 
     df = spark.createDataFrame([("dead",), ("slow",), ("fine",), ("mute",)], "prompt string").coalesce(1)
-    got = {r.prompt: (r.reply, r.tries, r.error) for r in J.call_scorer(df, "prompt", flaky, 3).collect()}
+    got = {r.prompt: (r.reply, r.tries, r.error) for r in J.call_scorer(df, "prompt", flaky, tries=3).collect()}
     assert got == {"dead": (None, 3, "ValueError: down"), "slow": ("Correct", 3, None), "fine": ("Correct", 1, None), "mute": (None, 3, "empty reply")}
 
 
@@ -33,10 +37,46 @@ def test_exact_matches_cost_no_call(spark):
 
 def test_incomplete_scores_are_asked_again(spark):
     df = spark.createDataFrame([(1, "m", "a", "short", ["x", "y"]), (1, "m", "b", "full", ["x"])], "query_id int, model string, dimension string, prompt string, criteria array<string>")
-    got = {r.dimension: (r.ok, len(r.scores), r.tries) for r in J.score_with_retries(df, lambda p: '[{"criterion": "x", "score": 7, "analysis": "-"}]', 2).collect()}
+    got = {r.dimension: (r.ok, len(r.scores), r.tries) for r in J.score_with_retries(df, lambda p: '[{"criterion": "x", "score": 7, "analysis": "-"}]', in_flight=2).collect()}
     assert got == {"a": (False, 0, 3), "b": (True, 1, 1)}
 
 
+def test_calls_use_all_cores_and_keep_their_rows(spark):
+    from pyspark import TaskContext
+
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS task_id", "id", "concat('p', id) AS prompt")
+    got = J.ask_all(rows, ["task_id"], "prompt", lambda p: f"{p} {TaskContext.get().partitionId()}").collect()
+    assert {r.reply.split()[0] for r in got} == {f"p{i}" for i in range(20_000)}
+    assert all(r.reply.split()[0] == r.prompt for r in got)
+    per_task = {}
+    for r in got:
+        per_task[r.reply.split()[1]] = per_task.get(r.reply.split()[1], 0) + 1
+    assert len(per_task) >= 300 and max(per_task.values()) < 3 * J.CALLS_PER_TASK
+    assert J.deal_calls(rows.limit(3), ["task_id"])[1] == 3 and J.deal_calls(rows.limit(0), ["task_id"])[1] == 1
+
+
+def test_expected_time_cuts_tasks(spark):
+    rows = spark.range(1000).selectExpr("id AS task_id", "concat('p', id) AS prompt", "id % 10 AS pages")
+    assert J.deal_calls(rows, ["task_id"], cost=F.col("pages"), per_task=45)[1] == 100
+    assert J.deal_calls(rows, ["task_id"], per_task=1, per_second=5.0)[1] == spark.sparkContext.defaultParallelism
+
+
+def test_several_calls_are_under_way(spark):
+    rows = spark.range(40).selectExpr("concat('p', id) AS prompt").coalesce(1)
+    start = time.monotonic()
+    slow = J.call_scorer(rows, "prompt", lambda p: time.sleep(0.2) or p, in_flight=20).collect()
+    assert time.monotonic() - start < 6 and [r.reply for r in slow] == [r.prompt for r in slow]
+
+
+def test_rate_and_time_limits(spark):
+    rows = spark.range(12).selectExpr("concat('p', id) AS prompt").coalesce(1)
+    start = time.monotonic()
+    assert len(J.call_scorer(rows, "prompt", lambda p: p, per_second=10.0, tasks=2).collect()) == 12
+    assert time.monotonic() - start >= 11 * 0.2
+    late = J.call_scorer(rows.limit(2), "prompt", lambda p: time.sleep(3) if p == "p0" else p, timeout=0.3).collect()
+    assert {(r.prompt, r.reply, r.error, r.tries) for r in late} == {("p0", None, "timed out after 0.3 s", 1), ("p1", "p1", None, 1)}
+
+
 def test_fact_check(spark):
     reports = spark.createDataFrame([("m/1", "q", "# T\n\none\n\ntwo\n\nbroken"), ("m/2", "q", "three")], "task_id string, user_query string, report string")
 
@@ -46,9 +86,9 @@ def test_fact_check(spark):
             raise TimeoutError
         return '```json\n{"core_state": [{"statement": "s", "verification": "Right"}, {"statement": "u", "verification": "Wrong"}]\n```'
 
-    got = {r.task_id: (r.chunks, r.dropped_chunks, r.total, r.right) for r in fact_check(reports, check, 2, 1).collect()}
+    got = {r.task_id: (r.chunks, r.dropped_chunks, r.total, r.right) for r in fact_check(reports, check, in_flight=2, tries=1).collect()}
     assert got == {"m/1": (3, 1, 4, 2), "m/2": (1, 0, 2, 1)}
-    board = ratios(fact_check(reports, check, 2, 1).selectExpr("*", "substring_index(task_id, '/', 1) AS model")).first()
+    board = ratios(fact_check(reports, check, in_flight=2, tries=1).selectExpr("*", "substring_index(task_id, '/', 1) AS model")).first()
     assert (board.micro, board.macro, board.tasks) == (0.5, 0.5, 2)
 
 
