@@ -12,11 +12,11 @@ such strings exactly, one would sort the suffix of every byte. Three steps avoid
    range-partitioned by sampled splitters on the anchor, the tokens that lead the suffixes, then sorted
    in their bucket by multikey quicksort: by the first character, ties by the next, and so on, a
    character here being a block of bytes. Neighbours that tie to the end are repeats.
-3. An anchor whose stretches may lie in several buckets (the first and last of each chunk) is compared
-   across the boundary: its suffixes are counted once more by their hash over the whole table. A hot
-   anchor spans many buckets, and none of them holds more than its share of bytes.
+3. An anchor whose stretches lie in several buckets (its bucket's least or greatest, and that of another one too)
+   is compared across the boundary: its suffixes are counted once more by their hash over the whole table. A
+   hot anchor spans many buckets, and none of them holds more than its share of bytes.
 
-Memory: a bucket is read as a stream in chunks of CHUNK starts. Texts move twice, bytes to be sorted once.
+Memory: a bucket is read as a stream in chunks of CHUNK starts and one anchor more. Texts move twice, bytes to be sorted once.
 """
 
 from __future__ import annotations
@@ -130,19 +130,20 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sort_chunk(rows: list[tuple], width: int, outer: set) -> Iterator[tuple]:
-    """Repeats among the stretches (anchor, cover, bytes) of a chunk, sorted by anchor.
+    """Repeats among the stretches (anchor, cover, whole, bytes) of a chunk, sorted by anchor.
 
-    Yields (anchor, cover, first, last, None) for starts found repeated, and (anchor, cover, start, start,
-    hash) for `outer` anchors, which other buckets may hold too: all starts that are alone here, and of
-    those that repeat here one of each kind, marked by a start of -1, to answer for the rest.
+    Yields (anchor, cover, first, last, None) for starts found repeated, and (anchor, cover, start, start, hash of
+    the string) for `outer` anchors, which lie in other chunks too: all starts that are alone here, and of those
+    that repeat here one of each kind, marked by a start of -1, to answer for the rest. Of stretches known to repeat as
+    a whole no start is reported; they only answer.
     """
-    size = np.array([len(b) - width + 1 for _, _, b in rows])
+    size = np.array([len(b) - width + 1 for *_, b in rows])
     owner = np.repeat(np.arange(len(rows)), size)
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    sums = _sums(b"".join(b for _, _, b in rows))
-    base = np.cumsum([0] + [len(b) for _, _, b in rows])[:-1]
+    sums = _sums(b"".join(b for *_, b in rows))
+    base = np.cumsum([0] + [len(b) for *_, b in rows])[:-1]
     start = base[owner] + inside
-    anchor = np.array([a for a, _, _ in rows], np.int64)
+    anchor = np.array([r[0] for r in rows], np.int64)
     block = -(-width // -(-width // BLOCK))
     columns = [anchor[owner]]
     columns += [_hashes(sums, start + at, min(block, width - at)).view(np.int64) for at in range(0, width, block)]
@@ -152,51 +153,58 @@ def _sort_chunk(rows: list[tuple], width: int, outer: set) -> Iterator[tuple]:
     answers = found.copy()
     answers[repeated[np.concatenate([[True], kind[1:] != kind[:-1]])] if len(kind) else repeated] = False
     edges = np.concatenate([[0], np.cumsum(size)])
-    for i, (a, c, _) in enumerate(rows):
+    for i, (a, c, known, _) in enumerate(rows):
         own = found[edges[i]:edges[i + 1]]
-        for first, last in _runs(np.flatnonzero(own)):
-            yield a, c, first, last, None
+        if not known:
+            for first, last in _runs(np.flatnonzero(own)):
+                yield a, c, first, last, None
         if a in outer:
-            whole = _hashes(sums, start[edges[i]:edges[i + 1]], width).view(np.int64)
+            strings = _hashes(sums, start[edges[i]:edges[i + 1]], width).view(np.int64)
             for k in np.flatnonzero(~answers[edges[i]:edges[i + 1]]).tolist():
-                at = -1 if own[k] else k
-                yield a, c, at, at, int(whole[k])
+                at = -1 if known or own[k] else k
+                yield a, c, at, at, int(strings[k])
 
 
-def _repeats(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """Chunks of one bucket, which arrives sorted by anchor. A chunk ends between anchors where it can."""
-    def flush(rows: list[tuple]) -> pd.DataFrame:
-        outer = {rows[0][0], rows[-1][0]}
-        found = list(zip(*_sort_chunk(rows, width, outer))) or [()] * 5
-        names = ["anchor", "cover", "first", "last", "whole"]
+def _repeats(batches: Iterator[pd.DataFrame], width: int, split: set) -> Iterator[pd.DataFrame]:
+    """Chunks of one bucket, which arrives sorted by anchor. A chunk ends between anchors; only an anchor with more than
+    CHUNK starts is cut, and like those in `split`, which several buckets hold, compared once more."""
+    def flush(rows: list[tuple], cut_anchors: set) -> pd.DataFrame:
+        found = list(zip(*_sort_chunk(rows, width, split | cut_anchors))) or [()] * 5
+        names = ["anchor", "cover", "first", "last", "string"]
         # nullable from the start: a detour over floating point would round the hashes
         return pd.DataFrame({name: pd.array(list(values), dtype="Int64") for name, values in zip(names, found)})
 
-    rows, starts = [], 0
+    rows: list[tuple] = []
+    starts, since, before = 0, 0, set()   # all starts held, those of the last anchor, an anchor cut just before
     for batch in batches:
-        for row in zip(batch["anchor"].tolist(), batch["cover"].tolist(), batch["bytes"]):
+        for row in zip(batch["anchor"].tolist(), batch["cover"].tolist(), batch["whole"].tolist(), batch["bytes"]):
+            if rows and row[0] != rows[-1][0]:
+                if starts >= CHUNK:
+                    yield flush(rows, before)
+                    rows, starts, before = [], 0, set()
+                since = 0
+            elif rows and since >= CHUNK:
+                yield flush(rows, before | {row[0]})
+                rows, starts, since, before = [], 0, 0, {row[0]}
             rows.append(row)
-            starts += len(row[2]) - width + 1
-            if starts >= CHUNK:
-                yield flush(rows)
-                rows, starts = [], 0
+            starts += len(row[3]) - width + 1
+            since += len(row[3]) - width + 1
     if rows:
-        yield flush(rows)
+        yield flush(rows, before)
 
 
-def _row_key():
-    """A key that only rows of equal id and text share."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("text"), F.lit("")))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds `__id` and `__hash`, a key that only rows of equal id and text share."""
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn(
+        "__hash", F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))))
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       _row_key().alias("row"))
+KEY = ["__id", "__hash"]
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> DataFrame:
-    """(row, spans): for rows with repeats, all [start, end) in bytes that repeated strings cover; they may
-    overlap. `docs` has the columns row (a key of id and text, see `_row_key`) and text."""
+    """(KEY, spans): for rows with repeats, all [start, end) in bytes that repeated strings cover; they may
+    overlap. `docs` has the columns KEY (see `_keyed`) and text, which is not null."""
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 400):
@@ -204,36 +212,42 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Dat
                 got = [stretches(t.encode("utf-8", "surrogatepass"), width, lead) for t in part["text"]]
                 n = [len(g[0]) for g in got]
                 yield pd.DataFrame({
-                    "row": np.repeat(part["row"].to_numpy(), n), "anchor": np.concatenate([g[0] for g in got]),
+                    **{k: np.repeat(part[k].to_numpy(), n) for k in KEY}, "anchor": np.concatenate([g[0] for g in got]),
                     "cover": np.concatenate([g[1] for g in got]), "lo": np.concatenate([g[2] for g in got]),
                     "hi": np.concatenate([g[3] for g in got]), "again": np.concatenate([g[4] for g in got])})
 
-    found = cut(docs.select("row", "text").mapInPandas(
-        find, "row long, anchor long, cover long, lo long, hi long, again boolean"))
+    keys = ", ".join(f"{k} long" for k in KEY)
+    found = cut(docs.select(*KEY, "text").mapInPandas(
+        find, f"{keys}, anchor long, cover long, lo long, hi long, again boolean"))
 
     # stretches with equal bytes, and anchors with several of them or several times in one
     kinds = cut(found.groupBy("anchor", "cover").agg(
-        F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("row", "lo", "hi")).alias("one")))
+        F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct(*KEY, "lo", "hi")).alias("one")))
     several = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("several")))
-    unsure = cut(kinds.join(several, "anchor", "left").where("several OR again").select("anchor", "cover", "n", "one.row", "one.lo", "one.hi"))
+    unsure = cut(kinds.join(several, "anchor", "left").where("several OR again").select("anchor", "cover", (F.col("n") > 1).alias("whole"), "one.*"))
 
-    # their bytes
-    asked = unsure.groupBy("row").agg(F.collect_list(F.struct("anchor", "cover", "lo", "hi")).alias("asked"))
+    # their bytes; stretches that repeat as a whole only answer for others
+    asked = unsure.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "cover", "whole", "lo", "hi")).alias("asked"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, asked_ in zip(batch["text"], batch["asked"]):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [(s["anchor"], s["cover"], data[s["lo"]:s["hi"] + width]) for s in asked_]
-            yield pd.DataFrame(out, columns=["anchor", "cover", "bytes"])
+                out += [(s["anchor"], s["cover"], s["whole"], data[s["lo"]:s["hi"] + width]) for s in asked_]
+            yield pd.DataFrame(out, columns=["anchor", "cover", "whole", "bytes"])
 
-    sent = cut(docs.select("row", "text").join(asked, "row").select("text", "asked").mapInPandas(
-        extract, "anchor long, cover long, bytes binary"))
-    # rows that repeat id and text bring the same bytes twice; they are one kind
-    bucketed = sent.repartitionByRange("anchor", "cover").sortWithinPartitions("anchor", "cover")
+    sent = cut(docs.select(*KEY, "text").join(asked, KEY).select("text", "asked").mapInPandas(
+        extract, "anchor long, cover long, whole boolean, bytes binary"))
+    bucketed = cut(sent.repartitionByRange("anchor", "cover").sortWithinPartitions("anchor", "cover"))
+
+    # anchors that lie in several buckets: each bucket is a range, so they are among its least and its greatest
+    ends = bucketed.groupBy(F.spark_partition_id().alias("bucket")).agg(F.min("anchor").alias("least"), F.max("anchor").alias("most"))
+    split = {r[0] for r in ends.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("anchor"))
+             .groupBy("anchor").count().where("count > 1").select("anchor").collect()}   # fewer than buckets
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows that repeat id and text bring the same bytes twice; they are one kind
         last = None
         for batch in batches:
             key = list(zip(batch["anchor"], batch["cover"]))
@@ -242,23 +256,25 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Dat
             yield batch[fresh]
 
     sorted_ = cut(bucketed.mapInPandas(
-        lambda batches: _repeats(once(batches), width),
-        "anchor long, cover long, first long, last long, whole long"))
-    inner = sorted_.where(F.col("whole").isNull()).select("anchor", "cover", "first", "last")
-    across = sorted_.where(F.col("whole").isNotNull())
-    twice = cut(across.groupBy("anchor", "whole").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "whole"))
-    outer = across.where("first >= 0").join(twice, ["anchor", "whole"]).select("anchor", "cover", "first", "last")
+        lambda batches: _repeats(once(batches), width, split),
+        "anchor long, cover long, first long, last long, string long"))
+    inner = sorted_.where(F.col("string").isNull()).select("anchor", "cover", "first", "last")
+    across = sorted_.where(F.col("string").isNotNull())
+    twice = cut(across.groupBy("anchor", "string").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "string"))
+    # single starts as one list per stretch, which has fewer of them than bytes
+    outer = across.where("first >= 0").join(twice, ["anchor", "string"], "left_semi").groupBy("anchor", "cover").agg(
+        F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("marks"))
 
     # stretches that repeat as a whole, then parts of the others
-    full = kinds.where("n > 1").select("anchor", "cover", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    parts = inner.unionByName(outer).join(unsure.where("n = 1").select("anchor", "cover"), ["anchor", "cover"], "left_semi")
-    marks = cut(full.unionByName(parts).groupBy("anchor", "cover").agg(
-        F.collect_list(F.struct("first", "last")).alias("marks")))
-    placed = found.join(marks, ["anchor", "cover"]).select("row", "lo", "hi", F.explode("marks").alias("m"))
-    spans = placed.select("row", F.struct(
+    full = kinds.where("n > 1").select("anchor", "cover", F.array(F.struct(
+        F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))).alias("marks"))
+    parts = inner.groupBy("anchor", "cover").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+    marks = cut(full.unionByName(parts).unionByName(outer))
+    placed = found.join(marks, ["anchor", "cover"]).select(*KEY, "lo", "hi", F.explode("marks").alias("m"))
+    spans = placed.select(*KEY, F.struct(
         (F.col("lo") + F.col("m.first")).alias("start"),
         (F.coalesce(F.col("lo") + F.col("m.last"), F.col("hi")) + width).alias("end")).alias("span"))
-    return spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -280,9 +296,8 @@ def drop_passages(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Data
     """The rows of `docs`, all columns, with repeated passages cut out of `text`; `n_chars`, if there, is
     counted anew. A character of which a byte goes, goes. Null texts stay null; a text of which nothing is
     left becomes empty."""
-    keyed = docs.withColumn("__row", _row_key())
-    found = cut(repeated_spans(keyed.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text")),
-                               width, lead)).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    keyed = _keyed(docs)
+    found = cut(repeated_spans(keyed.select(*KEY, F.coalesce("text", F.lit("")).alias("text")), width, lead)).withColumnRenamed("spans", "__spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for texts, spans in batches:
@@ -293,7 +308,7 @@ def drop_passages(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Data
                 for text, marks in zip(texts, spans)], dtype=object)
 
     udf = F.pandas_udf(run, "string")
-    out = keyed.join(found, "__row", "left").withColumn("text", udf("text", "__spans"))
+    out = keyed.join(found, KEY, "left").withColumn("text", udf("text", "__spans"))
     if "n_chars" in docs.columns:
         changed = F.col("__spans").isNotNull()
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -303,13 +318,14 @@ def drop_passages(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Data
 
 def with_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> DataFrame:
     """doc_id, text (null as empty), spans (null where nothing repeats) of every row."""
-    rows = _identified(docs)
+    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     found = cut(repeated_spans(rows, width, lead))
-    return rows.join(found, "row", "left").select("doc_id", "text", "spans")
+    return rows.join(found, KEY, "left").select("doc_id", "text", "spans")
 
 
 def passage_report(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text of every row. In kept_text a character of which a byte
+    went is gone as a whole; the hash is of the remaining bytes.
 
     A null text counts as empty. Texts shorter than `width` lose nothing. Rows that repeat id and text
     repeat each other. An empty table gives no rows; other columns are ignored.
@@ -320,10 +336,11 @@ def passage_report(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Dat
             for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"]):
                 data = text.encode("utf-8", "surrogatepass")
                 cuts = merge([(s["start"], s["end"]) for s in spans]) if spans is not None else []
-                out.append((doc_id, len(data), sum(e - s for s, e in cuts), len(cuts),
-                            hashlib.sha256(_remaining(data, cuts)).hexdigest()))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = _remaining(data, cuts)
+                out.append((doc_id, len(data), sum(e - s for s, e in cuts), len(cuts), hashlib.sha256(kept).hexdigest(),
+                            kept.decode("utf-8", "ignore")))
+            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
             yield frame.astype({"doc_id": "Int64"})
 
     return with_spans(docs, width, lead).mapInPandas(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
