@@ -16,7 +16,9 @@ states of the prefix that it shares with the word before and computes the rest.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -25,8 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
+BPE = 2               # fixed value: the model kind of a model file
 CACHED_WORDS = 400_000
+CACHED_PAIRS = 300_000
 CACHED_LENGTH = 40
+SLICE = 500    # texts encoded and decoded at once
 
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _models: dict[str, "Pieces"] = {}
@@ -42,9 +47,11 @@ class Pieces:
     """The vocabulary of a model file of kind BPE with byte fallback and no normalisation."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         model = SentencePieceProcessor(model_file=path)
+        if sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec.model_type != BPE:
+            raise ValueError("the model does not merge neighbours by score")
         self.text = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.byte = {int(t[3:5], 16): i for i, t in enumerate(self.text) if model.is_byte(i)}
         plain = [i for i in range(len(self.text))
@@ -58,12 +65,11 @@ class Pieces:
         for t in self.id:
             if len(t) > 2:
                 self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
-        self.raw = {i: bytes([b]) for b, i in self.byte.items()} | {i: self.text[i].encode() for i in plain}
-        self.hidden = {i for i in range(len(self.text)) if model.is_control(i)}
+        shown = {i: bytes([b]) for b, i in self.byte.items()} | {i: self.text[i].encode() for i in plain}
+        self.raw = [shown.get(i, b"") for i in range(len(self.text))]
         self.unknown = model.unk_id()
         self.known: dict[str, bytes] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._splits: dict[str, list[tuple[str, str]]] = {}
         self._whole: dict[str, bool] = {}
 
     # --- the rule by definition, on short strings --------------------------------------------------------
@@ -92,7 +98,7 @@ class Pieces:
         """Whether the encoding of the two joined is the two: only then do they stand side by side."""
         key = left, right
         if key not in self._pairs:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > CACHED_PAIRS:
                 self._pairs.clear()
             self._pairs[key] = self.merged(left + right) == [left, right]
         return self._pairs[key]
@@ -155,7 +161,7 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """The text again: pieces and bytes joined, word signs to blanks, the one in front taken off."""
-        data = b"".join(self.raw.get(int(i), b"") for i in np.frombuffer(ids, "<u4"))
+        data = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         text = data.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -193,11 +199,25 @@ def piece_report(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (unsigned, of the little-endian unsigned 32-bit ids), decoded_sha256 and
     round_trip (whether decoding gives the text back, word signs counting as blanks) of every row.
 
-    A null text counts as empty; an empty table gives no rows; other columns are ignored.
+    A null text counts as empty; an empty table gives no rows; rows that repeat are reported one by one; other
+    columns are ignored. Only models that merge by score (kind BPE) are read: for a unigram model the state of a
+    prefix would be a best sum, which this pass does not keep, and `Pieces` refuses it.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(rows, model), model)
-    return both.select(
-        "doc_id", F.floor(F.length("ids") / 4).alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.translate("text", MARK, " ")).alias("round_trip"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _pieces(model)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at:at + SLICE]
+                rows = []
+                for doc_id, text, ids in zip(part["doc_id"], part["text"], known.encode(part["text"].tolist())):
+                    back = known.decode(ids)
+                    rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(),
+                                 back == text.replace(MARK, " ")))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    # both ways in one worker, a slice of texts at a time: ids never leave it. Ids of documents go as text, since
+    # numbers with nulls among them would come as floating point
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(
+        run, "doc_id string, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+    ).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
