@@ -13,9 +13,11 @@ placing a document is one look-up of its number.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,12 @@ GRID = 256          # length classes of the pattern fit
 CACHED_WORDS = 900_000
 CACHED_LENGTH = 40  # longer words are encoded anew each time
 
-_tokenizers: dict[str, tuple] = {}
+# Letters of ASCII and Latin-1, with ASCII punctuation before and after them.
+_MARKS = r"[!-/:-@\[-`{-~]*"
+_SIMPLE = re.compile(rf"({_MARKS})([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)({_MARKS})")
+
+_ID = attrgetter("id")
+_tokenizers: dict[str, "_Words"] = {}
 
 
 def default_tokenizer() -> str:
@@ -39,52 +46,99 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _ids_of_words(path: str, texts: list[str]) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level model writes bytes: visible ones as the character of that number, the others as the
+    next characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Words:
+    """Ids of words, kept in a table.
 
-    The tokenizer splits at white space before anything else, so a text's ids are those of its words.
-    Words seen before come from a table of at most CACHED_WORDS entries. Python also splits at four
-    control characters that are no white space to the tokenizer; texts with one go to it whole, and so
-    do texts that hold one of its special tokens.
+    The tokenizer splits at white space before anything else, so a text's ids are those of its words. It
+    normalises (NFC, lower case) and then splits a word into runs: of letters, of single digits, of other marks, and
+    contractions (an apostrophe and the letters after it). So the ids of a word of plain letters with marks
+    before and after are those of its marks, its letters and its marks, unless an apostrophe opens it. Letters of
+    ASCII and Latin-1 stay one letter each when they are normalised; others may end in a combining mark then,
+    which joins the marks behind, so words with them are encoded whole. A run of letters goes to the model
+    directly.
+
+    The table has two halves. Words are looked up in the younger one and fetched from the older one;
+    when the younger is full it becomes the older, and what has not been asked for since is forgotten.
     """
-    if path not in _tokenizers:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        special = [t.content for t in made.get_added_tokens_decoder().values()]
-        _tokenizers[path] = made, special, {}
-    tok, special, known = _tokenizers[path]
-
-    def encode(parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def learn(words: list[str]) -> list[str]:
-        """Adds words to the table. One full stop or comma after a letter or digit is a token run of its own,
-        and case makes no difference to ASCII words, so most new words are known ones in another guise.
-
-        That holds after letters and digits of Latin-1, which stay one letter or digit when the tokenizer
-        normalises. Others may end in a combining mark then, which joins the full stop or comma."""
-        guises = []
-        for w in words:
-            base = w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2] < "\u0100" and w[-2].isalnum() else w
-            guises.append(base.lower() if base.isascii() else base)
-        bases = list({".", ",", *guises}.difference(known))
-        known.update(zip(bases, encode(bases)) if bases else ())
-        for w, base in zip(words, guises):
-            known[w] = known[base] if len(w) == len(base) else known[base] + known[w[-1]]
-        return bases + words
-
-    plain = [not any(c in text for c in "\x1c\x1d\x1e\x1f") and not any(s in text for s in special) for text in texts]
-    split = [text.split() if p else [] for text, p in zip(texts, plain)]
-    # words that are new to this batch join the table at least until its end
-    new = learn(list(set().union(*split).difference(known)))
-    out = [b"".join(map(known.__getitem__, words)) if p else encode([text])[0]
-           for text, words, p in zip(texts, split, plain)]
-    for word in new:
-        if len(word) > CACHED_LENGTH or len(known) > CACHED_WORDS:
-            known.pop(word, None)
-    return out
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}   # of this batch
+        self.written = _byte_letters()
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _run(self, letters: str) -> bytes:
+        """Ids of a run of letters of ASCII and Latin-1."""
+        low = letters.lower()
+        ids = self.letters.get(low)
+        if ids is None:
+            text = low if low.isascii() else low.encode().decode("latin-1").translate(self.written)
+            ids = self.letters[low] = array("I", map(_ID, self.model.tokenize(text))).tobytes()
+        return ids
+
+    def learn(self, words: set[str]) -> None:
+        """Puts words into the younger half."""
+        young, old = self.young, self.old
+        whole, joined = [], []
+        for word in words:
+            ids = old.get(word)
+            if ids is not None:
+                young[word] = ids
+                continue
+            parts = _SIMPLE.fullmatch(word)
+            if parts is None or parts[1].startswith("'"):
+                whole.append(word)
+            elif parts[1] or parts[3]:
+                joined.append((word, parts))
+            else:
+                young[word] = self._run(word)
+        marks = {m for _, parts in joined for m in (parts[1], parts[3])} - {""}
+        known = dict(zip(marks, self.encode(list(marks)))) | {"": b""}
+        for word, parts in joined:
+            young[word] = known[parts[1]] + self._run(parts[2]) + known[parts[3]]
+        if whole:
+            young.update(zip(whole, self.encode(whole)))
+        self.letters.clear()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit numbers. Python also splits at four control
+        characters that are no white space to the tokenizer; texts with one go to it whole, and so do texts that
+        hold one of its special tokens."""
+        plain = [not any(c in text for c in "\x1c\x1d\x1e\x1f") and not any(s in text for s in self.special) for text in texts]
+        split = [text.split() if p else [] for text, p in zip(texts, plain)]
+        new = set().union(*split).difference(self.young)
+        self.learn(new)
+        of = self.young.__getitem__
+        out = [b"".join(map(of, words)) if p else self.encode([text])[0] for text, words, p in zip(texts, split, plain)]
+        for word in new:
+            if len(word) > CACHED_LENGTH:
+                del self.young[word]
+        if len(self.young) > CACHED_WORDS // 2:
+            self.old, self.young = self.young, {}
+        return out
+
+
+def _ids_of_words(path: str, texts: list[str]) -> list[bytes]:
+    if path not in _tokenizers:
+        _tokenizers[path] = _Words(path)
+    return _tokenizers[path].ids(texts)
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
@@ -116,20 +170,20 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: in
 # --- the fit, on counts per length -------------------------------------------------------------------
 
 def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 that minimises |ax - b|: an active set grown by the column that helps most."""
-    gram, rhs = a.T @ a, a.T @ b
+    """x >= 0 that minimises |ax - b|: an active set grown by the column that helps most. All columns are offered in
+    each round, by their slope; only those in the set, no more than there are rows, are ever solved for."""
     x = np.zeros(a.shape[1])
     active: list[int] = []
-    tolerance = 1e-9 * max(1.0, np.abs(rhs).max(initial=0.0))
+    tolerance = 1e-9 * max(1.0, np.abs(a.T @ b).max(initial=0.0))
     for _ in range(rounds):
-        slope = rhs - gram @ x
+        slope = a.T @ (b - a[:, active] @ x[active])
         slope[active] = -np.inf
         best = int(np.argmax(slope))
         if slope[best] <= tolerance:
             break
         active.append(best)
         while active:
-            fit = np.linalg.lstsq(gram[np.ix_(active, active)], rhs[active], rcond=None)[0]
+            fit = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
             if fit.min() > 0:
                 break
             now = x[active]
@@ -218,18 +272,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, classes: int = GRID)
 
 
 def _fit(matrix: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Repeat counts. Rare classes weigh as much as common ones relative to their spread, and the columns
-    offered are those that can matter: an active set never needs more columns than there are classes."""
+    """Repeat counts. Rare classes weigh as much as common ones relative to their spread."""
     weight = 1 / np.sqrt(np.maximum(seen, 1))
-    a, b = matrix * weight[:, None], seen * weight
-    x = np.zeros(a.shape[1])
-    offered = np.arange(a.shape[1])
-    if len(offered) > 2000:
-        # columns in the order of the fit they give alone, spread over all classes
-        alone = (a * b[:, None]).sum(0) / np.sqrt((a * a).sum(0))
-        offered = np.sort(np.argsort(-alone, kind="stable")[:2000])
-    x[offered] = non_negative_least_squares(a[:, offered], b)
-    return x
+    return non_negative_least_squares(matrix * weight[:, None], seen * weight)
 
 
 def _fill(shape, n, lists, left, take, capacity) -> list[Group]:
