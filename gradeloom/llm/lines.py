@@ -19,7 +19,7 @@ from gradeloom.llm.urls import host_of
 
 RATIO = 0.3       # more than this share of the host's pages
 SALTS = 32        # tasks that share the pages of a host
-MIN_PAGES = 3     # and at least this many pages, so that a host's only page is not its own boilerplate
+MIN_PAGES = 2     # and more than one page, so that a host's only page is not its own boilerplate
 
 _BREAK = r"(?i)</?(p|div|br|li|ul|ol|nav|tr|table|h1|h2|h3|h4|h5|h6|article|section|header|footer|title|head|body|html|main|aside|blockquote|pre)\b[^>]*>"
 _UNSEEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
