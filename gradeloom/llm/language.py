@@ -130,11 +130,13 @@ def train(raw: np.ndarray, langs: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Trains on at most `per_language` rows of each language; null languages, null texts and texts
-    without a letter are no examples. None where there is no example."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = rows.select("doc_id", "lang").distinct()
-    chosen = first_n(ids, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_language)
+    """Trains on at most `per_language` different rows (id and text) of each language, chosen by a hash of both; null
+    languages, null ids, null texts and texts without a letter are no examples, and rows that repeat are one.
+    None where there is no example."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        "doc_id", "lang", "text", F.xxhash64("text").alias("key"))
+    keys = ["doc_id", "lang", "key"]
+    chosen = first_n(rows.select(*keys).distinct(), ["lang"], [F.xxhash64("doc_id", "key"), F.col("doc_id"), F.col("key")], per_language)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,9 +145,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 "features": [counts(t).astype("<u4").tobytes() for t in batch["text"]]})
 
     # at most per_language rows for each language: small enough for every task
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    got = sample.mapInPandas(run, "doc_id long, lang string, features binary").limit(
-        per_language * 200).toPandas().sort_values(["doc_id", "lang"])
+    sample = rows.join(F.broadcast(chosen), keys, "left_semi").dropDuplicates(keys)
+    got = sample.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, lang string, features binary").toPandas()
+    got = got.sort_values(["doc_id", "lang", "features"])
     if not len(got):
         return None
     raw = np.stack([np.frombuffer(b, "<u4") for b in got["features"]])
@@ -176,7 +178,12 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document, learned from those not held out."""
+    """doc_id, held_out, lang_pred, score of every document, learned from those not held out.
+
+    Rows that repeat are reported one by one, with equal results, and are one example. Of languages with equal
+    votes and certainty the first by name wins. A null id counts as held out. An empty table gives no rows; other
+    columns are ignored.
+    """
     rows = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = fit(rows.where(~F.col("held_out")))
     return identify(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")

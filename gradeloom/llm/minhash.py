@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.llm.components import components
 from gradeloom.session import cut
@@ -83,17 +83,21 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; null if empty), signature."""
+    """doc_id, key (hash of the text), n_shingles, node (hash of the set; null if empty), signature."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
+                "doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], "n_shingles": [len(s) for s in sets],
                 "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64"),
                 "signature": [signature(s) if len(s) else None for s in sets]})
 
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInPandas(
-        run, "doc_id long, n_shingles long, node long, signature array<int>")
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), _text_key(F.col("text")).alias("key")).mapInPandas(
+        run, "doc_id long, key long, n_shingles long, node long, signature array<int>")
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -233,6 +237,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     the row's id is the component's, null counting as equal to null. Rows that repeat an id are looked at
     each with its own text. An empty table gives no rows; other columns are ignored.
     """
+    return _groups(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = cut(sketches(plain, words))
     nodes = cut(sketch.where(F.col("node").isNotNull()).groupBy("node").agg(
@@ -278,12 +286,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     of_node = cut(named.join(least, "label").select("node", "component_id"))
     out = sketch.join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, without those whose group has a smaller id. Rows with a null id
-    stay."""
-    dropped = near_groups(docs, words, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(cut(dropped), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay. Rows that share an id but not their text are judged each by its own group."""
+    dropped = _groups(docs, words, percent).where("NOT kept").select(
+        F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    return docs.join(cut(dropped), (F.col("doc_id") == F.col("__id")) & (_text_key(docs["text"]) == F.col("__key")), "left_anti").select(
+        *[F.col(f"`{c}`") for c in docs.columns])

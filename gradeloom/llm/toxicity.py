@@ -191,21 +191,24 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] = PER_LABEL) -> Model | None:
-    """Trains on at most so many documents of each label as `per_label` says, chosen by a hash of their id from rows that
-    are not held out. A document labelled both ways, or by null, is no example; a null text is the empty
-    text. None where one label has no example."""
+    """Trains on at most so many different documents (id and text) of each label as `per_label` says, chosen by a hash of
+    both from rows that are not held out. A document labelled both ways, or by null, is no example; a null text is
+    the empty text, and rows that repeat are one. None where one label has no example."""
     marked = (
         labels.where(~held_out(F.col("doc_id"))).where(F.col("toxic").isin(0, 1))
         .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
         .where(F.col("toxic") == F.col("most")).drop("most")
     )
-    chosen = first_n(marked, ["toxic"], [F.xxhash64("doc_id"), F.col("doc_id")], max(per_label.values()))
-    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = chosen.withColumn("n", order).where(
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    order = [F.xxhash64("doc_id", "key"), F.col("doc_id"), F.col("key")]
+    found = texts.select("doc_id", "key").join(marked, "doc_id").distinct()
+    chosen = first_n(found, ["toxic"], order, max(per_label.values()))
+    number = F.row_number().over(Window.partitionBy("toxic").orderBy(*order))
+    chosen = chosen.withColumn("n", number).where(
         F.col("n") <= F.when(F.col("toxic") == 1, per_label[1]).otherwise(per_label[0])).drop("n")
     # a bounded number of ids: small enough for every task
-    got = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(
-        F.broadcast(chosen), "doc_id").limit(4 * sum(per_label.values())).toPandas().sort_values(["doc_id", "text"])
+    got = texts.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select(
+        "doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
     if got["toxic"].nunique() < 2:
         return None
     return train(got["text"].tolist(), got["toxic"].to_numpy().astype(int))
@@ -227,7 +230,12 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document.
+
+    Null texts count as empty; a null id counts as held out. Rows that repeat are reported one by one, with equal
+    results. A score of exactly one half is predicted toxic. Without examples of both labels all scores are 0. An
+    empty table gives no rows; other columns are ignored.
+    """
     model = fit(docs, labels)
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return score(rows, model).select("doc_id", "held_out", "score", "predicted")

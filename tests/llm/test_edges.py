@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, clashing column names and empty tables, for every operator."""
 
 import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,41 @@ def test_held_out_of_null_id(spark):
 
     row = spark.range(1).select(held_out(F.lit(None).cast("long")).alias("h")).first()
     assert row.h is True
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    near = " ".join(f"word{i}" for i in range(60))
+    rows = [(5, near), (8, near + " more"), (8, "quite another text that resembles nothing else in here"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in minhash.drop_near_copies(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
+def test_lines_of_small_hosts(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://two.org/a", "<p>Menu</p><p>A</p>"), (2, "http://two.org/b", "<p>Menu</p><p>B</p>"), (3, "http://one.org/", "<p>Menu</p>")],
+        "page_id long, url string, html string")
+    assert {r.page_id: r.kept_text for r in lines.drop_site_lines(pages).collect()} == {1: "A", 2: "B", 3: "Menu"}
+
+
+def test_examples_are_different_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda raw, langs: seen.append(langs))
+    rows = [(1, "the same words", "en")] * 30 + [(1, f"other words {'x' * k}", "en") for k in range(9)] + [(2, "des mots", "fr")]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5)
+    assert sorted(seen[0]) == ["en"] * 5 + ["fr"]
+    texts = []
+    monkeypatch.setattr(toxicity, "train", lambda t, y: texts.append(sorted(zip(t, y))))
+    a, b, c = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5][:3]   # not held out
+    docs = spark.createDataFrame([(a, "a"), (a, "a"), (a, "b"), (b, "c"), (b, "c"), (c, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 1), (a, 1), (b, 0), (c, 0)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, {0: 9, 1: 9})
+    assert texts == [[("", 0), ("a", 1), ("b", 1), ("c", 0)]]
+
+
+def test_other_models_are_refused():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()).serialized_model_proto())
+    assert model.trainer_spec.model_type == pieces.BPE

@@ -341,3 +341,36 @@ def _model():
     if not _kept:
         _kept.append(pieces.Pieces(pieces.default_model()))
     return _kept[0]
+
+
+# --- words in parts, digests
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abZÉßµª'sStT0.,-_!$\"(é়য字İ", min_size=1, max_size=7), min_size=1, max_size=12))
+def test_words_in_parts_encode_as_the_whole_text(words):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    text = " ".join(words)
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing._ids_of_words(path, [text])[0], "<u4").tolist() == want
+
+
+def test_table_of_words_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 6)
+    table = packing._Words(packing.default_tokenizer())
+    texts = ["one two three four five", "one (two) six. seven", "one two 'single' O'Neill's", "x" * 90 + " one"]
+    for _ in range(2):
+        for t in texts:
+            assert table.ids([t])[0] == table.encode([t])[0]
+    assert len(table.young) + len(table.old) < 20
+
+
+def test_toxicity_of_held_out_rows(spark):
+    rows = toxicity.toxicity_report(*(spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")))
+    labels = dict(duckdb.sql("select doc_id, toxic from '/root/testdata/sf0.1/labels.parquet'").fetchall())
+    got = [(r.predicted, labels[r.doc_id]) for r in rows.where("held_out").collect() if r.doc_id in labels]
+    hits = sum(p == 1 == y for p, y in got)
+    recall, precision = hits / sum(y == 1 for _, y in got), hits / max(1, sum(p == 1 for p, _ in got))
+    print(f"held out: {len(got)}, recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.8 and precision >= 0.85
