@@ -7,7 +7,7 @@ texts, and what is left is tokenised and packed into sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.llm import exact, minhash, packing, suffixes, toxicity
 from gradeloom.llm.common import table
@@ -20,7 +20,9 @@ PASSAGE_LEAD = 40
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier, trained on the labelled documents among them, does not call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    # the documents' own columns travel as one, so that none of them can clash with the classifier's
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return toxicity.score(rows, model).where("predicted = 0").select("doc.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
