@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from gradeloom.catalog.registry import query, rounded
 from gradeloom.catalog.attempts import MATCH
+from gradeloom.catalog.progress import LOGS, STATE
 from gradeloom.catalog.scores import D2, FIX, GATE
 from gradeloom.catalog.traces import SEG
-from gradeloom.operators import judging as J
+from gradeloom.operators import judging as J, progress as P
 from gradeloom.operators.generation import CHECK_TEMPLATE
 from gradeloom.plans import fact_check as FC, process, quality
-from gradeloom.session import fresh_path
+from gradeloom.session import cut, fresh_path
+from gradeloom.sources import logs
+from gradeloom.sources.store import write_named
 from gradeloom.streaming import progress as SP
 
 
@@ -96,13 +99,58 @@ def _(d):
     return rounded(process.process_board(replies, aligned), "intrinsic_avg", "alignment_avg", "overall_avg")
 
 
-@query("progress_stream", "v_chunk_log", "SELECT task_id, chunk, arg_max(status, seq) AS status, max(seq) AS seq FROM v_chunk_log GROUP BY ALL")
+PART_FILE = "concat('task_m_', task_id, '_attempt_1_retry_0_chunk_', chunk, '.json')"
+
+
+def write_logs(d, rows, path):
+    """Log files of the last status of each part in `rows`."""
+    last = rows.groupBy("task_id", "chunk").agg(
+        F.max_by("status", "seq").alias("status"), F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("start_time"),
+        F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("end_time"))
+    meta = F.struct(F.col("task_id").cast("string").alias("task_id"), F.lit('a "{" in quotes').alias("task_description"), "status", "start_time", "end_time")
+    steps = F.array_repeat(F.struct(F.lit("x" * 200).alias("message")), 60)
+    write_named(last.select(F.expr(PART_FILE).alias("name"), F.to_json(F.struct(meta.alias("task_meta"), steps.alias("step_logs"))).alias("value")), path)
+
+
+def write_outputs(d, path):
+    write_named(d.v_result_log.selectExpr("concat('m_', task_id, '.json') AS name", "'[]' AS value"), path)
+
+
+def logs_of(d):
+    path = fresh_path(d.spark, "run")
+    write_logs(d, d.v_chunk_log, path)
+    write_outputs(d, path)
+    return logs.read_run_logs(d.spark, path, 500)
+
+
+@query("run_logs", LOGS, """SELECT 'part' AS kind, task_id, chunk::int AS chunk, arg_max(status, seq) AS status, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS start_time FROM v_chunk_log GROUP BY ALL
+UNION ALL SELECT 'result', task_id, -1, '-', '-' FROM v_result_log""")
+def _(d):
+    return logs_of(d).select("kind", "task_id", F.coalesce("chunk", F.lit(-1)).alias("chunk"), F.coalesce("status", F.lit("-")).alias("status"),
+                             F.coalesce("start_time", F.lit("-")).alias("start_time"))
+
+
+@query("progress_from_files", LOGS, STATE + """, el AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts)))::double / 60000000 AS m FROM v_chunk_log)
+SELECT completed, in_progress, greatest(0, 1000000 - completed - in_progress) AS not_started, round(m, 9) AS elapsed_minutes, round(m / completed, 9) AS minutes_per_task,
+ round((greatest(0, 1000000 - completed - in_progress) + in_progress) * (m / completed), 4) AS minutes_left FROM pr, el""")
+def _(d):
+    rows = cut(logs_of(d))
+    out = rounded(P.eta(logs.parts(rows), P.progress_summary(logs.parts(rows), logs.results(rows), 1_000_000)), "elapsed_minutes", "minutes_per_task")
+    return out.withColumn("minutes_left", F.round("minutes_left", 4))
+
+
+@query("progress_stream", LOGS, STATE + " SELECT task_id, completed, chunks, chunks_completed, chunks_running FROM ts")
 def _(d):
     spark = d.spark
-    log, out, state = fresh_path(spark, "log"), fresh_path(spark, "status"), fresh_path(spark, "state")
-    d.v_chunk_log.select("task_id", "chunk", "seq", "status").repartition(4, "seq").write.json(log)
-    SP.run(SP.status_updates(SP.read_log(spark, log, SP.STATUS_LOG, max_files=2)), out, state)
-    return SP.current(spark, out, ["task_id", "chunk"], "seq")
+    path, out, state = fresh_path(spark, "run"), fresh_path(spark, "tasks"), fresh_path(spark, "state")
+    updates = lambda: SP.track_tasks(logs.stream_run_logs(spark, path, 500))
+    # the run is looked at twice: when each part has reported once, and after all logs have been written again
+    write_logs(d, d.v_chunk_log.groupBy("task_id", "chunk").agg(F.min_by("status", "seq").alias("status"), F.min("seq").alias("seq"), F.min("ts").alias("ts")), path)
+    SP.run(updates(), out, state, ["task_id"], "version", compact_every=1)
+    write_logs(d, d.v_chunk_log, path)
+    write_outputs(d, path)
+    SP.run(updates(), out, state, ["task_id"], "version", compact_every=1)
+    return SP.current(spark, out, ["task_id"], "version").drop("version")
 
 
 @query("progress_stream_verdicts", "v_verdict", """SELECT model, task_id, count(*) AS total, count(*) FILTER (trim(verification) = 'Right') AS "right",
@@ -112,5 +160,6 @@ def _(d):
     spark = d.spark
     log, out, state = fresh_path(spark, "log"), fresh_path(spark, "counts"), fresh_path(spark, "state")
     d.v_verdict.select("model", "task_id", "verification").repartition(4).write.json(log)
-    SP.run(SP.verdict_updates(SP.read_log(spark, log, SP.STATEMENT_LOG, max_files=2)), out, state)
-    return SP.current(spark, out, ["model", "task_id"], "total")
+    keys = ["model", "task_id"]
+    SP.run(SP.verdict_updates(SP.read_log(spark, log, SP.STATEMENT_LOG, max_files=2)), out, state, keys, "total", compact_every=2)
+    return SP.current(spark, out, keys, "total")

@@ -1,16 +1,34 @@
-"""Run progress kept current while result files land.
+"""Run progress kept current while log files land or change.
 
-Both streams aggregate in update mode, so a micro-batch writes only the keys it changed, to a folder
-named after the batch: a batch that is retried overwrites its own folder. Reading takes the newest
-row per key. Input folders may hold any number of files; `max_files` bounds one micro-batch.
+Tasks are tracked by a stateful processor: per task the status of each part, and whether it has a result. A task
+that is finished keeps a mark for a while, so that a late log of its parts changes nothing, and then a timer drops its
+state; so does a task that nothing has been heard of for longer. State holds the tasks of that time, not of the
+whole run.
+
+What changes in a micro-batch is written to a folder named after the batch: a batch that is retried overwrites its own
+folder. Every COMPACT batches the changes are merged into a snapshot, in buckets by key, and older folders go. Reading
+takes the newest snapshot and the batches after it, so its cost and the number of files do not grow with the run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATUS_LOG = "task_id bigint, chunk bigint, seq bigint, status string"
 STATEMENT_LOG = "model string, task_id bigint, verification string"
+TASK = "task_id long, completed boolean, chunks long, chunks_completed long, chunks_running long, version long"
+
+COMPACT = 20        # batches between snapshots
+BUCKETS = 8         # files of a snapshot
+KEEP_DONE_MS = 600_000        # how long a finished task is remembered
+KEEP_IDLE_MS = 86_400_000     # and one that nothing is heard of
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def status_updates(log: DataFrame) -> DataFrame:
@@ -25,12 +43,126 @@ def verdict_updates(statements: DataFrame) -> DataFrame:
     return verdict_counts(statements, "model", "task_id")
 
 
-def run(updates: DataFrame, out: str, checkpoint: str, available_now: bool = True, every: str = "1 minute") -> None:
-    """Writes the changed rows of each micro-batch below `out`. With available_now it ends when all
-    files there are have been read."""
+class TaskTracker(StatefulProcessor):
+    """Per task: the newest status of each part, whether there is a result, and timers that forget the task."""
+
+    def __init__(self, keep_done_ms: int, keep_idle_ms: int):
+        self.keep_done_ms, self.keep_idle_ms = keep_done_ms, keep_idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "part string", "status string, seq double")
+        self.task = handle.getValueState("task", "done boolean, version long, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done, version, until = self.task.get() if self.task.exists() else (False, 0, 0)
+        before = done
+        for batch in rows:
+            for kind, part, status, seq in zip(batch["kind"], batch["part"], batch["status"], batch["seq"]):
+                if kind == "result":
+                    done = True
+                elif not before:
+                    known = self.parts.getValue((part,)) if self.parts.containsKey((part,)) else None
+                    if known is None or known[1] <= seq:
+                        self.parts.updateValue((part,), ((status or "").lower(), float(seq)))
+        now = int(timerValues.getCurrentProcessingTimeInMs())
+        wanted = now + (self.keep_done_ms if done else self.keep_idle_ms)
+        # one timer per task: a new one is set when the task ends, or when half of the old one's time is over
+        if done != before or until - now < self.keep_idle_ms // 2 and not done:
+            if until:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(wanted)
+            until = wanted
+        if done and not before or not done:
+            version = max(version + 1, now)   # grows even where a forgotten task comes back
+            yield self._row(key, done, version)
+        if done and not before:
+            self.parts.clear()
+        self.task.update((done, version, until))
+
+    def _row(self, key, done: bool, version: int) -> pd.DataFrame:
+        statuses = [status for status, _ in self.parts.values()]
+        return pd.DataFrame({
+            "task_id": [int(key[0])], "completed": [done], "chunks": [len(statuses)], "chunks_completed": [statuses.count("completed")],
+            "chunks_running": [statuses.count("running")], "version": [version]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # what the task came to stays in the output; only the state goes
+        self.parts.clear()
+        self.task.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def track_tasks(logs: DataFrame, keep_done_ms: int = KEEP_DONE_MS, keep_idle_ms: int = KEEP_IDLE_MS) -> DataFrame:
+    """Changed tasks of a stream of log rows (see `sources.logs`): task_id, completed, chunks, chunks_completed,
+    chunks_running, and a version that grows with each change."""
+    logs.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    rows = logs.select(
+        "task_id", "kind", F.concat_ws("/", "attempt_id", "retry_id", "chunk").alias("part"), "status", "seq")
+    return rows.groupBy("task_id").transformWithStateInPandas(
+        TaskTracker(keep_done_ms, keep_idle_ms), TASK, "update", "processingTime")
+
+
+# ---- output --------------------------------------------------------------------------------
+
+
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the complete folders name=number below a folder, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    found = [f.getPath().getName() for f in store.listStatus(path)]
+    return sorted(int(n.split("=")[1]) for n in found if n.startswith(name + "=")
+                  and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _newest(rows: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(newest, *[c for c in others if c != newest])).alias("r")).select(*keys, "r.*")
+
+
+def _changes(spark: SparkSession, out: str) -> tuple[DataFrame | None, list[int], list[int]]:
+    """(rows of the newest snapshot and of the batches after it, all snapshots, all batches)"""
+    snapshots, batches = _numbers(spark, out, "snapshot"), _numbers(spark, out, "batch")
+    last = snapshots[-1] if snapshots else -1
+    paths = [f"{out}/snapshot={n}" for n in snapshots[-1:]] + [f"{out}/batch={n}" for n in batches if n > last]
+    return spark.read.parquet(*paths) if paths else None, snapshots, batches
+
+
+def compact(spark: SparkSession, out: str, keys: list[str], newest: str, upto: int, buckets: int = BUCKETS) -> None:
+    """Merges what there is up to a batch into a snapshot. The snapshot counts once it is complete; the one before it
+    stays until the next one, for readers that have already opened it."""
+    rows, snapshots, batches = _changes(spark, out)
+    if rows is None or upto in snapshots:
+        return
+    _newest(rows, keys, newest).repartition(buckets, *keys).write.mode("overwrite").parquet(f"{out}/snapshot={upto}")
+    keep = snapshots[-1] if snapshots else -1
+    for n in snapshots[:-1]:
+        _remove(spark, f"{out}/snapshot={n}")
+    for n in batches:
+        if n <= keep:
+            _remove(spark, f"{out}/batch={n}")
+
+
+def run(updates: DataFrame, out: str, checkpoint: str, keys: list[str], newest: str, available_now: bool = True,
+        every: str = "1 minute", compact_every: int = COMPACT) -> None:
+    """Writes the changed rows of each micro-batch below `out`, and a snapshot every `compact_every` batches. `newest` only
+    grows within a key. With available_now it ends when all there is has been read."""
+    spark = updates.sparkSession
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            compact(spark, out, keys, newest, batch_id)
 
     writer = updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
@@ -44,7 +176,8 @@ def read_log(spark: SparkSession, path: str, schema: str, max_files: int = 10_00
 
 
 def current(spark: SparkSession, out: str, keys: list[str], newest: str) -> DataFrame:
-    """The latest row per key of what `run` has written; `newest` only grows within a key."""
-    rows = spark.read.parquet(out).drop("batch")
-    others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max(F.struct(newest, *[c for c in others if c != newest])).alias("r")).select(*keys, "r.*")
+    """The latest row per key of what `run` has written."""
+    rows, _, _ = _changes(spark, out)
+    if rows is None:
+        raise ValueError(f"nothing has been written below {out}")
+    return _newest(rows, keys, newest)

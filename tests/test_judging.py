@@ -96,10 +96,11 @@ def test_stream_follows_new_files_and_restarts(spark, tmp_path):
     log, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
     rows = [(1, 0, 1, "running"), (1, 1, 2, "running"), (2, 0, 3, "failed"), (1, 0, 4, "completed"), (2, 0, 5, "running")]
     df = spark.createDataFrame(rows, "task_id long, chunk long, seq long, status string")
+    keys = ["task_id", "chunk"]
     for part in ("seq <= 3", "seq > 3"):
         df.where(part).coalesce(1).write.mode("append").json(log)
-        SP.run(SP.status_updates(SP.read_log(spark, log, SP.STATUS_LOG, 1)), out, state)
-    got = {(r.task_id, r.chunk): r.status for r in SP.current(spark, out, ["task_id", "chunk"], "seq").collect()}
+        SP.run(SP.status_updates(SP.read_log(spark, log, SP.STATUS_LOG, 1)), out, state, keys, "seq")
+    got = {(r.task_id, r.chunk): r.status for r in SP.current(spark, out, keys, "seq").collect()}
     want = {(r.task_id, r.chunk): r.status for r in P.latest_status(df).collect()}
     assert got == want == {(1, 0): "completed", (1, 1): "running", (2, 0): "running"}
 
