@@ -34,6 +34,7 @@ WIDTH = 400      # bytes of a string that must not repeat
 LEAD = 48        # bytes of the leading string that serves as anchor
 BLOCK = 100      # bytes of one character of the sort
 CHUNK = 1 << 20  # starts sorted at once
+PART = 1 << 20   # bytes of stretches whose starts are compared at once between chunks
 PIECE = 1 << 22  # bytes of a text hashed at once
 
 _BYTES = np.random.default_rng(20240301).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -129,13 +130,17 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], edge + 1])].tolist(), starts[np.concatenate([edge, [len(starts) - 1]])].tolist()))
 
 
-def _sort_chunk(rows: list[tuple], width: int, outer: set) -> Iterator[tuple]:
+_ENTRY = np.dtype([("string", "<i8"), ("anchor", "<i8"), ("cover", "<i8"), ("start", "<i4")])
+_FOUND = "anchor long, cover long, marks array<struct<first:long,last:long>>, part int, entries binary"
+
+
+def _sort_chunk(rows: list[tuple], width: int, outer: set) -> tuple[list[tuple], np.ndarray]:
     """Repeats among the stretches (anchor, cover, whole, bytes) of a chunk, sorted by anchor.
 
-    Yields (anchor, cover, first, last, None) for starts found repeated, and (anchor, cover, start, start, hash of
-    the string) for `outer` anchors, which lie in other chunks too: all starts that are alone here, and of those
-    that repeat here one of each kind, marked by a start of -1, to answer for the rest. Of stretches known to repeat as
-    a whole no start is reported; they only answer.
+    Gives (anchor, cover, runs of repeated starts) of each stretch that has any, and entries to compare with
+    other chunks, for `outer` anchors, which lie in several: all starts that are alone here, and of those that
+    repeat here one of each kind, marked by a start of -1, to answer for the rest. Of stretches known to repeat as a whole no
+    start is reported; they only answer.
     """
     size = np.array([len(b) - width + 1 for *_, b in rows])
     owner = np.repeat(np.arange(len(rows)), size)
@@ -144,46 +149,56 @@ def _sort_chunk(rows: list[tuple], width: int, outer: set) -> Iterator[tuple]:
     base = np.cumsum([0] + [len(b) for *_, b in rows])[:-1]
     start = base[owner] + inside
     anchor = np.array([r[0] for r in rows], np.int64)
+    cover = np.array([r[1] for r in rows], np.int64)
+    known = np.array([r[2] for r in rows], bool)
     block = -(-width // -(-width // BLOCK))
     columns = [anchor[owner]]
     columns += [_hashes(sums, start + at, min(block, width - at)).view(np.int64) for at in range(0, width, block)]
     repeated, kind = multikey_sort(columns)
     found = np.zeros(len(start), bool)
     found[repeated] = True
-    answers = found.copy()
-    answers[repeated[np.concatenate([[True], kind[1:] != kind[:-1]])] if len(kind) else repeated] = False
+    answered = found.copy()
+    answered[repeated[np.concatenate([[True], kind[1:] != kind[:-1]])] if len(kind) else repeated] = False
     edges = np.concatenate([[0], np.cumsum(size)])
-    for i, (a, c, known, _) in enumerate(rows):
-        own = found[edges[i]:edges[i + 1]]
-        if not known:
-            for first, last in _runs(np.flatnonzero(own)):
-                yield a, c, first, last, None
-        if a in outer:
-            strings = _hashes(sums, start[edges[i]:edges[i + 1]], width).view(np.int64)
-            for k in np.flatnonzero(~answers[edges[i]:edges[i + 1]]).tolist():
-                at = -1 if known or own[k] else k
-                yield a, c, at, at, int(strings[k])
-
-
-def _repeats(batches: Iterator[pd.DataFrame], width: int, split: set) -> Iterator[pd.DataFrame]:
+    marks = [(a, c, [{"first": x, "last": y} for x, y in _runs(np.flatnonzero(found[edges[i]:edges[i + 1]]))])
+             for i, (a, c, whole, _) in enumerate(rows) if not whole and found[edges[i]:edges[i + 1]].any()]
+    asks = np.flatnonzero(~answered & np.isin(anchor, list(outer))[owner]) if outer else np.zeros(0, np.int64)
+    entries = np.zeros(len(asks), _ENTRY)
+    entries["string"] = _hashes(sums, start[asks], width).view(np.int64)
+    entries["anchor"], entries["cover"] = anchor[owner[asks]], cover[owner[asks]]
+    entries["start"] = np.where(known[owner[asks]] | found[asks], -1, inside[asks])
+    return marks, entries
+
+
+def _repeats(batches: Iterator[pd.DataFrame], width: int, split: set, parts: int, chunk: int) -> Iterator[pd.DataFrame]:
     """Chunks of one bucket, which arrives sorted by anchor. A chunk ends between anchors; only an anchor with more than
-    CHUNK starts is cut, and like those in `split`, which several buckets hold, compared once more."""
+    `chunk` starts is cut, and like those in `split`, which several buckets hold, compared once more: its entries
+    go out packed, by the `parts` that their strings fall into."""
     def flush(rows: list[tuple], cut_anchors: set) -> pd.DataFrame:
-        found = list(zip(*_sort_chunk(rows, width, split | cut_anchors))) or [()] * 5
-        names = ["anchor", "cover", "first", "last", "string"]
+        marks, entries = _sort_chunk(rows, width, split | cut_anchors)
+        part = entries["string"].astype(np.uint64) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        packed = [(int(part[group[0]]), entries[group].tobytes())
+                  for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(group)]
+        n, m = len(marks), len(packed)
         # nullable from the start: a detour over floating point would round the hashes
-        return pd.DataFrame({name: pd.array(list(values), dtype="Int64") for name, values in zip(names, found)})
+        return pd.DataFrame({
+            "anchor": pd.array([r[0] for r in marks] + [None] * m, dtype="Int64"),
+            "cover": pd.array([r[1] for r in marks] + [None] * m, dtype="Int64"),
+            "marks": pd.Series([r[2] for r in marks] + [None] * m, dtype=object),
+            "part": pd.array([None] * n + [p for p, _ in packed], dtype="Int32"),
+            "entries": pd.Series([None] * n + [e for _, e in packed], dtype=object)})
 
     rows: list[tuple] = []
     starts, since, before = 0, 0, set()   # all starts held, those of the last anchor, an anchor cut just before
     for batch in batches:
         for row in zip(batch["anchor"].tolist(), batch["cover"].tolist(), batch["whole"].tolist(), batch["bytes"]):
             if rows and row[0] != rows[-1][0]:
-                if starts >= CHUNK:
+                if starts >= chunk:
                     yield flush(rows, before)
                     rows, starts, before = [], 0, set()
                 since = 0
-            elif rows and since >= CHUNK:
+            elif rows and since >= chunk:
                 yield flush(rows, before | {row[0]})
                 rows, starts, since, before = [], 0, 0, {row[0]}
             rows.append(row)
@@ -193,6 +208,31 @@ def _repeats(batches: Iterator[pd.DataFrame], width: int, split: set) -> Iterato
         yield flush(rows, before)
 
 
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of all chunks, sorted by part: (anchor, cover, marks) of starts whose string another chunk has too."""
+    def repeated(entries: np.ndarray) -> pd.DataFrame:
+        _, which, times = np.unique(entries[["anchor", "string"]], return_inverse=True, return_counts=True)
+        hits = entries[(times[which] > 1) & (entries["start"] >= 0)]
+        hits = np.unique(hits[["anchor", "cover", "start"]])
+        ends = np.flatnonzero(hits["cover"][1:] != hits["cover"][:-1]) + 1
+        groups = [g for g in np.split(hits, ends) if len(g)]
+        return pd.DataFrame({
+            "anchor": [int(g["anchor"][0]) for g in groups], "cover": [int(g["cover"][0]) for g in groups],
+            "marks": [[{"first": int(x), "last": int(y)} for x, y in _runs(g["start"])] for g in groups]})
+
+    held: list[bytes] = []
+    last = None
+    for batch in batches:
+        for part, entries in zip(batch["part"], batch["entries"]):
+            if part != last and held:
+                yield repeated(np.frombuffer(b"".join(held), _ENTRY))
+                held = []
+            held.append(entries)
+            last = part
+    if held:
+        yield repeated(np.frombuffer(b"".join(held), _ENTRY))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Adds `__id` and `__hash`, a key that only rows of equal id and text share."""
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn(
@@ -255,21 +295,19 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Dat
             last = key[-1] if key else last
             yield batch[fresh]
 
-    sorted_ = cut(bucketed.mapInPandas(
-        lambda batches: _repeats(once(batches), width, split),
-        "anchor long, cover long, first long, last long, string long"))
-    inner = sorted_.where(F.col("string").isNull()).select("anchor", "cover", "first", "last")
-    across = sorted_.where(F.col("string").isNotNull())
-    twice = cut(across.groupBy("anchor", "string").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "string"))
-    # single starts as one list per stretch, which has fewer of them than bytes
-    outer = across.where("first >= 0").join(twice, ["anchor", "string"], "left_semi").groupBy("anchor", "cover").agg(
-        F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("marks"))
+    # entries of one part are compared in one task: about PART bytes of stretches fall into each
+    parts = int((bucketed.agg(F.sum(F.length("bytes"))).first()[0] or 0) // PART + 1)
+    chunk = CHUNK
+    sorted_ = cut(bucketed.mapInPandas(lambda batches: _repeats(once(batches), width, split, parts, chunk), _FOUND))
+    inner = sorted_.where(F.col("part").isNull()).select("anchor", "cover", "marks")
+    across = sorted_.where(F.col("part").isNotNull()).select("part", "entries")
+    outer = across.repartition("part").sortWithinPartitions("part").mapInPandas(
+        _across, "anchor long, cover long, marks array<struct<first:long,last:long>>")
 
     # stretches that repeat as a whole, then parts of the others
     full = kinds.where("n > 1").select("anchor", "cover", F.array(F.struct(
         F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))).alias("marks"))
-    parts = inner.groupBy("anchor", "cover").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    marks = cut(full.unionByName(parts).unionByName(outer))
+    marks = cut(full.unionByName(inner).unionByName(outer))
     placed = found.join(marks, ["anchor", "cover"]).select(*KEY, "lo", "hi", F.explode("marks").alias("m"))
     spans = placed.select(*KEY, F.struct(
         (F.col("lo") + F.col("m.first")).alias("start"),

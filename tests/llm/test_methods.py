@@ -236,6 +236,7 @@ def test_passages_of_the_table(spark, texts):
 def test_short_passages_in_small_chunks(spark, monkeypatch, chunk):
     """Few letters, so that anchors repeat inside stretches, and chunks so small that anchors span many."""
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes, "PART", 16 * chunk)
     rng = np.random.default_rng(3)
     base = "".join(rng.choice(list("abé"), 300))
     texts_ = ["".join(rng.choice(list("ab"), n)) for n in (0, 5, 19, 20, 60, 200)]
