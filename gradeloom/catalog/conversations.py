@@ -49,6 +49,34 @@ def _(d):
     return C.extract_tool_calls(d.v_tool_text, "conv_id", "turn")
 
 
+@query("extract_tool_calls_quoted", "", """SELECT conv_id, turn, 0 AS call_pos, 'w' AS server, 'run' AS tool,
+ concat('{"code": "see </arguments> and </use_mcp_tool> ', turn, '"}') AS arguments FROM conversations
+UNION ALL SELECT conv_id, turn, 1, 'x', 'y', '' FROM conversations WHERE turn % 2 = 0""")
+def _(d):
+    texts = d.conversations.selectExpr("conv_id", "turn", """concat(text, '<USE_MCP_TOOL id="1"><server_name>w</server_name> <tool_name>run</tool_name><arguments>{"code": "see </arguments> and </use_mcp_tool> ',
+        turn, '"} </arguments>\n</use_mcp_tool> ', CASE WHEN turn % 2 = 0 THEN '<use_mcp_tool><server_name>x</server_name><tool_name> y</tool_name><arguments></arguments></use_mcp_tool>'
+        ELSE '<use_mcp_tool><server_name>x</server_name></use_mcp_tool>' END) AS text""")
+    return C.extract_tool_calls(texts, "conv_id", "turn")
+
+
+@query("native_tool_calls", "", """SELECT conv_id, turn, 0 AS call_pos, 'web-tools' AS server, 'find' AS tool, concat('id', turn) AS call_id,
+ CASE turn % 4 WHEN 3 THEN 'error=Failed to parse arguments;raw={broken' WHEN 2 THEN concat('flag=true;none=null;q=', role) ELSE concat('n=', turn, ';q=', role, ';sub={"a":[1,"x"]}') END AS arguments FROM conversations
+UNION ALL SELECT conv_id, turn, 1, 'read', 'open', 'second', 'u=1' FROM conversations WHERE turn % 4 IN (1, 3)""")
+def _(d):
+    arguments = F.expr("""CASE turn % 4 WHEN 3 THEN '{broken' WHEN 2 THEN concat("{'q': '", role, "', 'flag': True, 'none': None}")
+        ELSE concat('{"q": "', role, '", "n": ', turn, ', "sub": {"a":[1,"x"]}}') END""")
+    named = d.conversations.withColumn("a", arguments)
+    flat = F.to_json(F.expr("""named_struct('output', array(
+        named_struct('type', 'function_call', 'name', 'web-tools-find', 'arguments', a, 'call_id', concat('id', turn)),
+        named_struct('type', 'message', 'name', 'no-call', 'arguments', '{}', 'call_id', 'm')))"""))
+    nested = F.to_json(F.expr("""array(
+        named_struct('id', concat('id', turn), 'function', named_struct('name', 'web-tools-find', 'arguments', a)),
+        named_struct('id', 'second', 'function', named_struct('name', 'read-open', 'arguments', '{"u": 1}')))"""))
+    replies = named.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, flat).otherwise(nested).alias("reply"))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("arguments")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ";")
+    return C.native_tool_calls(replies, "reply", "conv_id", "turn").withColumn("arguments", told)
+
+
 @query("broken_tool_calls", "v_tool_text", """SELECT conv_id, turn, 'Unclosed use_mcp_tool tag' AS error,
 regexp_extract(text, '(?s)<use_mcp_tool>.*$') AS content FROM v_tool_text WHERE turn % 3 = 2""")
 def _(d):

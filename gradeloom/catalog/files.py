@@ -44,6 +44,16 @@ def _(d):
         "task_id", "task_question", "user_query", "model", F.coalesce(F.col("files")[0]["dir"], F.lit("none")).alias("file"), "annotation.category")
 
 
+@query("load_entries_ranges", "", """SELECT concat(source, '_text_', doc_id // 1000, '/', doc_id) AS task_id, text AS task_question,
+CASE WHEN doc_id % 3 = 1 THEN concat('rw ', doc_id) ELSE concat('q ', doc_id) END AS user_query, concat(source, '_text_', doc_id // 1000) AS model,
+CASE WHEN doc_id % 2 = 0 THEN concat('d/', doc_id) ELSE 'none' END AS file, lang AS category FROM documents WHERE doc_id % 7 > 1""")
+def _(d):
+    # ranges far smaller than a file, so that items lie across their borders
+    path = _array_files(_entries(d), fresh_path(d.spark, "entries"))
+    return E.load_entries_array(d.spark, path, FILE, range_bytes=50_000, suffix=".txt").select(
+        "task_id", "task_question", "user_query", "model", F.coalesce(F.col("files")[0]["dir"], F.lit("none")).alias("file"), "annotation.category")
+
+
 def _task_lines(d):
     """Task lines with blank lines between them and, for every eleventh, no valid JSON."""
     line = F.to_json(F.struct(

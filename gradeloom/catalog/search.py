@@ -82,11 +82,11 @@ def _(d):
 
 # each page's reply carries a graph, an answer box and snippets
 @query("trim_search_payload", "", """SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'no json' ELSE
-concat('{"organic":[{"link":"', url, '","position":', page_id, '}],"peopleAlsoAsk":[{"question":"q"}]}') END AS payload FROM pages""")
+concat('{"organic":[{"link":"', url, '","position":', page_id, '}', CASE WHEN page_id % 2 = 0 THEN ',"bare",null' ELSE '' END, '],"peopleAlsoAsk":[{"question":"q"}]}') END AS payload FROM pages""")
 def _(d):
     made = d.wide("pages").selectExpr("page_id", """CASE WHEN page_id % 5 = 4 THEN 'no json' ELSE
         concat('{"knowledgeGraph": {"a": 1}, "answerBox": {"b": [1]}, "organic": [{"link": "', url, '", "position": ', page_id,
-        ', "snippet": "s"}], "peopleAlsoAsk": [{"question": "q", "snippet": "t"}]}') END AS payload""")
+        ', "snippet": "s"}', CASE WHEN page_id % 2 = 0 THEN ', "bare", null' ELSE '' END, '], "peopleAlsoAsk": [{"question": "q", "snippet": "t"}]}') END AS payload""")
     return made.withColumn("payload", S.trim_search_payload(F.col("payload")))
 
 

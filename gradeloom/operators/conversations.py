@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from gradeloom.functions.jsontext import is_object, strict_json
 from gradeloom.functions.numbering import first_n, last_before, with_group_values
 from gradeloom.functions.text import contains_any, let, trim_blank
 
@@ -102,26 +103,23 @@ def boxed_answer(summaries: DataFrame, messages: DataFrame) -> DataFrame:
 
 # ---- tool calls ----------------------------------------------------------------------------
 
-# One element of a call; its name is closed by the same name.
-_ELEMENT = r"(?is)<(server_name|tool_name|arguments)\b[^>]*>(.*?)</\1>"
+# The elements of a call, in their order.
 _ELEMENTS = ["server_name", "tool_name", "arguments"]
 
 
-def _calls(text: Column) -> Column:
-    """Array of (server, tool, arguments). The text is cut at the ends of calls, each piece after its last
-    opening is a call's body, and a body counts if it holds the three elements in order and nothing else."""
-    pieces = F.split(text, "(?i)</use_mcp_tool>")
-    bodies = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_extract(
-        p, "(?is)^.*<use_mcp_tool[^>]*>(.*)$", 1))
-    well_formed = F.filter(bodies, lambda b: (
-        F.transform(F.regexp_extract_all(b, F.lit(_ELEMENT), 1), F.lower) == F.array(*map(F.lit, _ELEMENTS))
-    ) & (trim_blank(F.regexp_replace(b, _ELEMENT, "")) == ""))
+def _element(name: str, inside: str) -> str:
+    return rf"<{name}\b[^>]*>{inside}</{name}>"
+
 
-    def call(body: Column) -> Column:
-        values = F.transform(F.regexp_extract_all(body, F.lit(_ELEMENT), 2), trim_blank)
-        return let(values, lambda v: F.struct(v[0].alias("server"), v[1].alias("tool"), v[2].alias("arguments")))
+# An element ends where what must follow it follows, so arguments may hold any text, closing tags too.
+_CALL = "(?is)" + _element("use_mcp_tool", rf"\s*{r'\s*'.join(_element(e, '(.*?)') for e in _ELEMENTS)}\s*")
 
-    return F.transform(well_formed, call)
+
+def _calls(text: Column) -> Column:
+    """Array of (server, tool, arguments), each found from its opening on."""
+    found = lambda k: F.regexp_extract_all(text, F.lit(_CALL), F.lit(k))
+    return F.transform(F.arrays_zip(found(1).alias("s"), found(2).alias("t"), found(3).alias("a")), lambda c: F.struct(
+        trim_blank(c["s"]).alias("server"), trim_blank(c["t"]).alias("tool"), trim_blank(c["a"]).alias("arguments")))
 
 
 def extract_tool_calls(messages: DataFrame, *keys: str) -> DataFrame:
@@ -133,6 +131,46 @@ def extract_tool_calls(messages: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+# Names of other notations as JSON has them, in the order of replacement.
+_OTHER_NOTATION = [("'", '"'), ("None", "null"), ("True", "true"), ("False", "false")]
+
+
+def call_arguments(text: Column, mended: Column | None = None) -> Column:
+    """Arguments of a call as a map of JSON texts. What is no JSON object is read with single quotes and the names of
+    another notation replaced, or as `mended` if that is given; what still is none becomes {error, raw}. Texts come without
+    their quotes, other values as they are written."""
+    def read(t: Column) -> Column:
+        return F.when(F.coalesce(is_object(strict_json(t)), F.lit(False)), F.from_json(t, "map<string,string>"))
+
+    other = text
+    for a, b in _OTHER_NOTATION:
+        other = F.replace(other, F.lit(a), F.lit(b))
+    tries = [read(text), *([read(mended)] if mended is not None else []), read(other)]
+    return F.coalesce(*tries, F.create_map(F.lit("error"), F.lit("Failed to parse arguments"), F.lit("raw"), F.coalesce(text, F.lit(""))))
+
+
+def native_tool_calls(messages: DataFrame, reply: str, *keys: str) -> DataFrame:
+    """Calls of native replies: one row per call with its position, server, tool, arguments (see `call_arguments`) and id.
+
+    Two shapes are read: an object whose list `output` holds items of type function_call with name, arguments and call_id,
+    and a list of calls with id and function {name, arguments}. A name is split at its last '-'; one without is no call.
+    """
+    call = "struct<type:string,name:string,arguments:string,call_id:string,id:string,function:struct<name:string,arguments:string>>"
+    text = F.col(reply)
+    flat = F.filter(F.from_json(text, f"struct<output:array<{call}>>")["output"], lambda c: c["type"] == "function_call")
+    nested = F.from_json(F.when(F.ltrim(text).startswith("["), text), f"array<{call}>")
+
+    def row(c: Column, name: Column, arguments: Column, call_id: Column) -> Column:
+        server, tool = split_native_name(name)
+        return F.struct(server, tool, arguments.alias("text"), call_id.alias("call_id"), name.contains("-").alias("whole"))
+
+    found = F.coalesce(
+        F.transform(nested, lambda c: row(c, c["function"]["name"], c["function"]["arguments"], c["id"])),
+        F.transform(flat, lambda c: row(c, c["name"], c["arguments"], c["call_id"])))
+    rows = messages.select(*keys, F.posexplode(found).alias("call_pos", "c")).where("c.whole")
+    return rows.select(*keys, "call_pos", "c.server", "c.tool", call_arguments(F.col("c.text")).alias("arguments"), "c.call_id")
+
+
 def broken_tool_calls(messages: DataFrame, *keys: str) -> DataFrame:
     """Reject rows: for each tag, the text from an opening that nothing closes."""
 

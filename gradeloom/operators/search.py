@@ -94,9 +94,13 @@ def trim_search_payload(payload: Column, drop_graph: bool = True, drop_answer: b
     if drop_snippets:
 
         def bare(v):
-            rows = F.try_variant_get(v, "$", "array<map<string,variant>>")
-            cut = F.transform(rows, lambda r: F.map_filter(r, lambda k, x: k != "snippet"))
-            return F.coalesce(F.try_parse_json(F.to_json(cut)), v)
+            # item by item: what is no object stays
+            def item(x: Column) -> Column:
+                members = F.try_variant_get(x, "$", "map<string,variant>")
+                return F.coalesce(F.to_json(F.map_filter(members, lambda k, _: k != "snippet")), F.to_json(x), F.lit("null"))
+
+            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), item)
+            return F.coalesce(F.try_parse_json(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))), v)
 
         fields = F.transform_values(fields, lambda k, v: F.when(
             k.isin("organic", "peopleAlsoAsk"), bare(v)).otherwise(v))

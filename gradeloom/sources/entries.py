@@ -6,10 +6,13 @@ leaves the rest to the scan: files are the unit of parallelism, lines too where
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.jsontext import is_json
 from gradeloom.functions.text import first_present, let, present
+from gradeloom.sources.arrays import read_array_items
 
 # Default patterns: file name without extension, and the folder it lies in.
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
@@ -36,16 +39,26 @@ def query_text(rewritten_first: bool = True) -> Column:
     return F.coalesce("query", "rewritten_query")
 
 
-def read_entries(spark: SparkSession, path: str | list[str], stem: str = STEM) -> DataFrame:
-    """All entries of JSON-array files, with the file's stem."""
+def read_entries(spark: SparkSession, path: str | list[str], stem: str = STEM, range_bytes: int | None = None,
+                 suffix: str = ".json") -> DataFrame:
+    """All entries of JSON-array files, with the file's stem. Files are read whole, each by one task; with `range_bytes` in
+    ranges of that size (see `sources.arrays`; one path, in a store that tasks can open), which files of many gigabytes
+    need."""
+    if range_bytes:
+        items, broken = read_array_items(spark, path, suffix, range_bytes)
+        fields = ENTRY.removesuffix(", _corrupt_record string")
+        read = items.select(F.from_json("value", fields).alias("e"), "file").select("e.*", F.lit(None).cast("string").alias("_corrupt_record"), "file")
+        lost = broken.select(*[F.lit(None).cast(t.dataType).alias(t.name) for t in read.schema.fields[:-2]], F.lit("").alias("_corrupt_record"), "file")
+        return read.unionByName(lost).withColumn("stem", F.regexp_extract("file", stem, 1)).drop("file")
     rows = spark.read.schema(ENTRY).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     return rows.withColumn("stem", from_path(stem))
 
 
-def load_entries_array(spark: SparkSession, path: str | list[str], stem: str = STEM) -> DataFrame:
+def load_entries_array(spark: SparkSession, path: str | list[str], stem: str = STEM, range_bytes: int | None = None,
+                       suffix: str = ".json") -> DataFrame:
     """Tasks of JSON-array files: id 'stem/id', the response as text to check. Entries without
-    response are left out; an empty file list is null."""
-    e = read_entries(spark, path, stem)
+    response are left out; an empty file list is null. `range_bytes`: see `read_entries`."""
+    e = read_entries(spark, path, stem, range_bytes, suffix)
     return e.where(F.coalesce("response", F.lit("")) != "").select(
         F.concat_ws("/", "stem", F.coalesce("id", F.lit(""))).alias("task_id"),
         F.col("response").alias("task_question"),
@@ -127,14 +140,22 @@ def choose_files(spark: SparkSession, path: str, models: list[str], kind: str, s
 
 
 def load_results_glob(spark: SparkSession, path: str, models: list[str], kind: str = "text", stem: str = STEM, glob: str = "*.json") -> DataFrame:
-    """Entries of the chosen file of each model, joined by the file's path as the scan names it."""
-    chosen = choose_files(spark, path, models, kind, stem, glob).select("model", "file_path")
+    """Entries of the chosen file of each model. The choice, one path per model, is made from names; only these files are
+    read."""
+    chosen = choose_files(spark, path, models, kind, stem, glob)
+    picked = chosen.select("model", "path").collect()
+    if not picked:
+        return spark.createDataFrame([], ENTRY).withColumn("stem", F.lit("")).withColumn("model", F.lit(""))
     rows = (
-        spark.read.schema(ENTRY).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob).json(path)
-        .withColumn("stem", from_path(stem)).withColumn("file_path", F.col("_metadata.file_path"))
+        spark.read.schema(ENTRY).option("multiLine", True).json([_literal(r.path) for r in picked])
+        .withColumn("stem", from_path(stem)).withColumn("__file", F.col("_metadata.file_path"))
     )
-    return rows.join(chosen, "file_path").drop("file_path")
+    return rows.join(chosen.select("model", F.col("file_path").alias("__file")), "__file").drop("__file")
+
+
+def _literal(path: str) -> str:
+    """A path in which no character is a wildcard."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def explode_cells(lines: DataFrame, scores: str) -> DataFrame:

@@ -74,6 +74,23 @@ def test_calls_and_duplicates(spark):
     assert tuple(spark.createDataFrame([("a-b-c",)], "n string").select(*C.split_native_name(F.col("n"))).first()) == ("a-b", "c")
 
 
+def test_calls_with_any_text_in_their_arguments(spark):
+    call = "<use_mcp_tool>\n<server_name>s</server_name><tool_name n='1'> t </tool_name>\n<arguments>{a}</arguments></use_mcp_tool>"
+    texts = [call.format(a='{"x": "</use_mcp_tool>"}') + call.format(a=""), call.format(a="</arguments> <arguments>") + " and", call.replace("<tool_name", "<other"), call.format(a="1").upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted((r.id, r.call_pos, r.server, r.tool, r.arguments) for r in C.extract_tool_calls(df, "id").collect())
+    assert got == [(0, 0, "s", "t", '{"x": "</use_mcp_tool>"}'), (0, 1, "s", "t", ""), (1, 0, "s", "t", "</arguments> <arguments>"), (3, 0, "S", "T", "1")]
+
+
+def test_arguments_of_calls(spark):
+    texts = ['{"a": "x", "b": [1, 2], "c": null}', "{'a': 'x', 'b': False}", "[1]", "nothing", None, '{"a": 1} tail', ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.m for r in df.select("id", C.call_arguments(F.col("t")).alias("m")).collect()}
+    failed = lambda t: {"error": "Failed to parse arguments", "raw": t}
+    assert got == {0: {"a": "x", "b": "[1,2]", "c": None}, 1: {"a": "x", "b": "false"}, 2: failed("[1]"), 3: failed("nothing"), 4: failed(""),
+                   5: failed('{"a": 1} tail'), 6: failed("")}
+
+
 def test_cap(spark):
     df = spark.createDataFrame([(1, list(range(12))), (2, [1])], "id int, calls array<int>")
     assert [(len(r.calls), r.exceeded) for r in C.cap_calls(df, "calls").orderBy("id").collect()] == [(10, True), (1, False)]
