@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.catalog.views import load, with_views
+from gradeloom.session import INPUT_PARTITIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,8 +24,10 @@ class Data:
         return load(self.spark, self.sf_dir, name)
 
     def wide(self, name: str) -> DataFrame:
-        """The same for row-wise work that costs far more than the scan."""
-        return load(self.spark, self.sf_dir, name)
+        """The same for row-wise work that costs far more than the scan, dealt out where the session asks for it."""
+        rows = load(self.spark, self.sf_dir, name)
+        wanted = self.spark.conf.get(INPUT_PARTITIONS, None)
+        return rows.repartition(int(wanted)) if wanted else rows
 
 
 def query(name: str, views: str = "", sql: str | None = None):

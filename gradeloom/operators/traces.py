@@ -38,22 +38,38 @@ def _lines(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), "\n")
 
 
-def _pieces(text: Column, opening: str) -> Column:
-    """Array of pieces, each from an opening to the next one or the end; text before the first is left out."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?:{opening}).*?(?={opening}|\z)"), 0)
+def _pieces(text: Column, opening: str, lead: bool = False) -> Column:
+    """Array of pieces, each from an opening to the next one or the end; text before the first is left out, or with `lead`
+    the first piece. Openings are found once and the text is cut at them, which is linear in its length."""
+    heads = F.regexp_extract_all(text, F.lit(f"(?s){opening}"), 0)
+
+    def joined(segments: Column) -> Column:
+        found = F.zip_with(heads, F.slice(segments, F.lit(2), F.size(segments)), lambda head, rest: F.concat(head, rest))
+        return F.concat(F.slice(segments, 1, 1), found) if lead else found
+
+    return let(F.split(text, f"(?s){opening}", -1), joined)
+
+
+def trace_items(process: Column) -> Column:
+    """The items of a trace that is one JSON array, as variants; null for others. What looks at a trace's layout and
+    what works on its steps share this one parse."""
+    t = trim_blank(process)
+    return F.try_variant_get(strict_json(F.when(t.startswith("["), t)), "$", "array<variant>")
 
 
 # ---- layout --------------------------------------------------------------------------------
 
 
-def detect_trace_format(process: Column) -> Column:
-    """json_array, block_text, step_text or plain_text, in this order of precedence."""
+def detect_trace_format(process: Column, items: Column | None = None) -> Column:
+    """json_array, block_text, step_text or plain_text, in this order of precedence. `items`: see `trace_items`."""
     t = trim_blank(process)
-    first = F.try_variant_get(strict_json(F.when(t.startswith("["), t)), "$[0]", "variant")
-    stepwise = is_object(first) & (member(first, "step").isNotNull() | member(first, "type").isNotNull())
     count = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), 0))
+
+    def stepwise(first: Column) -> Column:
+        return is_object(first) & (member(first, "step").isNotNull() | member(first, "type").isNotNull())
+
     return (
-        F.when(stepwise, "json_array")
+        F.when(stepwise(F.get(trace_items(process) if items is None else items, F.lit(0))), "json_array")
         .when(count(rf"\[(?:{BLOCK_TAGS})\]") >= 2, "block_text")
         .when(count(r"\[Step [0-9]+\]") >= 2, "step_text")
         .otherwise("plain_text")
@@ -123,16 +139,15 @@ def _step_line(step: Column) -> Column:
     return F.when(kind.isin(SHORT_TYPES), F.concat(head, _lit("\n"), _search_body(step))).otherwise(let(_content(step), spoken))
 
 
-def step_lines(process: Column) -> Column:
-    """Array of shortened step texts of a JSON trace; null when the text is no JSON array."""
-    v = strict_json(trim_blank(process))
-    steps = F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>"))
-    return F.transform(F.filter(steps, is_object), _step_line)
+def step_lines(items: Column) -> Column:
+    """Array of shortened step texts of the items of a JSON trace; null when there are none."""
+    return F.transform(F.filter(items, is_object), _step_line)
 
 
 def trace_steps_json(traces: DataFrame, *keys: str) -> DataFrame:
     """One row per step; traces that are no JSON array give none (see `unreadable_traces`)."""
-    return traces.select(*keys, F.posexplode(step_lines(F.col("process"))).alias("pos", "line"))
+    parsed = traces.withColumn("__items", trace_items(F.col("process")))
+    return parsed.select(*keys, F.posexplode(step_lines(F.col("__items"))).alias("pos", "line"))
 
 
 def unreadable_traces(traces: DataFrame, *keys: str) -> DataFrame:
@@ -196,7 +211,7 @@ def format_blocks(traces: DataFrame, *keys: str) -> DataFrame:
 
 def step_texts(process: Column) -> Column:
     """Array of '[Step N] text' pieces, the text before the first marker as its own piece."""
-    marked = F.regexp_extract_all(process, F.lit(r"(?s)(?:\[Step [0-9]+\])?.*?(?=\[Step [0-9]+\]|\z)"), 0)
+    marked = _pieces(process, r"\[Step [0-9]+\]", lead=True)
 
     def step(p: Column) -> Column:
         name = F.regexp_extract(p, r"^\[Step [0-9]+\]", 0)
@@ -262,11 +277,11 @@ def compress_trace(traces: DataFrame, max_chars: int = 30_000) -> DataFrame:
         .otherwise(plain_trace(p, max_chars))
     )
     return (
-        traces.withColumn("trace_format", detect_trace_format(p))
-        .withColumn("__steps", F.when(kind == "json_array", step_lines(p)))
+        traces.withColumn("__items", trace_items(p)).withColumn("trace_format", detect_trace_format(p, F.col("__items")))
+        .withColumn("__steps", F.when(kind == "json_array", step_lines(F.col("__items"))))
         .withColumn("__blocks", F.when(kind == "block_text", block_lines(p)))
         .withColumn("compressed", text)
-        .drop("__steps", "__blocks")
+        .drop("__items", "__steps", "__blocks")
     )
 
 
@@ -321,10 +336,9 @@ def pack_chunks(traces: DataFrame, *keys: str, limit: int = CHUNK_CHARS) -> Data
 
         return let(_pieces(p, pattern), with_lead)
 
-    v = strict_json(trim_blank(p))
-    items = F.try_variant_get(v, "$", "array<variant>")
+    items = F.col("__items")
     # the text of each step, keys in their order; strings get their quotes back
-    steps = F.zip_with(F.from_json(p, "array<string>"), items, lambda text, item: F.when(
+    steps = F.zip_with(F.from_json(F.when(kind == "json_array", p), "array<string>"), items, lambda text, item: F.when(
         F.coalesce(F.schema_of_variant(item) == "STRING", F.lit(True)), F.coalesce(F.to_json(item), _lit("null"))).otherwise(text))
     as_array = F.transform(pack(steps, limit, ",", F.transform(items, standard_length)), lambda c: F.concat(_lit("["), c, _lit("]")))
     chunks = (
@@ -334,7 +348,6 @@ def pack_chunks(traces: DataFrame, *keys: str, limit: int = CHUNK_CHARS) -> Data
         .otherwise(pack(F.split(p, r"(?U)\n\s*\n"), limit, "\n\n"))
     )
     # any filled JSON list is packed by its items, whether or not they are steps
-    listed = F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")) > 0, F.lit(False))
-    layout = F.when(p.contains("[") & listed, "json_array").otherwise(detect_trace_format(p))
-    return traces.withColumn("trace_format", layout).select(
+    layout = F.when(F.coalesce(F.size(items) > 0, F.lit(False)), "json_array").otherwise(detect_trace_format(p, items))
+    return traces.withColumn("__items", trace_items(p)).withColumn("trace_format", layout).select(
         *keys, "trace_format", F.posexplode(chunks).alias("chunk_no", "chunk"))

@@ -9,8 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "gradeloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the jobs were tuned under; `conf` overrides any of them."""
+INPUT_PARTITIONS = "spark.gradeloom.inputPartitions"
+
+
+def build_session(app: str = "gradeloom", master: str | None = None, input_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the jobs were tuned under; `conf` overrides any of them.
+
+    `input_partitions` is for inputs that lie in fewer pieces than there are cores, such as one file with one row group: tables for
+    row-wise work are dealt out into so many tasks. By default they are read as they lie.
+    """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -24,6 +31,8 @@ def build_session(app: str = "gradeloom", master: str | None = None, **conf: str
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
+    if input_partitions:
+        settings[INPUT_PARTITIONS] = str(input_partitions)
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
     if master:

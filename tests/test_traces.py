@@ -22,7 +22,7 @@ def test_json_steps(spark):
         {"step": 6, "type": "tool", "output": "o" * 400}, {"step": 7, "type": "skill", "query": "z" * 600}, {"step": 8, "type": "search", "search_results": '[{"title": "E"}]'},
         {"step": 9, "type": "odd", "text": "u" * 600}, {"step": 10, "content": ["not text"]}, "no object", {"step": 11, "type": "message"},
     ]
-    got = col(spark, [json.dumps(steps)], T.step_lines(F.col("a")))[0]
+    got = col(spark, [json.dumps(steps)], T.step_lines(T.trace_items(F.col("a"))))[0]
     hits = "".join(f"\n  [{i}] T: {'x' * 200}" for i in (1, 2, 3))
     assert got == [
         "[Step 1] [think]\nall of it", "[Step 2] [stage] plan (ok, 12ms)", "[Step ?] [thinking]\nt\nSummary: s\nPlan: a; b", "[Step 4] [thinking]\none",
