@@ -214,11 +214,11 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, which, times = np.unique(entries[["anchor", "string"]], return_inverse=True, return_counts=True)
         hits = entries[(times[which] > 1) & (entries["start"] >= 0)]
         hits = np.unique(hits[["anchor", "cover", "start"]])
-        ends = np.flatnonzero(hits["cover"][1:] != hits["cover"][:-1]) + 1
+        ends = np.flatnonzero((hits["cover"][1:] != hits["cover"][:-1]) | (hits["anchor"][1:] != hits["anchor"][:-1])) + 1
         groups = [g for g in np.split(hits, ends) if len(g)]
         return pd.DataFrame({
-            "anchor": [int(g["anchor"][0]) for g in groups], "cover": [int(g["cover"][0]) for g in groups],
-            "marks": [[{"first": int(x), "last": int(y)} for x, y in _runs(g["start"])] for g in groups]})
+            "anchor": np.array([g["anchor"][0] for g in groups], np.int64), "cover": np.array([g["cover"][0] for g in groups], np.int64),
+            "marks": pd.Series([[{"first": int(x), "last": int(y)} for x, y in _runs(g["start"])] for g in groups], dtype=object)})
 
     held: list[bytes] = []
     last = None

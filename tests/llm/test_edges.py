@@ -217,3 +217,20 @@ def test_other_models_are_refused():
 
     model = pb.ModelProto.FromString(sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()).serialized_model_proto())
     assert model.trainer_spec.model_type == pieces.BPE
+
+
+def test_entries_of_other_chunks():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    def across(strings, starts):
+        entries = np.zeros(len(strings), suffixes._ENTRY)
+        entries["string"], entries["start"] = strings, starts
+        frame = next(suffixes._across(iter([pd.DataFrame({"part": [0, 0], "entries": [entries[:1].tobytes(), entries[1:].tobytes()]})])))
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+        return pa.Array.from_pandas(frame["marks"], type=kind).to_pylist()
+
+    assert across([1, 2, 3], [0, 1, -1]) == []     # nothing repeats: no rows, of the right type
+    assert across([5, 5, 7], [3, -1, 4]) == [[{"first": 3, "last": 3}]]
+    assert across([5, 5, 6, 6], [3, -1, 4, -1]) == [[{"first": 3, "last": 4}]]
