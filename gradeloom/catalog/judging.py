@@ -89,14 +89,20 @@ def _(d):
     return rounded(quality.quality_board(d.v_criteria, d.v_reply_score, weights), "average_total_score", "meta_avg")
 
 
-@query("process_board", "v_process_reply", GATE + """, d AS (SELECT model, dimension, avg(score) AS a FROM gs GROUP BY ALL),
-b AS (SELECT model, (SELECT avg(a) FROM d WHERE d.model = r.model) AS i, 22::double / 3 AS al FROM (SELECT DISTINCT model FROM v_process_reply) r)
-SELECT model, round(i, 9) AS intrinsic_avg, round(al, 9) AS alignment_avg, round(coalesce((i + al) / 2, al), 9) AS overall_avg,
- row_number() OVER (ORDER BY coalesce((i + al) / 2, al) DESC, model) AS rank FROM b""")
+ALIGNED = """, ak AS (SELECT *, reply::json AS j FROM v_alignment_reply WHERE json_valid(reply)),
+an AS (SELECT unnest(['findings_to_report', 'report_to_process', 'contradiction']) AS dimension),
+ag AS (SELECT * FROM ak WHERE (SELECT bool_and(coalesce(list_contains(json_keys(j, '$.' || dimension), 'score'), false)) FROM an)),
+ascore AS (SELECT model, dimension, (j -> dimension ->> 'score')::double AS score FROM ag CROSS JOIN an)"""
+
+
+@query("process_board", "v_process_reply v_alignment_reply", GATE + ALIGNED + """, d AS (SELECT model, dimension, avg(score) AS a FROM gs GROUP BY ALL),
+ad AS (SELECT model, dimension, avg(score) AS a FROM ascore GROUP BY ALL),
+b AS (SELECT model, (SELECT avg(a) FROM d WHERE d.model = r.model) AS i, (SELECT avg(a) FROM ad WHERE ad.model = r.model) AS al FROM (SELECT DISTINCT model FROM v_process_reply) r)
+SELECT model, round(i, 9) AS intrinsic_avg, round(al, 9) AS alignment_avg, round(coalesce((i + al) / 2, i, al), 9) AS overall_avg,
+ row_number() OVER (ORDER BY coalesce((i + al) / 2, i, al, 0) DESC, model) AS rank FROM b""")
 def _(d):
-    replies = d.wide("v_process_reply")
-    aligned = replies.withColumn("reply", F.lit('{"findings_to_report": {"score": 7}, "report_to_process": {"score": 6}, "contradiction": {"score": 9}}'))
-    return rounded(process.process_board(replies, aligned), "intrinsic_avg", "alignment_avg", "overall_avg")
+    board = process.process_board(d.wide("v_process_reply"), d.wide("v_alignment_reply"))
+    return rounded(board, "intrinsic_avg", "alignment_avg", "overall_avg")
 
 
 PART_FILE = "concat('task_m_', task_id, '_attempt_1_retry_0_chunk_', chunk, '.json')"

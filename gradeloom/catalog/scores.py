@@ -193,14 +193,15 @@ PS = """, dimsx AS (SELECT 'intrinsic' AS family, unnest(['search_breadth', 'ana
  UNION ALL SELECT 'alignment', unnest(['findings_to_report', 'report_to_process', 'contradiction'])),
 ps AS (SELECT m.model, x.family, x.dimension, avg(p.score) AS avg, count(p.score) AS count FROM (SELECT DISTINCT model FROM pf) m CROSS JOIN dimsx x
  LEFT JOIN pf p ON p.model = m.model AND p.dimension = x.dimension GROUP BY ALL)"""
-# m3 has no alignment scores and m4 no intrinsic ones, so that the one-family rules are met
-PF = ", pf AS (SELECT * FROM v_process WHERE NOT (model = 'm3' AND family = 'alignment') AND NOT (model = 'm4' AND family = 'intrinsic'))"
+# next to the table, models of which one family, or no score at all, is known
+FAMILIES = """SELECT * FROM (VALUES ('only_i', -1, 'intrinsic', 'search_breadth', 7), ('only_i', -2, 'intrinsic', 'efficiency', 4),
+ ('only_a', -1, 'alignment', 'contradiction', 9), ('none', -1, 'intrinsic', 'efficiency', NULL)) AS few(model, entry_id, family, dimension, score)"""
+PF = f", pf AS (SELECT model, entry_id, family, dimension, score FROM v_process UNION ALL {FAMILIES})"
 PO = PF + PS + """, po AS (SELECT model, avg(avg) FILTER (family = 'intrinsic') AS i, avg(avg) FILTER (family = 'alignment') AS a FROM ps GROUP BY model)"""
 
 
 def _process(d):
-    return S.process_summary(d.v_process.where(
-        "NOT (model = 'm3' AND family = 'alignment') AND NOT (model = 'm4' AND family = 'intrinsic')"))
+    return S.process_summary(d.v_process.select("model", "entry_id", "family", "dimension", "score").union(d.spark.sql(FAMILIES)))
 
 
 @query("process_summary", "v_process", PF + PS + " SELECT model, family, dimension, round(avg, 9) AS avg, count FROM ps")

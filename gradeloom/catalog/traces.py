@@ -107,22 +107,38 @@ def _(d):
     return T.compress_trace(d.wide("v_trace"), 1200).select("doc_id", "trace_format", "compressed")
 
 
-@query("pack_chunks", "v_trace", f""", k AS (SELECT doc_id, process, string_split(regexp_replace(process, '(\\[Step [0-9]+\\])', {M} || '\\1', 'g'), {M}) AS l FROM v_trace WHERE doc_id % 5 = 2),
-k2 AS (SELECT * FROM k WHERE len(l) > 2 UNION ALL SELECT doc_id, process, list_concat([''], string_split_regex(process, '\\n\\s*\\n')) FROM v_trace WHERE doc_id % 5 = 4
-  UNION ALL SELECT doc_id, process, list_concat([''], string_split_regex(process, '\\n\\s*\\n')) FROM k WHERE len(l) <= 2),
-w AS (SELECT doc_id, 2 AS n, 0 AS chunk_no, length(l[2]) AS size FROM k2
-  UNION ALL SELECT w.doc_id, n + 1, CASE WHEN size + length(l[n + 1]) > 700 THEN chunk_no + 1 ELSE chunk_no END,
-   CASE WHEN size + length(l[n + 1]) > 700 THEN length(l[n + 1]) ELSE size + length(l[n + 1]) END FROM w JOIN k2 USING (doc_id) WHERE n < len(l))
-SELECT w.doc_id, CASE WHEN w.doc_id % 5 = 2 AND len(k.l) > 2 THEN 'step_text' ELSE 'plain_text' END AS trace_format, chunk_no,
- concat(CASE WHEN chunk_no = 0 THEN k2.l[1] ELSE '' END, CASE WHEN w.doc_id % 5 = 2 AND len(k.l) > 2 THEN string_agg(k2.l[n], '' ORDER BY n) ELSE string_agg(k2.l[n], chr(10) || chr(10) ORDER BY n) END) AS chunk
-FROM w JOIN k2 USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY w.doc_id, chunk_no, k.l, k2.l""")
+TAGGED = "(\\[(?:reasoning|web_search|scrape|run_python_code)\\])"
+STEPPED = "(\\[Step [0-9]+\\])"
+
+
+def _marked(pattern):
+    return f"string_split(regexp_replace(process, '{pattern}', {M} || '\\1', 'g'), {M})"
+
+
+# JSON items are written without blanks, but count with one after each comma and colon: five in the first, eight in others
+@query("pack_chunks", "v_trace", f""", k AS (SELECT doc_id, process, CASE WHEN doc_id % 5 = 0 THEN 'json_array'
+ WHEN len(regexp_extract_all(process, '{TAGGED}')) >= 2 THEN 'block_text' WHEN len(regexp_extract_all(process, '{STEPPED}')) >= 2 THEN 'step_text' ELSE 'plain_text' END AS f FROM v_trace),
+j AS (SELECT doc_id, string_split(replace(replace(text, chr(92), ''), '"', chr(39)), chr(10)) AS t FROM documents WHERE doc_id % 5 = 0),
+k2 AS (SELECT doc_id, f, CASE f WHEN 'block_text' THEN {_marked(TAGGED)} WHEN 'step_text' THEN {_marked(STEPPED)}
+   ELSE list_concat([''], string_split_regex(process, '\\n\\s*\\n')) END AS l, 0 AS blanks FROM k WHERE f <> 'json_array'
+  UNION ALL SELECT doc_id, 'json_array', list_concat(['', concat('{{"step":1,"type":"think","content":"', t[1], '"}}')],
+   list_transform(t[2:], lambda x: concat('{{"step":2,"type":"search","keywords":["a","b"],"output":"', x, '"}}'))), 1 FROM j),
+s AS (SELECT doc_id, f, l, list_transform(l, lambda x, i: length(x) + CASE WHEN blanks = 0 OR i = 1 THEN 0 WHEN i = 2 THEN 5 ELSE 8 END) AS n FROM k2),
+w AS (SELECT doc_id, 2 AS i, 0 AS chunk_no, n[2] AS size FROM s
+  UNION ALL SELECT w.doc_id, i + 1, CASE WHEN size + n[i + 1] > 700 THEN chunk_no + 1 ELSE chunk_no END,
+   CASE WHEN size + n[i + 1] > 700 THEN n[i + 1] ELSE size + n[i + 1] END FROM w JOIN s USING (doc_id) WHERE i < len(l))
+SELECT doc_id, f AS trace_format, chunk_no, CASE WHEN f = 'json_array' THEN concat('[', string_agg(l[i], ',' ORDER BY i), ']')
+ WHEN f = 'plain_text' THEN string_agg(l[i], chr(10) || chr(10) ORDER BY i)
+ ELSE concat(CASE WHEN chunk_no = 0 THEN l[1] ELSE '' END, string_agg(l[i], '' ORDER BY i)) END AS chunk
+FROM w JOIN s USING (doc_id) GROUP BY doc_id, f, l, chunk_no""")
 def _(d):
-    return T.pack_chunks(d.wide("v_trace").where("doc_id % 5 IN (2, 4)"), "doc_id", limit=700)
+    return T.pack_chunks(d.wide("v_trace"), "doc_id", limit=700)
 
 
 @query("pack_chunks_tagged")
 def _(d):
-    return T.pack_chunks(d.wide("v_trace").where("doc_id % 5 IN (0, 1, 3)"), "doc_id", limit=700)
+    # wider chunks, so that tagged segments share them
+    return T.pack_chunks(d.wide("v_trace"), "doc_id", limit=2000)
 
 
 # the whole view; the check is the plain version in tests/test_whole_tables.py

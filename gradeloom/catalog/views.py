@@ -83,6 +83,14 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                       ELSE '"critical_thinking": {"score": 4}, ' END,
                  '"efficiency": {"score": ', CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '3' END, '}}') AS reply
         FROM orders"""),
+    # the same for how a report fits its trace: three scores, some replies cut off or without one of them
+    "v_alignment_reply": (["orders"], """
+        SELECT concat('m', cast(o_custkey % 10 AS string)) AS model, o_orderkey AS entry_id,
+               concat('{"findings_to_report": {"score": ', cast(1 + o_custkey % 9 AS string), '}, ',
+                 CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '"report_to_process": {"score": 6}, ' END,
+                 '"contradiction": {"score": ', CASE WHEN o_orderkey % 8 = 0 THEN 'null' ELSE '9' END,
+                 CASE WHEN o_orderkey % 7 = 3 THEN '' ELSE '}}' END) AS reply
+        FROM orders"""),
     # score by entry, dimension and strategy
     "v_strategy": (["lineitem"], """
         SELECT concat('m', cast(l_orderkey % 10 AS string)) AS model, l_orderkey AS entry_id,
