@@ -116,7 +116,9 @@ def _marked(pattern):
 
 
 # JSON items are written without blanks, but count with one after each comma and colon: five in the first, eight in others
-@query("pack_chunks", "v_trace", f""", k AS (SELECT doc_id, process, CASE WHEN doc_id % 5 = 0 THEN 'json_array'
+def pack_sql(limit):
+    """Views up to `pk`, the chunks of all traces."""
+    return f""", k AS (SELECT doc_id, process, CASE WHEN doc_id % 5 = 0 THEN 'json_array'
  WHEN len(regexp_extract_all(process, '{TAGGED}')) >= 2 THEN 'block_text' WHEN len(regexp_extract_all(process, '{STEPPED}')) >= 2 THEN 'step_text' ELSE 'plain_text' END AS f FROM v_trace),
 j AS (SELECT doc_id, string_split(replace(replace(text, chr(92), ''), '"', chr(39)), chr(10)) AS t FROM documents WHERE doc_id % 5 = 0),
 k2 AS (SELECT doc_id, f, CASE f WHEN 'block_text' THEN {_marked(TAGGED)} WHEN 'step_text' THEN {_marked(STEPPED)}
@@ -125,28 +127,26 @@ k2 AS (SELECT doc_id, f, CASE f WHEN 'block_text' THEN {_marked(TAGGED)} WHEN 's
    list_transform(t[2:], lambda x: concat('{{"step":2,"type":"search","keywords":["a","b"],"output":"', x, '"}}'))), 1 FROM j),
 s AS (SELECT doc_id, f, l, list_transform(l, lambda x, i: length(x) + CASE WHEN blanks = 0 OR i = 1 THEN 0 WHEN i = 2 THEN 5 ELSE 8 END) AS n FROM k2),
 w AS (SELECT doc_id, 2 AS i, 0 AS chunk_no, n[2] AS size FROM s
-  UNION ALL SELECT w.doc_id, i + 1, CASE WHEN size + n[i + 1] > 700 THEN chunk_no + 1 ELSE chunk_no END,
-   CASE WHEN size + n[i + 1] > 700 THEN n[i + 1] ELSE size + n[i + 1] END FROM w JOIN s USING (doc_id) WHERE i < len(l))
-SELECT doc_id, f AS trace_format, chunk_no, CASE WHEN f = 'json_array' THEN concat('[', string_agg(l[i], ',' ORDER BY i), ']')
+  UNION ALL SELECT w.doc_id, i + 1, CASE WHEN size + n[i + 1] > {limit} THEN chunk_no + 1 ELSE chunk_no END,
+   CASE WHEN size + n[i + 1] > {limit} THEN n[i + 1] ELSE size + n[i + 1] END FROM w JOIN s USING (doc_id) WHERE i < len(l)),
+pk AS (SELECT doc_id, f AS trace_format, chunk_no, CASE WHEN f = 'json_array' THEN concat('[', string_agg(l[i], ',' ORDER BY i), ']')
  WHEN f = 'plain_text' THEN string_agg(l[i], chr(10) || chr(10) ORDER BY i)
  ELSE concat(CASE WHEN chunk_no = 0 THEN l[1] ELSE '' END, string_agg(l[i], '' ORDER BY i)) END AS chunk
-FROM w JOIN s USING (doc_id) GROUP BY doc_id, f, l, chunk_no""")
+FROM w JOIN s USING (doc_id) GROUP BY doc_id, f, l, chunk_no)"""
+
+
+@query("pack_chunks", "v_trace", pack_sql(700) + " SELECT * FROM pk")
+@query("pack_chunks_all", "v_trace", pack_sql(700) + " SELECT * FROM pk")
 def _(d):
     return T.pack_chunks(d.wide("v_trace"), "doc_id", limit=700)
 
 
-@query("pack_chunks_tagged")
+@query("pack_chunks_tagged", "v_trace", pack_sql(2000) + " SELECT * FROM pk")
 def _(d):
     # wider chunks, so that tagged segments share them
     return T.pack_chunks(d.wide("v_trace"), "doc_id", limit=2000)
 
 
-# the whole view; the check is the plain version in tests/test_whole_tables.py
-@query("pack_chunks_all")
-def _(d):
-    return T.pack_chunks(d.wide("v_trace"), "doc_id", limit=700)
-
-
 @query("truncate_report", "v_report", """SELECT doc_id, CASE WHEN length(report) > 500 THEN concat(substr(report, 1, 500), chr(10), chr(10), '[... report truncated ...]')
 ELSE report END AS report FROM v_report""")
 def _(d):

@@ -65,6 +65,20 @@ def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     )
 
 
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows of the whole table in the given order, which must be unique per row and without nulls.
+
+    Only the order's columns are sorted, by ranges; the n-th of them is the bar that the rows are filtered by. So the
+    result of any n stays spread out, and the rows themselves are not moved.
+    """
+    if n <= 0:
+        return df.limit(0)
+    bar = number_rows(df.select(*order), order, "__id").where(F.col("__id") == n).select(*order).first()
+    if bar is None:
+        return df
+    return df.where(F.struct(*[F.col(c) for c in order]) <= F.struct(*[F.lit(bar[c]).alias(c) for c in order]))
+
+
 def last_before(df: DataFrame, keys: list[str], pos: str, value: Column, name: str) -> DataFrame:
     """Largest `value` among strictly earlier rows of the same key (null if there is none).
 

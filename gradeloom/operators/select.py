@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.jsontext import is_json
-from gradeloom.functions.numbering import first_n
+from gradeloom.functions.numbering import first_n, first_rows
 from gradeloom.session import cut
 
 
@@ -28,7 +28,7 @@ def select_entries(entries: DataFrame, whitelist: DataFrame | None = None, first
 def sample_queries(queries: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
     """n queries by a seeded hash of their id, in id order; all of them if there are no more than n."""
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    return queries.orderBy(draw, key).limit(n).orderBy(key)
+    return first_rows(queries.withColumn("__draw", draw), ["__draw", key], n).drop("__draw").orderBy(key)
 
 
 def pending_tasks(tasks: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.jsontext import is_json
+from gradeloom.functions.numbering import first_rows
 from gradeloom.functions.text import first_present, let, present
 from gradeloom.sources.arrays import read_array_items
 
@@ -194,5 +195,5 @@ def split_entries(entries: DataFrame, existing: DataFrame, category: str | None
     those that exist already. `entries` has id, pos and category."""
     picked = entries if category is None else entries.where(F.col("category") == category)
     if first is not None:
-        picked = picked.orderBy("pos").limit(first)
+        picked = first_rows(picked, ["pos", "id"], first)
     return picked.join(existing.select("id"), "id", "left_anti")

@@ -66,7 +66,7 @@ def test_stream_sees_changed_files(spark, tmp_path):
     part(run, 2, 0, "completed")
     got = look()
     assert got[1][0] is True and got[2] == (False, 1, 1, 0)
-    assert P.task_states is not None and len([n for n in os.listdir(out) if n.startswith("snapshot=")]) <= 2
+    assert len([n for n in os.listdir(out) if n.startswith("snapshot=")]) <= 2
 
 
 @pytest.mark.parametrize("batches", [60])
