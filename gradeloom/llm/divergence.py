@@ -21,6 +21,7 @@ Counts are aggregated before the shuffle; nothing is ever gathered by group, sou
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom.functions.numbering import first_n, number_rows
-from gradeloom.functions.text import let
-from gradeloom.llm.common import ascii_lower
 from gradeloom.session import cut
 
 LEAST = 10             # documents of a kept term
@@ -38,17 +37,45 @@ TERMS = 128            # of a block
 GROUPS = 32            # of a block, about
 UNIT = 1_000_000_000   # shares are in this part of one
 
+HELD = 300_000         # terms that a task holds while it counts
+
 _TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Bytes of terms, A-Z lower-cased; all others are blanks. Bytes from 128 on are parts of letters beyond ASCII.
+_LOWER = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, d): occurrences, and documents that hold the term."""
-    found = F.sort_array(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(_TERM), F.lit(0)))
-    # equal terms lie side by side; the first of them counts the document
-    marked = let(found, lambda terms: F.transform(terms, lambda t, i: F.struct(
-        t.alias("term"), F.when((i > 0) & (F.get(terms, i - 1) == t), 0).otherwise(1).alias("first"))))
-    return docs.select("lang", "source", F.inline(marked)).groupBy("lang", "source", "term").agg(
-        F.count("*").alias("n"), F.sum("first").alias("d"))
+    """(lang, source, term, n, d): occurrences, and documents that hold the term. A task adds up as many terms as it may
+    hold before it hands them on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        fresh = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, d) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.binary()).cast(pa.string()),
+                     pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in n], pa.int64())],
+                    names=["lang", "source", "term", "n", "d"])
+            held.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                terms = text.encode().translate(_LOWER).split()
+                if (lang, source) not in held:
+                    held[lang, source] = Counter(), Counter()
+                n, d = held[lang, source]
+                fresh -= len(n)
+                n.update(terms)
+                d.update(set(terms))
+                fresh += len(n)
+                if fresh > HELD:
+                    yield from flush()
+                    fresh = 0
+        yield from flush()
+
+    found = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, d long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def _shares(counts: np.ndarray, total: int, kept: int) -> np.ndarray:
