@@ -234,3 +234,14 @@ def test_entries_of_other_chunks():
     assert across([1, 2, 3], [0, 1, -1]) == []     # nothing repeats: no rows, of the right type
     assert across([5, 5, 7], [3, -1, 4]) == [[{"first": 3, "last": 3}]]
     assert across([5, 5, 6, 6], [3, -1, 4, -1]) == [[{"first": 3, "last": 4}]]
+
+
+def test_hot_and_other_hosts_lose_the_same_lines(spark, monkeypatch):
+    rows = [(i, f"http://{'hot' if i % 2 else f'h{i % 40}'}.org/{i}", f"<p>Menu</p><p>Page {i}</p>") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, lines.drop_site_lines(pages).collect()))
+    for shares, most in (((3, 2), 1 << 20), ((1, 1), 1 << 20), ((1000, 3), 0), ((1, 1), 0)):
+        monkeypatch.setattr(lines, "HOT", shares)
+        monkeypatch.setattr(lines, "HOT_BYTES", most)
+        assert sorted(map(tuple, lines.drop_site_lines(pages).collect())) == want
+    assert all(r[4] == f"Page {r[0]}" for r in want)
