@@ -12,6 +12,18 @@ from gradeloom.functions.text import let, trim_blank
 REPORT_CHARS = 30_000
 REPORT_CUT = "\n\n[... report truncated ...]"
 
+# Where replies hold JSON. Patterns with the group that is the value, and for `quality` the order of trying.
+TAGGED = (r"(?s)<json_output>\s*(.*?)\s*</json_output>", 1)
+FENCED_IN_TASKS = (r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
+FENCED_IN_PROCESS = (r"(?s)```(?:json)?\s*\n(.*?)\n```", 1)
+IN_QUALITY = [
+    (r"(?s)```json\s*(.*?)\s*```", 1),
+    (r"(?s)```\s*(.*?)\s*```", 1),
+    (r"(?s)<json_output>\s*(.*?)\s*</json_output>", 1),
+    (r"(?s)\[.*?\]", 0),
+    (r"(?s)\{.*?\}", 0),
+]
+
 
 def truncate_report(report: Column, max_chars: int = REPORT_CHARS) -> Column:
     return F.when(F.length(report) > max_chars, F.concat(F.substring(report, 1, max_chars), F.lit(REPORT_CUT))).otherwise(report)
@@ -97,17 +109,14 @@ def extract_json(df: DataFrame, text: str, mode: str, out: str = "json") -> Data
     quality  <json_output>, fenced blocks, then the first readable [...] or {...} without nesting
     """
     t = F.col(text)
-    tag = F.regexp_extract(t, r"(?s)<json_output>\s*(.*?)\s*</json_output>", 1)
+    tag = F.regexp_extract(t, *TAGGED)
     if mode == "tasks":
-        fence = F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
-        return df.withColumn(out, _first_valid(fence, _between(t, "{", "}"), _between(t, "[", "]")))
+        return df.withColumn(out, _first_valid(F.regexp_extract(t, *FENCED_IN_TASKS), _between(t, "{", "}"), _between(t, "[", "]")))
     if mode == "quality":
-        # the first readable match of each pattern, patterns in order
-        patterns = [(r"(?s)```json\s*(.*?)\s*```", 1), (r"(?s)```\s*(.*?)\s*```", 1), (r"(?s)<json_output>\s*(.*?)\s*</json_output>", 1),
-                    (r"(?s)\[.*?\]", 0), (r"(?s)\{.*?\}", 0)]
-        hits = [F.try_element_at(F.filter(F.regexp_extract_all(t, F.lit(p), g), lambda m: strict_json(m).isNotNull()), F.lit(1)) for p, g in patterns]
+        # the first readable match of each pattern
+        hits = [F.try_element_at(F.filter(F.regexp_extract_all(t, F.lit(p), g), lambda m: strict_json(m).isNotNull()), F.lit(1)) for p, g in IN_QUALITY]
         return df.withColumn(out, trim_blank(F.coalesce(_first_valid(tag), *hits)))
-    fence = F.regexp_extract(t, r"(?s)```(?:json)?\s*\n(.*?)\n```", 1)
+    fence = F.regexp_extract(t, *FENCED_IN_PROCESS)
     easy = df.withColumn("__easy", _first_valid(t, fence, tag))
     # the Python function sees only what the patterns left over
     rest = _balanced_block(F.when(F.col("__easy").isNull(), t))

@@ -23,6 +23,11 @@ SHORT_TYPES = [
 # How much of each part is kept.
 MAX_RESULTS, MAX_SNIPPET, MAX_BODY, MAX_OUTPUT, MAX_QUERIES = 3, 200, 500, 300, 5
 CHUNK_CHARS = 40_000
+# Labels of shortened steps and blocks.
+QUERIES, QUERY, TOOL, OUTPUT = "Queries: ", "Query: ", "Tool: ", "Output: "
+SUMMARY, PLAN = "Summary: ", "Plan: "
+NO_DETAILS = "(search/tool step, details omitted)"
+REASONING, SEARCH, SCRAPE, CODE = "[Reasoning]\n", "[Search] ", "[Scrape] ", "[Code Execution]\n"
 
 
 def _lit(s: str) -> Column:
@@ -100,8 +105,8 @@ def _search_body(step: Column) -> Column:
         m = member(step, key)
         many = F.when(is_array(m), F.try_variant_get(m, "$", "array<string>"))
         one = present(text_member(step, key))
-        shown = F.when(F.size(many) > 0, F.concat(_lit("Queries: "), F.array_join(F.slice(many, 1, MAX_QUERIES), ", "))).when(
-            one.isNotNull(), F.when(F.length(one) < 500, F.concat(_lit("Query: "), one)).otherwise(""))
+        shown = F.when(F.size(many) > 0, F.concat(_lit(QUERIES), F.array_join(F.slice(many, 1, MAX_QUERIES), ", "))).when(
+            one.isNotNull(), F.when(F.length(one) < 500, F.concat(_lit(QUERY), one)).otherwise(""))
         queries.append(shown)
     asked = present(F.coalesce(*queries))
     shown_hits = lambda sources: F.transform(F.slice(sources, 1, MAX_RESULTS), lambda s, i: F.concat(
@@ -110,10 +115,10 @@ def _search_body(step: Column) -> Column:
     name = present(F.try_variant_get(step, "$.name", "string"))
     output = present(text_member(step, "output"))
     body = let(_sources(step), lambda sources: _lines(
-        F.when(name.isNotNull(), F.concat(_lit("Tool: "), name)), asked,
+        F.when(name.isNotNull(), F.concat(_lit(TOOL), name)), asked,
         F.when(F.size(sources) > 0, F.array_join(shown_hits(sources), "\n")),
-        F.when(output.isNotNull() & (F.size(sources) == 0), F.concat(_lit("Output: "), F.substring(output, 1, MAX_OUTPUT)))))
-    return F.coalesce(present(body), _lit("(search/tool step, details omitted)"))
+        F.when(output.isNotNull() & (F.size(sources) == 0), F.concat(_lit(OUTPUT), F.substring(output, 1, MAX_OUTPUT)))))
+    return F.coalesce(present(body), _lit(NO_DETAILS))
 
 
 def _step_line(step: Column) -> Column:
@@ -127,8 +132,8 @@ def _step_line(step: Column) -> Column:
     summary = present(text_member(step, "thinking_summary"))
     thinking = _lines(
         head, present(text_member(step, "thinking_text")),
-        F.when(summary.isNotNull(), F.concat(_lit("Summary: "), summary)),
-        F.when(F.size(plan_list) > 0, F.concat(_lit("Plan: "), F.array_join(plan_list, "; "))).otherwise(present(text_member(step, "plan_items"))))
+        F.when(summary.isNotNull(), F.concat(_lit(SUMMARY), summary)),
+        F.when(F.size(plan_list) > 0, F.concat(_lit(PLAN), F.array_join(plan_list, "; "))).otherwise(present(text_member(step, "plan_items"))))
 
     def spoken(content):
         full = F.when(content == "", F.when(kind == "stage", stage).otherwise(head)).when(kind == "thinking", thinking).otherwise(
@@ -191,10 +196,10 @@ def block_line(block: Column) -> Column:
     hits = F.transform(organic, lambda r: F.concat(
         _lit("  - "), _or_empty(r["title"]), _lit(": "), F.substring(_or_empty(r["snippet"]), 1, MAX_SNIPPET)))
     return (
-        F.when(kind == "reasoning", F.when(thought == "", "").otherwise(F.concat(_lit("[Reasoning]\n"), thought)))
-        .when(kind == "web_search", _lines(F.concat(_lit("[Search] "), head), F.when(F.size(hits) > 0, F.array_join(hits, "\n"))))
-        .when(kind == "scrape", F.concat(_lit("[Scrape] "), head, _lit("\n"), F.substring(rest, 1, MAX_BODY)))
-        .otherwise(F.concat(_lit("[Code Execution]\n"), F.substring(content, 1, MAX_BODY)))
+        F.when(kind == "reasoning", F.when(thought == "", "").otherwise(F.concat(_lit(REASONING), thought)))
+        .when(kind == "web_search", _lines(F.concat(_lit(SEARCH), head), F.when(F.size(hits) > 0, F.array_join(hits, "\n"))))
+        .when(kind == "scrape", F.concat(_lit(SCRAPE), head, _lit("\n"), F.substring(rest, 1, MAX_BODY)))
+        .otherwise(F.concat(_lit(CODE), F.substring(content, 1, MAX_BODY)))
     )
 
 
