@@ -105,7 +105,7 @@ def test_finished_and_silent_tasks_are_forgotten(spark, tmp_path):
     time.sleep(0.3)
     part(run, 99, 0, "running")
     after = held()
-    assert first[-1] >= 20 and after[-1] < first[-1] / 2
+    assert max(first) >= 20 and after[-1] < max(first) / 2
     assert {r.task_id for r in SP.current(spark, out, ["task_id"], "version").where("completed").collect()} == set(range(20))
 
 
