@@ -24,8 +24,11 @@ from gradeloom.session import cut
 from gradeloom.sources.store import list_files, read_range
 
 RANGE = 32 << 20      # bytes of a range
+TASKS_PER_CORE = 4    # at least, as far as there are ranges
+TASK = 32 << 20       # bytes of ranges looked at by one task, where there are more than a core's share
 FEW = 10_000          # broken files that are sent to every task
 _BLOCK = 4 << 20      # bytes looked at together
+_AHEAD = 16 << 10     # bytes first read behind a range, to where its last item ends; twice as many each time
 _QUOTE, _ESCAPE, _COMMA = b'"\\,'
 _DEPTH = np.zeros(256, np.int8)
 _DEPTH[list(b"[{")] = 1
@@ -81,10 +84,12 @@ def items(path: str, start: int, size: int, length: int, in_text: int, depth: in
     array's own level: (array openings, commas, anything that should not be there)."""
     found, held, open_at = [], [], None
     opened = commas = stray = 0
+    ahead = _AHEAD
     at, before, odd = start, _backslashes_before(path, start), in_text
     while at < length and (at < start + size or open_at is not None):
         own = at < start + size
-        part = read_range(path, at, min(_BLOCK, (start + size if own else length) - at))
+        part = read_range(path, at, min(_BLOCK, (start + size if own else min(at + ahead, length)) - at))
+        ahead = ahead if own else 2 * ahead
         data = np.frombuffer(part, np.uint8)
         quote = _quotes(data, before)
         change = np.where((np.cumsum(quote) - quote + odd) % 2 == 0, _DEPTH[data], 0)
@@ -121,8 +126,10 @@ def _ranges(spark: SparkSession, path: str, suffix: str, size: int) -> DataFrame
     """(file, start, size, length) of ranges with the state they begin in."""
     files = spark.createDataFrame([(p, n) for p, n, _ in list_files(path, suffix) if n], "file string, length long")
     starts = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"))
-    n = starts.count()
-    ranges = starts.withColumn("size", F.least(F.lit(size), F.col("length") - F.col("start"))).repartition(max(1, n), "file", "start")
+    n, total = starts.agg(F.count("*"), F.sum(F.least(F.lit(size), F.col("length") - F.col("start")))).first()
+    # by bytes: small ranges share a task, so that the number of tasks does not follow the number of ranges
+    tasks = max(1, min(n, max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-(total or 0) // TASK))))
+    ranges = starts.withColumn("size", F.least(F.lit(size), F.col("length") - F.col("start"))).repartition(tasks, "file", "start")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,7 +142,7 @@ def _ranges(spark: SparkSession, path: str, suffix: str, size: int) -> DataFrame
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     told = seen.withColumn("in_text", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).withColumn(
         "change", F.when(F.col("in_text") == 0, F.col("outside")).otherwise(F.col("inside")))
-    return cut(told.withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0))).repartition(max(1, n), "file", "start"))
+    return cut(told.withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0))).repartition(tasks, "file", "start"))
 
 
 def read_array_items(spark: SparkSession, path: str, suffix: str = ".json", size: int = RANGE) -> tuple[DataFrame, DataFrame]:

@@ -66,3 +66,22 @@ def test_equal_to_whole_files_on_many_tasks(spark, tmp_path, monkeypatch):
     assert key(plain) == key(E.read_entries(spark, str(tmp_path), range_bytes=20_000))
     assert sorted(map(str, E.load_entries_array(spark, str(tmp_path / "big.json")).collect())) == sorted(
         map(str, E.load_entries_array(spark, str(tmp_path / "big.json"), range_bytes=9_999).collect()))
+
+
+def test_small_ranges_share_tasks_and_read_little_beyond(spark, tmp_path, monkeypatch):
+    rows = [{"id": str(i), "response": "x" * 400} for i in range(4000)]
+    path = tmp_path / "big.json"
+    path.write_text(json.dumps(rows))
+    cores = spark.sparkContext.defaultParallelism
+    ranges = arrays._ranges(spark, str(path), ".json", 2_000)
+    assert ranges.count() > 800 and ranges.rdd.getNumPartitions() == arrays.TASKS_PER_CORE * cores
+    assert arrays._ranges(spark, str(path), ".json", 1 << 20).rdd.getNumPartitions() == 2
+    read = []
+    plain = arrays.read_range
+    monkeypatch.setattr(arrays, "read_range", lambda p, a, n: read.append(n) or plain(p, a, n))
+    found, _ = arrays.items(str(path), 0, 2_000, path.stat().st_size, 0, 0)
+    assert len(found) == 5 and sum(read) <= 2_000 + arrays._AHEAD
+    # an item far longer than the first look behind its range
+    path.write_text(json.dumps([{"a": "y" * 300_000}, {"b": 1}]))
+    found, _ = arrays.items(str(path), 0, 10, path.stat().st_size, 0, 0)
+    assert [len(json.loads(v)["a"]) for _, v in found] == [300_000]
