@@ -6,8 +6,10 @@ twice: a lost executor repeats the calls of its unfinished tasks only.
 
 Tasks are cut by expected call time, not by bytes: prompts are small, and a partition of a few megabytes would
 hold hours of calls. `deal_calls` keeps the open rows, adds up their costs (one per call unless told
-otherwise) and deals them into as many tasks as make CALLS_PER_TASK each, and into one per core at
-least; adaptive execution does not merge such partitions. Each task has `in_flight` calls under way in a
+otherwise) and deals them into as many tasks as make CALLS_PER_TASK each, into one per core at
+least and TASKS_PER_CORE per core at most; adaptive execution does not merge such partitions. Beyond that the
+tasks of a core even out by themselves, and their number must not grow with the rows: starting one, with its
+shuffle blocks and its file of replies, takes longer than a quick scorer needs for all of its calls. Each task has `in_flight` calls under way in a
 pool of threads, the next batch is fed while the last calls of the one before are still out, and rows keep
 their order. `per_second` bounds the calls of the whole job: there are then no more tasks than cores,
 and each takes its equal part of the rate.
@@ -32,16 +34,18 @@ Scorer = Callable[[str], str]
 # Verdict names come from `answers`; verifiers that settle exact matches without a call.
 EXACT_FIRST = ["equivalence", "choice_abc"]
 CALLS_PER_TASK = 64
+TASKS_PER_CORE = 80
 
 
 def deal_calls(rows: DataFrame, keys: list[str], prompt: str = "prompt", cost: Column | None = None,
                per_task: float = CALLS_PER_TASK, per_second: float | None = None) -> tuple[DataFrame, int]:
     """(the rows dealt out for calling, number of tasks). Rows go by a hash of key and prompt, so the rows of a hot
-    key are spread as well. `cost` is the expected time of a row's call in units of which a task gets `per_task`."""
+    key are spread as well. `cost` is the expected time of a row's call in units of which a task gets `per_task`, or more
+    where that would make over TASKS_PER_CORE tasks per core."""
     kept = cut(rows)
     n, total = kept.agg(F.count("*"), F.sum(F.lit(1.0) if cost is None else cost)).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(-(-(total or 0) // per_task), min(n, cores), 1)
+    tasks = max(min(-(-(total or 0) // per_task), TASKS_PER_CORE * cores), min(n, cores), 1)
     tasks = int(min(tasks, cores) if per_second else tasks)
     return kept.repartition(tasks, F.xxhash64(*keys, prompt)), tasks
 

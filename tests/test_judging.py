@@ -61,6 +61,15 @@ def test_expected_time_cuts_tasks(spark):
     assert J.deal_calls(rows, ["task_id"], per_task=1, per_second=5.0)[1] == spark.sparkContext.defaultParallelism
 
 
+def test_tasks_do_not_grow_with_the_rows(spark):
+    rows = spark.range(200_000).selectExpr("id AS task_id", "concat('p', id) AS prompt")
+    most = J.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    dealt, tasks = J.deal_calls(rows, ["task_id"])
+    assert tasks == dealt.rdd.getNumPartitions() == most < 200_000 / J.CALLS_PER_TASK
+    asked = J.call_scorer(dealt, "prompt", lambda p: p[1:], tasks=tasks)
+    assert asked.where("reply = task_id").count() == 200_000
+
+
 def test_several_calls_are_under_way(spark):
     active = []
 
