@@ -125,28 +125,37 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key // BUCKETS).astype(np.int32), (key % BUCKETS).astype(np.int32), weight.astype(np.float32)
 
 
+def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_bags` of a slice, its text numbers in a byte each."""
+    text, bucket, weight = _bags(texts)
+    return text.astype(np.uint8), bucket, weight
+
+
 def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 1) -> Model:
     """Vectors and softmax, jointly, by gradient descent with momentum on all examples."""
     total = len(texts)
-    # in slices, and in narrow types: the n-grams of a few texts at a time are what memory holds
-    parts = [_bags(texts[at:at + SLICE]) for at in range(0, total, SLICE)]
-    text = np.concatenate([t + np.int32(i * SLICE) for i, (t, _, _) in enumerate(parts)])
-    bucket = np.concatenate([b for _, b, _ in parts])
-    weight = np.concatenate([w for _, _, w in parts])
-    del parts
+    # in slices, and in narrow types: a slice's n-grams at full width are all that memory holds besides the packed ones
+    parts = [_packed(texts[at:at + SLICE]) for at in range(0, total, SLICE)]
+
+    # sums of weights and of their squares by bucket: of each label, and of all
+    sums, squares = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
+    texts_with = np.zeros(BUCKETS, np.int64)
+    for i, (text, bucket, weight) in enumerate(parts):
+        marked = labels[i * SLICE:(i + 1) * SLICE][text]
+        texts_with += np.bincount(bucket, minlength=BUCKETS)
+        for label in (0, 1):
+            own = marked == label
+            sums[label] += np.bincount(bucket[own], weights=weight[own], minlength=BUCKETS)
+            squares[label] += np.bincount(bucket[own], weights=weight[own] ** 2, minlength=BUCKETS)
 
     # how far apart the mean shares of the two labels lie
     error, apart = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for label, sign in ((1, 1), (0, -1)):
-        own = labels[text] == label
         n = max(int((labels == label).sum()), 1)
-        mean = np.bincount(bucket[own], weights=weight[own], minlength=BUCKETS) / n
-        square = np.bincount(bucket[own], weights=weight[own] ** 2, minlength=BUCKETS) / n
-        apart += sign * mean
-        error += np.maximum(square - mean ** 2, 0) / n
-    texts_with = np.bincount(bucket, minlength=BUCKETS)
-    mean = np.bincount(bucket, weights=weight, minlength=BUCKETS) / total
-    spread = np.sqrt(np.maximum(np.bincount(bucket, weights=weight ** 2, minlength=BUCKETS) / total - mean ** 2, 0))
+        apart += sign * sums[label] / n
+        error += np.maximum(squares[label] / n - (sums[label] / n) ** 2, 0) / n
+    mean = sums.sum(0) / total
+    spread = np.sqrt(np.maximum(squares.sum(0) / total - mean ** 2, 0))
     common = texts_with >= LEAST_TEXTS
     usual = float(np.median(spread[common])) if common.any() else 1.0
     t = np.where(common, np.abs(apart) / np.sqrt(error + usual ** 2 / total), 0)
@@ -158,12 +167,15 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
     # every n-gram on the scale of its own spread, so that rare ones can count
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
-    kept = place[bucket] >= 0
     x = np.zeros((total, len(used)), np.float32)
-    x[text[kept], place[bucket[kept]]] = weight[kept]
+    for i, (text, bucket, weight) in enumerate(parts):
+        kept = place[bucket] >= 0
+        x[i * SLICE + text[kept].astype(np.int64), place[bucket[kept]]] = weight[kept]
+    del parts
     scale = (1 / (spread[used] + usual) / np.sqrt(len(used))).astype(np.float32)
     centre = mean[used].astype(np.float32)
-    x = (x - centre) * scale
+    x -= centre
+    x *= scale
 
     rng = np.random.default_rng(seed)
     target = np.eye(2, dtype=np.float32)[labels]

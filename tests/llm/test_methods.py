@@ -375,3 +375,26 @@ def test_toxicity_of_held_out_rows(spark):
     recall, precision = hits / sum(y == 1 for _, y in got), hits / max(1, sum(p == 1 for p, _ in got))
     print(f"held out: {len(got)}, recall {recall:.3f}, precision {precision:.3f}")
     assert recall >= 0.8 and precision >= 0.85
+
+
+def test_training_holds_few_ngrams_at_full_width():
+    import tracemalloc
+
+    import numpy as np
+
+    from gradeloom.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(3000)]
+    texts = [" ".join(words[k] for k in rng.integers(0, 3000, 200)) + (" vile" if i % 3 == 0 else "") for i in range(600)]
+    labels = np.array([int(i % 3 == 0) for i in range(600)])
+    entries = sum(len(toxicity._bags([t])[0]) for t in texts)
+    tracemalloc.start()
+    try:
+        model = toxicity.train(texts, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # an n-gram of a text: its bucket, its weight and a byte for its text
+    assert most < 16 * entries + (24 << 20)
+    assert model.score(["vile " + texts[1]])[0] > model.score([texts[1]])[0]
