@@ -115,3 +115,23 @@ def test_files_are_written_whole(spark, tmp_path):
     store.write_named(rows.where("name = 'b.json'").selectExpr("name", "'again' AS value"), str(tmp_path / "out"))
     found = {p.split("/out/")[1]: open(p).read() for p, _, _ in store.list_files(str(tmp_path / "out"))}
     assert found == {"a/1.json": "one", "a/2.json": "zwei é", "b.json": "again"}
+
+
+def test_log_queries_hold_a_slice_of_files_at_a_time(spark, tmp_path, monkeypatch):
+    from gradeloom.catalog import judging
+    from gradeloom.catalog.registry import QUERIES
+
+    spark.range(400).selectExpr(
+        "id AS event_id", "element_at(array('view', 'click', 'error'), cast(id % 7 % 3 + 1 AS int)) AS event_type",
+        "timestamp_micros(1700000000000000 + id * 1000003) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    names = ["run_logs", "progress_from_files", "progress_stream"]
+    run = lambda: [sorted(map(str, QUERIES[n](spark, str(tmp_path)).collect())) for n in names]
+    whole = run()
+    assert len(whole[0]) == 200 + 17 and len(whole[2]) == 50
+    held = []
+    plain = judging.remove
+    monkeypatch.setattr(judging, "remove", lambda p: (held.append(len(store.list_files(p))), plain(p)))
+    monkeypatch.setattr(judging, "SLICE", 80)
+    monkeypatch.setattr(judging, "STREAM_SLICE", 120)
+    assert run() == whole
+    assert len(held) == 3 + 3 + 2 and max(held) < 200 and sum(held) == 3 * len(whole[0])
