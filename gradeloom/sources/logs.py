@@ -12,6 +12,7 @@ import re
 import time
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -24,7 +25,11 @@ HEAD_CHARS = 8192
 
 LOG = ("kind string, model string, task_id long, attempt_id int, retry_id int, chunk int, status string, start_time string, "
        "end_time string, seq double")
+COLUMNS = pa.schema([
+    ("kind", pa.string()), ("model", pa.string()), ("task_id", pa.int64()), ("attempt_id", pa.int32()), ("retry_id", pa.int32()), ("chunk", pa.int32()),
+    ("status", pa.string()), ("start_time", pa.string()), ("end_time", pa.string()), ("seq", pa.float64())])
 FILES_PER_TASK = 2000
+FILES_PER_BATCH = 1000
 
 
 def meta_of(head: str) -> dict | None:
@@ -70,11 +75,10 @@ def _partitions(files: list[tuple[str, int, float]], per_task: int) -> list[_Fil
     return [_Files(named[at:at + per_task]) for at in range(0, len(named), per_task)] or [_Files([])]
 
 
-def _rows(partition: _Files) -> Iterator[tuple]:
-    for path, changed in partition.files:
-        row = log_row(path, changed)
-        if row is not None:
-            yield row
+def _rows(partition: _Files) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(partition.files), FILES_PER_BATCH):
+        rows = [row for path, changed in partition.files[at:at + FILES_PER_BATCH] if (row := log_row(path, changed)) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], f.type) for i, f in enumerate(COLUMNS)], schema=COLUMNS)
 
 
 class _Batch(DataSourceReader):

@@ -135,3 +135,37 @@ def test_log_queries_hold_a_slice_of_files_at_a_time(spark, tmp_path, monkeypatc
     monkeypatch.setattr(judging, "STREAM_SLICE", 120)
     assert run() == whole
     assert len(held) == 3 + 3 + 2 and max(held) < 200 and sum(held) == 3 * len(whole[0])
+
+
+def log_events(spark, path, n):
+    spark.range(n).selectExpr(
+        "id AS event_id", "element_at(array('view', 'click', 'error'), cast(id % 7 % 3 + 1 AS int)) AS event_type",
+        "timestamp_micros(1700000000000000 + id * 1000003) AS ts").write.parquet(f"{path}/events.parquet")
+
+
+@pytest.mark.parametrize("name", ["run_logs", "progress_from_files"])
+def test_log_files_are_spread_and_empty_before_they_go(spark, tmp_path, monkeypatch, name):
+    from gradeloom.catalog import judging
+    from gradeloom.catalog.registry import QUERIES
+
+    log_events(spark, tmp_path, 400)
+    whole = sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect()))
+    plain, emptied, gone = (judging.empty, judging.remove), [], []
+
+    def empty(s, p):
+        emptied.append(sum(size > 0 for _, size, _ in store.list_files(p)))
+        plain[0](s, p)
+
+    def remove(p):
+        gone.append([(f.split("/")[-2], size) for f, size, _ in store.list_files(p)])
+        plain[1](p)
+        assert not os.path.exists(p)
+
+    monkeypatch.setattr(judging, "empty", empty)
+    monkeypatch.setattr(judging, "remove", remove)
+    monkeypatch.setattr(judging, "SLICE", 60)
+    monkeypatch.setattr(judging, "EMPTIED", 120)
+    assert sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == whole
+    assert len(emptied) == 4 and sum(emptied) == 217 and max(emptied) < 150
+    assert len(gone) == 4 and all(size == 0 for held in gone for _, size in held)
+    assert all(len({folder for folder, _ in held}) > 5 for held in gone)
