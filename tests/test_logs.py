@@ -169,3 +169,85 @@ def test_log_files_are_spread_and_empty_before_they_go(spark, tmp_path, monkeypa
     assert len(emptied) == 4 and sum(emptied) == 217 and max(emptied) < 150
     assert len(gone) == 4 and all(size == 0 for held in gone for _, size in held)
     assert all(len({folder for folder, _ in held}) > 5 for held in gone)
+
+
+class Handle:
+    """Stands in for the state of one group, and counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+
+def test_tasks_of_a_group_share_calls_to_the_state():
+    tracker, handle = SP.TaskTracker(50, 1000), Handle()
+    tracker.init(handle)
+
+    def take(now, *rows):
+        handle.calls = 0
+        got = {r.task_id: tuple(r)[1:5] for r in tracker.handleInputRows((7,), iter([(7, *r) for r in rows]), Clock(now))}
+        assert handle.calls <= 4
+        return got
+
+    def expire():
+        at = min(handle.timers)
+        handle.timers.remove(at)
+        list(tracker.handleExpiredTimer((7,), Clock(at), Clock(at)))
+        return at, set(json.loads(handle.value[0])) if handle.value else None
+
+    many = [(t, "part", f"1/0/{c}", "Running", 1.0) for t in range(100) for c in range(3)]
+    assert take(10, *many) == {t: (False, 3, 0, 3) for t in range(100)}
+    # an older report changes nothing, a newer one and a missing status do; each task knows its own parts
+    assert take(20, (1, "part", "1/0/0", "completed", 0.5), (2, "part", "1/0/0", "Completed", 2.0), (3, "part", "1/0/1", None, 1.0)) == {
+        1: (False, 3, 0, 3), 2: (False, 3, 1, 2), 3: (False, 3, 0, 2)}
+    assert take(30, (4, "result", "", None, 2.0), (4, "part", "1/0/9", "completed", 2.0)) == {4: (True, 4, 1, 3)}
+    assert take(40, (4, "part", "1/0/0", "failed", 9.0)) == {}     # late: the task is finished
+    assert expire() == (80, {str(t) for t in range(100) if t != 4})
+    assert take(700, (5, "part", "1/0/0", "completed", 3.0)) == {5: (False, 3, 1, 2)}
+    assert expire() == (1010, {"5"})                               # heard of since
+    assert take(1100, (4, "part", "1/0/0", "running", 9.0)) == {4: (False, 1, 0, 1)}
+    assert expire() == (1700, {"4"}) and expire() == (2100, None) and not handle.timers
+
+
+def test_state_lies_in_the_pieces_asked_for(spark, tmp_path):
+    run, out, state = tmp_path / "run", str(tmp_path / "out"), str(tmp_path / "state")
+    run.mkdir()
+    for task in range(20):
+        part(run, task, 0, "running")
+    time.sleep(0.2)
+    session = spark.conf.get("spark.sql.shuffle.partitions")
+    SP.run(SP.track_tasks(logs.stream_run_logs(spark, str(run))), out, state, ["task_id"], "version", state_partitions=3)
+    assert sorted(n for n in os.listdir(f"{state}/state/0") if n.isdigit()) == ["0", "1", "2"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == session
+    assert SP.current(spark, out, ["task_id"], "version").count() == 20
